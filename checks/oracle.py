@@ -513,7 +513,7 @@ def _funnel(q, rules: Rules) -> dict[str, str]:
         "renewal_by_value_segment": q(
             f"""SELECT CASE WHEN t = 1 THEN 'Top 10% (whales)' WHEN t <= 5 THEN 'Top 11-50% (mid)'
   ELSE 'Bottom 50% (tail)' END AS value_segment, count(*) AS users,
-  {money_per('sum(cents)', 'count(*)')} AS avg_lifetime_rev, {_hits('pay_cnt >= 2')} AS renewed,
+  {money_per('sum(cents)', 'count(cents)')} AS avg_lifetime_rev, {_hits('pay_cnt >= 2')} AS renewed,
   {_share('pay_cnt >= 2')} AS renewal_pct FROM tiles GROUP BY 1""", PAYERS,
             "tiles AS (SELECT *, ntile(10) OVER (ORDER BY cents DESC, user_id) AS t FROM payers)"),
         "renewal_analysis": q(

@@ -6,20 +6,30 @@ from pyspark.sql import functions as F
 from tidemark.plans.scratch import settle
 
 
+# ``monotonically_increasing_id`` holds the partition number above these bits and the
+# position of the row inside its partition in them.
+_POSITION_BITS = 33
+
+
 def with_global_rank(df: DataFrame, *order: Column) -> DataFrame:
     """Add ``row_rank`` (1..N) and ``row_total`` (N) in the given total order.
 
     ``order`` must end in a unique key: it splits runs of equal leading values over
-    several ranges, and makes ranks repeatable. Rows are range-partitioned and settled
-    (range bounds come from a sample, so the ranges must not be computed twice), then
-    numbered inside each range and shifted by the size of the ranges before it.
+    several ranges, and makes ranks repeatable. Rows are sorted once, in ranges, and
+    numbered inside each range; the sizes of the ranges before it complete the rank. The
+    sorted rows are settled first: range bounds come from a sample, so the ranges must
+    not be computed twice.
     """
-    ranged = settle(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-
+    row_id = F.col("_row_id")
+    numbered = (
+        settle(df.orderBy(*order).withColumn("_row_id", F.monotonically_increasing_id()))
+        .withColumn("_range", F.shiftright(row_id, _POSITION_BITS))
+        .withColumn("_position", row_id.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)) + 1)
+    )
     by_range = Window.orderBy("_range")
     # One row per range: bounded by the number of shuffle partitions.
     shifts = (
-        ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+        numbered.groupBy("_range").agg(F.count("*").alias("_size"))
         .select(
             "_range",
             F.coalesce(
@@ -28,12 +38,10 @@ def with_global_rank(df: DataFrame, *order: Column) -> DataFrame:
             F.sum("_size").over(Window.partitionBy()).alias("row_total"),
         )
     )
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return (
-        ranged.withColumn("_inside", inside)
-        .join(F.broadcast(shifts), "_range")
-        .withColumn("row_rank", F.col("_inside") + F.col("_shift"))
-        .drop("_range", "_inside", "_shift")
+        numbered.join(F.broadcast(shifts), "_range")
+        .withColumn("row_rank", F.col("_position") + F.col("_shift"))
+        .drop("_row_id", "_range", "_position", "_shift")
     )
 
 

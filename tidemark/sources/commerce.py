@@ -4,11 +4,10 @@ A customer registers with the first order; every order is an active day; orders
 customers on a paid plan are payments.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.model import Model, Rules
-from tidemark.schema import ANNUAL, COMPANY_SIZES, FAILED, MONTHLY, PLANS, REFUNDED, SUCCESS
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
@@ -23,62 +22,69 @@ RULES = Rules(
 )
 
 
-def _plan() -> Column:
-    free, basic, pro, enterprise = PLANS
-    balance = F.col("c_acctbal")
-    return (
-        F.when(balance < 2000, free).when(balance < 5000, basic).when(balance < 8000, pro)
-        .otherwise(enterprise)
-    )
+# Columns that are read; naming them saves a pass over the file footers.
+COLUMNS = {
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+}
 
 
-def _pick(key: Column, values: tuple[str, ...]) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+PLAN = """
+    CASE WHEN c_acctbal < 2000 THEN 'Free'
+         WHEN c_acctbal < 5000 THEN 'Basic'
+         WHEN c_acctbal < 8000 THEN 'Pro'
+         ELSE 'Enterprise' END
+"""
+SUBSCRIPTION_TYPE = "if(o_orderpriority IN ('1-URGENT', '2-HIGH'), 'Annual', 'Monthly')"
+PAYMENT_STATUS = """
+    CASE o_orderstatus WHEN 'F' THEN 'Success' WHEN 'O' THEN 'Failed' ELSE 'Refunded' END
+"""
 
 
 def commerce_model(spark: SparkSession, folder: str) -> Model:
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return spark.read.schema(COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
-    orders = table("orders").withColumn("day", F.to_date("o_orderdate"))
-    customers = table("customer").withColumn("plan", _plan())
-    key = F.col("c_custkey")
+    orders = table("orders").selectExpr("*", "CAST(o_orderdate AS DATE) AS day")
+    customers = table("customer").selectExpr("*", f"{PLAN} AS plan")
 
     first_order = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.min("day").alias("register_date")
     )
     users = (
         customers.join(first_order, "c_custkey")
-        .join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            key.alias("user_id"),
+        .join(table("nation").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
+        .selectExpr(
+            "c_custkey AS user_id",
             "register_date",
-            F.col("n_name").alias("country"),
-            _pick(key, ("Desktop", "Mobile", "Tablet")).alias("device_type"),
-            F.col("c_mktsegment").alias("acquisition_channel"),
-            F.col("plan").alias("plan_type"),
-            _pick(key, COMPANY_SIZES).alias("company_size"),
+            "n_name AS country",
+            "element_at(array('Desktop', 'Mobile', 'Tablet'), int(c_custkey % 3) + 1)"
+            " AS device_type",
+            "c_mktsegment AS acquisition_channel",
+            "plan AS plan_type",
+            "element_at(array('1-10', '11-50', '51-200', '201-1000', '1000+'),"
+            " int(c_custkey % 5) + 1) AS company_size",
         )
     )
-    activity = orders.select(
-        F.col("o_orderkey").alias("activity_id"),
-        F.col("o_custkey").alias("user_id"),
-        F.col("day").alias("activity_date"),
-        F.lit(None).cast("int").alias("session_duration"),
-        F.lit(None).cast("int").alias("pages_viewed"),
-        F.lit(None).cast("string").alias("feature_used"),
+    activity = orders.selectExpr(
+        "o_orderkey AS activity_id",
+        "o_custkey AS user_id",
+        "day AS activity_date",
+        "CAST(NULL AS INT) AS session_duration",
+        "CAST(NULL AS INT) AS pages_viewed",
+        "CAST(NULL AS STRING) AS feature_used",
     )
-    status = F.col("o_orderstatus")
-    paying = customers.where(F.col("plan") != PLANS[0]).select("c_custkey")
-    subscription = orders.join(paying, F.col("o_custkey") == key, "left_semi").select(
-        F.col("o_orderkey").alias("subscription_id"),
-        F.col("o_custkey").alias("user_id"),
-        F.col("day").alias("payment_date"),
-        F.col("o_totalprice").alias("amount"),
-        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), ANNUAL)
-        .otherwise(MONTHLY)
-        .alias("subscription_type"),
-        F.when(status == "F", SUCCESS).when(status == "O", FAILED).otherwise(REFUNDED)
-        .alias("payment_status"),
+    paying = customers.where("plan <> 'Free'").selectExpr("c_custkey AS o_custkey")
+    subscription = orders.join(paying, "o_custkey", "left_semi").selectExpr(
+        "o_orderkey AS subscription_id",
+        "o_custkey AS user_id",
+        "day AS payment_date",
+        "o_totalprice AS amount",
+        f"{SUBSCRIPTION_TYPE} AS subscription_type",
+        f"{PAYMENT_STATUS} AS payment_status",
     )
     return Model(users, activity, subscription)

@@ -13,7 +13,12 @@ RULES = Rules(periods=(1, 3, 7), activation_days=3, activation_events=9,
 
 def events_model(spark: SparkSession, folder: str) -> Model:
     """Users register with their first ``signup`` event; profile columns are unknown."""
-    events = spark.read.parquet(f"{folder}/events.parquet").withColumn("day", F.to_date("ts"))
+    columns = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"
+    events = (
+        spark.read.schema(columns)
+        .parquet(f"{folder}/events.parquet")
+        .withColumn("day", F.to_date("ts"))
+    )
     unknown = [
         F.lit(None).cast("string").alias(name)
         for name in USERS.fieldNames()
