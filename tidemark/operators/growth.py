@@ -44,7 +44,7 @@ def total_registered(model: Model) -> DataFrame:
 def _active_users(model: Model, bucket: Column, name: str, out: str, days: int | None = None):
     rows = active_days(model)
     if days is not None:
-        rows = rows.where(F.col("activity_date") >= F.date_sub(today(model), days))
+        rows = rows.where(F.col("activity_date") >= today(model, days))
     return rows.groupBy(bucket.alias(name)).agg(F.count_distinct("user_id").alias(out))
 
 
@@ -224,17 +224,16 @@ def headline_kpis(model: Model) -> DataFrame:
     A user was active in the last N days exactly if their last active day was, so one
     row per recently active user answers all three windows.
     """
-    now = today(model)
-    last = F.col("last_day")
+    cut, last = today(model, 30), F.col("last_day")
     recent = (
         active_days(model)
-        .where((F.col("activity_date") > F.date_sub(now, 30)) & F.col("user_id").isNotNull())
+        .where((F.col("activity_date") > cut) & F.col("user_id").isNotNull())
         .groupBy("user_id")
         .agg(F.max("activity_date").alias("last_day"))
         .agg(
             F.struct(
-                F.count_if(last == now).alias("dau_today"),
-                F.count_if(last > F.date_sub(now, 7)).alias("wau"),
+                F.count_if(last == F.date_add(cut, 30)).alias("dau_today"),
+                F.count_if(last > F.date_add(cut, 30 - 7)).alias("wau"),
                 F.count("*").alias("mau"),
             ).alias("active")
         )
@@ -243,7 +242,7 @@ def headline_kpis(model: Model) -> DataFrame:
         model.users.agg(
             F.count("*").alias("total_users"),
             F.count_if(is_paid()).alias("paid_users"),
-            F.count_if(F.col("register_date") > F.date_sub(now, 30)).alias("new_users_30d"),
+            F.count_if(F.col("register_date") > cut).alias("new_users_30d"),
         )
         .withColumn("active", recent.scalar())
         .select("total_users", "paid_users", "active.*", "new_users_30d")

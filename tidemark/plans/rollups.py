@@ -20,9 +20,14 @@ from tidemark.plans.scratch import scratch_path
 from tidemark.schema import SUCCESS
 
 
-def today(model: Model) -> Column:
-    """Last day with activity, as a scalar subquery; the wall clock is never used."""
-    return active_days(model).agg(F.max("activity_date").alias("today")).scalar()
+def today(model: Model, days_ago: int = 0) -> Column:
+    """Last day with activity, or a day before it, as a scalar subquery.
+
+    The wall clock is never used. The shift is made inside the subquery, so that a
+    comparison with a stored date reaches the parquet scan as a plain literal.
+    """
+    last = F.date_sub(F.max("activity_date"), days_ago)
+    return active_days(model).agg(last.alias("day")).scalar()
 
 
 def active_days(model: Model) -> DataFrame:
@@ -64,11 +69,6 @@ def user_revenue(model: Model) -> DataFrame:
     )
 
 
-def matured(model: Model, days: int) -> DataFrame:
-    """Users registered at least ``days`` before today."""
-    return model.users.where(F.col("register_date") <= F.date_sub(today(model), days))
-
-
 def user_facts(
     model: Model, rules: Rules, *dims: str, mature_days: int | None = None
 ) -> DataFrame:
@@ -78,10 +78,14 @@ def user_facts(
     ``tenure`` (days from registration to today), ``first_return_day`` (first active day
     after registration), ``early_sessions`` (sessions on days 0..activation_days) and
     ``first_late_day`` (first active day after activation_days). Active days after
-    ``rules.reach`` are ignored; users without activity stay.
+    ``rules.reach`` are ignored; users without activity stay. ``mature_days`` keeps only
+    users registered at least that long before today.
     """
-    users = model.users if mature_days is None else matured(model, mature_days)
-    users = users.select("user_id", "register_date", *dims)
+    ago = mature_days or 0
+    cut = today(model, ago)
+    users = model.users.select("user_id", "register_date", *dims)
+    if mature_days is not None:
+        users = users.where(F.col("register_date") <= cut)
     days = user_day(model).withColumnRenamed("user_id", "active_user")
     offset = F.datediff("activity_date", "register_date")
 
@@ -101,7 +105,7 @@ def user_facts(
             ).alias("early_sessions"),
             F.min(F.when(offset > rules.activation_days, offset)).alias("first_late_day"),
         )
-        .withColumn("tenure", F.datediff(today(model), F.col("register_date")))
+        .withColumn("tenure", F.datediff(F.date_add(cut, ago), F.col("register_date")))
     )
 
 

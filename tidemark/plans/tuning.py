@@ -5,7 +5,7 @@ from pyspark.sql import SparkSession
 from tidemark.model import Model
 
 BYTES_PER_PARTITION = 128 * 1024 * 1024
-MOST_PARTITIONS = 50_000
+MOST_PARTITIONS = 20_000
 
 
 def input_bytes(model: Model) -> int:
