@@ -75,12 +75,12 @@ def random_rows(seed: int, n_users: int = 150, messy: bool = False) -> dict:
 
     for i in range(n_users):
         users.append((
-            f"U{i:05d}", first + timedelta(int(r.triangular(0, 500, 400))), "US",
+            f"U{i:05d}", maybe(first + timedelta(int(r.triangular(0, 500, 400)))), "US",
             maybe(r.choice(["Desktop", "Mobile", "Tablet"])),
             maybe(r.choice(schema.CHANNELS)), maybe(r.choice(schema.PLANS)),
             maybe(r.choice(schema.COMPANY_SIZES)),
         ))
-    known = {u[0]: u[1] for u in users}
+    known = {u[0]: u[1] or first for u in users}
 
     def someone():
         roll = r.random()
@@ -96,13 +96,13 @@ def random_rows(seed: int, n_users: int = 150, messy: bool = False) -> dict:
         user = someone()
         start = known.get(user, first)
         day = start + timedelta(int(r.expovariate(1 / 20)) - (3 if messy else 0))
-        activity.append((f"A{i:07d}", user, day, 5, 2, "Share"))
+        activity.append((f"A{i:07d}", user, maybe(day), 5, 2, "Share"))
     for i in range(n_users * 2):
         user = someone()
         start = known.get(user, first)
         kinds = ["Monthly", "Monthly", "Annual"] + (["Weekly"] if messy else [])
         subscription.append((
-            f"S{i:06d}", user, start + timedelta(r.randrange(0, 400)),
+            f"S{i:06d}", user, maybe(start + timedelta(r.randrange(0, 400))),
             maybe(r.choice([12.0, 35.0, 99.0, round(r.uniform(1, 1200), 2)])),
             r.choice(kinds), r.choice(["Success"] * 8 + ["Failed", "Refunded"]),
         ))

@@ -49,11 +49,16 @@ def _active_users(model: Model, bucket: Column, name: str, out: str, days: int |
 
 
 def _daily(model: Model, days: int | None = None) -> DataFrame:
-    return _active_users(model, F.col("activity_date"), "activity_date", "dau", days)
+    if model.user_day is None:
+        return _active_users(model, F.col("activity_date"), "activity_date", "dau", days)
+    rows = model.user_day
+    if days is not None:
+        rows = rows.where(F.col("activity_date") >= today(model, days))
+    return rows.groupBy("activity_date").agg(F.count("user_id").alias("dau"))
 
 
 def dau(model: Model) -> DataFrame:
-    return _daily(model).orderBy("activity_date")
+    return _daily(model).orderBy(F.asc_nulls_last("activity_date"))
 
 
 def dau_recent_stats(model: Model, days: int = 30) -> DataFrame:
@@ -70,13 +75,15 @@ def top_dau_days(model: Model, k: int = 10) -> DataFrame:
 
 
 def wau(model: Model) -> DataFrame:
-    return _active_users(model, week_of("activity_date"), "week_start", "wau").orderBy("week_start")
+    return _active_users(model, week_of("activity_date"), "week_start", "wau").orderBy(
+        F.asc_nulls_last("week_start")
+    )
 
 
 def wau_recent(model: Model, days: int = 56) -> DataFrame:
     """WAU since ``days`` before today; the first week is usually partial."""
     return _active_users(model, week_of("activity_date"), "week_start", "wau", days).orderBy(
-        "week_start"
+        F.asc_nulls_last("week_start")
     )
 
 
@@ -85,17 +92,17 @@ def _monthly_active(model: Model) -> DataFrame:
 
 
 def mau(model: Model) -> DataFrame:
-    return _monthly_active(model).orderBy("month")
+    return _monthly_active(model).orderBy(F.asc_nulls_last("month"))
 
 
 def mau_mom(model: Model) -> DataFrame:
     """MAU against the previous row; a month without activity has no row."""
-    previous = F.lag("mau").over(Window.orderBy("month"))
+    previous = F.lag("mau").over(Window.orderBy(F.asc_nulls_last("month")))
     return (
         _monthly_active(model)
         .withColumn("prev_mau", previous)
         .withColumn("mom_pct", exact.change(F.col("mau"), F.col("prev_mau")))
-        .orderBy("month")
+        .orderBy(F.asc_nulls_last("month"))
     )
 
 
@@ -109,6 +116,7 @@ def stickiness(model: Model) -> DataFrame:
     days = F.bit_count(F.bit_or("day_bits"))
     return (
         user_month(model)
+        .where(F.col("month").isNotNull())
         .groupBy("month")
         .agg(
             F.coalesce(user_days, F.lit(0)).alias("user_days"),
@@ -121,7 +129,7 @@ def stickiness(model: Model) -> DataFrame:
             "mau",
             exact.percent(F.col("user_days"), F.col("days") * F.col("mau")).alias("stickiness_pct"),
         )
-        .orderBy("month")
+        .orderBy(F.asc_nulls_last("month"))
     )
 
 
@@ -137,25 +145,25 @@ def _register_month() -> Column:
 
 
 def _running(order: str, *partition: str) -> Column:
-    window = Window.partitionBy(*partition).orderBy(order).rowsBetween(
+    window = Window.partitionBy(*partition).orderBy(F.asc_nulls_last(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return F.sum("new_users").over(window)
 
 
 def signups_daily(model: Model) -> DataFrame:
-    return _signups(model, F.col("register_date")).orderBy("register_date")
+    return _signups(model, F.col("register_date")).orderBy(F.asc_nulls_last("register_date"))
 
 
 def signups_monthly(model: Model) -> DataFrame:
-    return _signups(model, _register_month()).orderBy("month")
+    return _signups(model, _register_month()).orderBy(F.asc_nulls_last("month"))
 
 
 def signups_monthly_cum(model: Model) -> DataFrame:
     return (
         _signups(model, _register_month())
         .withColumn("cum_users", _running("month"))
-        .orderBy("month")
+        .orderBy(F.asc_nulls_last("month"))
     )
 
 
@@ -164,7 +172,7 @@ def _signups_wide(model: Model, dim: str, values: tuple[str, ...]) -> DataFrame:
     return (
         model.users.groupBy(_register_month())
         .agg(*counts, F.count("*").alias("total"))
-        .orderBy("month")
+        .orderBy(F.asc_nulls_last("month"))
     )
 
 
@@ -178,7 +186,7 @@ def signups_monthly_by_plan(model: Model, rules: Rules = Rules()) -> DataFrame:
 
 def signups_monthly_channel_long(model: Model) -> DataFrame:
     return _signups(model, _register_month(), F.col("acquisition_channel")).orderBy(
-        "month", "acquisition_channel"
+        F.asc_nulls_last("month"), "acquisition_channel"
     )
 
 
@@ -186,13 +194,13 @@ def cum_users_daily(model: Model) -> DataFrame:
     return (
         _signups(model, F.col("register_date"))
         .withColumn("cum_users", _running("register_date"))
-        .orderBy("register_date")
+        .orderBy(F.asc_nulls_last("register_date"))
     )
 
 
 def cum_users_monthly_mom_yoy(model: Model) -> DataFrame:
     """Running total with growth against 1 and 12 rows before."""
-    by_month = Window.orderBy("month")
+    by_month = Window.orderBy(F.asc_nulls_last("month"))
     new = F.col("new_users")
     return (
         _signups(model, _register_month())
@@ -203,7 +211,7 @@ def cum_users_monthly_mom_yoy(model: Model) -> DataFrame:
             exact.change(new, F.lag("new_users", 1).over(by_month)).alias("mom_pct"),
             exact.change(new, F.lag("new_users", 12).over(by_month)).alias("yoy_pct"),
         )
-        .orderBy("month")
+        .orderBy(F.asc_nulls_last("month"))
     )
 
 
@@ -211,7 +219,7 @@ def cum_users_by_channel(model: Model) -> DataFrame:
     return (
         _signups(model, _register_month(), F.col("acquisition_channel"))
         .withColumn("cum_users", _running("month", "acquisition_channel"))
-        .orderBy("month", "acquisition_channel")
+        .orderBy(F.asc_nulls_last("month"), "acquisition_channel")
     )
 
 

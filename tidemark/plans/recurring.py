@@ -25,6 +25,7 @@ def _paid_months(model: Model) -> DataFrame:
     in_cents = exact.cents(F.col("amount"))
     return (
         successful(model)
+        .where(F.col("payment_date").isNotNull())
         .groupBy("user_id", month_of("payment_date").alias("start_month"))
         .agg(
             F.coalesce(F.sum(F.when(kind == MONTHLY, in_cents * SPREAD)), F.lit(0)).alias("short"),

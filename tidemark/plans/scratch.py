@@ -1,4 +1,8 @@
-"""Where intermediate tables go: the shared folder named in ``spark.checkpoint.dir``."""
+"""Where intermediate tables go: the shared folder named in ``spark.checkpoint.dir``.
+
+Nothing is deleted here, because a frame that reads a scratch table may still be in use;
+the folder's own retention removes old tables.
+"""
 
 import tempfile
 import uuid

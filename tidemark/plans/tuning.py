@@ -25,12 +25,17 @@ def tune(spark: SparkSession, size: int | None = None) -> None:
 
     A join of raw facts on ``user_id`` is followed by an aggregation on the same key, for
     which AQE would leave a skewed partition whole to save a shuffle; the split is worth
-    that shuffle, because its rows are aggregated before it. ``size`` (bytes read) sets
-    how many partitions a shuffle starts with; AQE merges the small ones afterwards.
+    that shuffle, because its rows are aggregated before it. A join whose smaller side
+    turns out to have only small partitions is hashed instead of sorted. ``size`` (bytes
+    read) sets how many partitions a shuffle starts with; AQE merges the small ones
+    afterwards.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    spark.conf.set(
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", str(BYTES_PER_PARTITION)
+    )
     if size is not None:
         usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
         first = partitions_for(size, usual)
