@@ -6,11 +6,11 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as contract
-from tidemark.functions.calendar import month_of
 from tidemark.model import Model, Rules
 from tidemark.operators import growth, revenue
 from tidemark.plans import tuning
 from tidemark.plans.rollups import user_facts
+from tidemark.sources.commerce import commerce_model
 
 SMALL = contract.SMALL
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="no test data here")
@@ -79,4 +79,10 @@ def test_tuning(spark):
     assert tuning.partitions_for(10, at_least=8) == 8
     assert tuning.partitions_for(10**12, at_least=8) == 7451
     assert tuning.partitions_for(10**14, at_least=8) == tuning.MOST_PARTITIONS
-    assert month_of("x") is not None
+
+
+def test_input_size_is_that_of_the_files(spark, hand):
+    orders = Path(SMALL, "orders.parquet").stat().st_size
+    size = tuning.input_bytes(commerce_model(spark, SMALL))
+    assert orders <= size < 2 * orders
+    assert tuning.input_bytes(hand) == 0  # local rows

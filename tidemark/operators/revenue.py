@@ -322,12 +322,22 @@ def top_channels_by_revenue(model: Model, k: int = 3) -> DataFrame:
 
 
 def top_customers(model: Model, k: int = 10) -> DataFrame:
+    """Users with the highest lifetime revenue; ties go to the smaller ``user_id``.
+
+    The ``k`` users are found on ids alone; only their profiles are then fetched.
+    """
     profile = ("user_id", "country", "acquisition_channel", "plan_type", "company_size")
+    ranking = (F.desc_nulls_last("cents"), F.asc("user_id"))
+    best = (
+        user_revenue(model)
+        .join(model.users.select("user_id"), "user_id", "left_semi")
+        .orderBy(*ranking)
+        .limit(k)
+    )
     return (
         model.users.select(*profile)
-        .join(user_revenue(model), "user_id")
-        .orderBy(F.desc_nulls_last("cents"), "user_id")
-        .limit(k)
+        .join(F.broadcast(best), "user_id")
+        .orderBy(*ranking)
         .select(
             *profile,
             exact.money(F.col("cents")).alias("lifetime_revenue"),

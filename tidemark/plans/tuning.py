@@ -1,19 +1,27 @@
 """Session settings that the size and skew of the input call for."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.model import Model
 
 BYTES_PER_PARTITION = 128 * 1024 * 1024
 MOST_PARTITIONS = 20_000
+UNKNOWN_SIZE = 2**62  # Spark reports about this much, or more, for relations it cannot size
 
 
 def input_bytes(model: Model) -> int:
-    """Size of the largest fact table as Spark estimates it (file size for file sources)."""
-    facts = (model.activity, model.subscription)
-    return max(
-        int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in facts
-    )
+    """Bytes that the larger fact table reads, from Spark's size of its source relations.
+
+    Relations of unknown size (for example local rows) count as nothing.
+    """
+
+    def size(df: DataFrame) -> int:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        leaves = plan.collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+        return sum(n for n in sizes if n < UNKNOWN_SIZE)
+
+    return max(size(model.activity), size(model.subscription))
 
 
 def partitions_for(size: int, at_least: int) -> int:
