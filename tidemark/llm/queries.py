@@ -8,14 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, packing, url_filter
-from tidemark.llm.shared import with_shared_folder
+from tidemark.llm import fingerprints, mixing, packing, secret_scan, url_filter
+from tidemark.llm.shared import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    with_shared_folder(spark)
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +36,17 @@ def rude_urls(pages: DataFrame) -> DataFrame:
     return pages.filter(F.rlike("html", F.lit("|".join(RUDE_WORDS)))).select("url")
 
 
+def found_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(_table(spark, sf_dir, "documents"))
+
+
+def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.balanced_copies(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
+    )
+
+
 def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return url_filter.judge_urls(pages, rude_urls(pages), URL_RULES)
@@ -53,6 +64,8 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_secret_scan": found_secrets,
+        "op4_mixing": mixed_sources,
         "op6_url_filter": url_verdicts,
         "op8_packing": packed_pieces,
         "op10_fingerprints": document_fingerprints,

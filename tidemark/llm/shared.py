@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: A maximal run of characters other than white space is a word.
 WORD = r"[^\x20\x09-\x0D]+"
+LIBRARY = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -22,12 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def with_shared_folder(spark: SparkSession) -> SparkSession:
-    """Sets a folder of its own where the session names none, as in tests on one machine."""
+def prepared(spark: SparkSession) -> SparkSession:
+    """Sets a shared folder where the session names none, as in tests on one machine, and lets Python workers find the library."""
     try:
         shared_folder(spark)
     except ValueError:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if LIBRARY not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([LIBRARY, *paths])
     return spark
 
 
