@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, mixing, packing, secret_scan, url_filter
-from tidemark.llm.shared import prepared
+from tidemark.llm import fingerprints, language_id, mixing, packing, quality, secret_scan, url_filter
+from tidemark.llm.shared import crc_fold, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,31 @@ def found_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language_id.train(docs.filter(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+#: Documents that score less are rejected.
+LEAST_QUALITY = 0.3
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Learned from the rows of four folds of five."""
+    fold = crc_fold(F.col("doc_id"), 5)
+    return quality.train(docs.filter(fold != 0), labels.filter(fold != 0))
+
+
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.score(docs, quality_model(docs, _table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(crc_fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    predicted = F.when(F.col("score") >= LEAST_QUALITY, 1).otherwise(0)
+    return rows.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.balanced_copies(_table(spark, sf_dir, "documents"))
     return rows.select(
@@ -65,6 +90,8 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": found_secrets,
+        "op2_language_id": languages,
+        "op3_quality": quality_scores,
         "op4_mixing": mixed_sources,
         "op6_url_filter": url_verdicts,
         "op8_packing": packed_pieces,
