@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, language_id, mixing, packing, quality, secret_scan, url_filter
+from tidemark.llm import fingerprints, jaccard_join, language_id, mixing, packing, quality, secret_scan, url_filter
 from tidemark.llm.shared import crc_fold, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,10 @@ def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.binary_pieces(docs, path, keep_ids=False).drop("ids")
 
 
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(_table(spark, sf_dir, "documents"))
+
+
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
@@ -95,6 +99,7 @@ def queries() -> dict[str, Query]:
         "op4_mixing": mixed_sources,
         "op6_url_filter": url_verdicts,
         "op8_packing": packed_pieces,
+        "op9_jaccard_join": similar_documents,
         "op10_fingerprints": document_fingerprints,
     }
 
