@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Vocabulary files of public tokenizers.
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
+
 #: The rules (verdict, host, path prefix).
 URL_RULES = (
     ("allow", "org", "/"),
@@ -43,7 +47,7 @@ def found_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_fold(F.col("doc_id"), 4) == 2, F.lit(False))
-    model = language_id.train(docs.filter(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    model = language_id.train(docs.filter(~held_out), PIECE_VOCABULARY)
     return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -79,8 +83,7 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return packing.binary_pieces(docs, path, keep_ids=False).drop("ids")
+    return packing.binary_pieces(docs, WORD_VOCABULARY, keep_ids=False).drop("ids")
 
 
 def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
