@@ -6,6 +6,8 @@ rectangular: `2048 / length` pieces of a bucket make up as many tokens as one lo
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,8 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose ids a worker remembers; beyond it the memory is emptied, the ids stay the same.
-MEMORY = 400_000
-_LONG_WORD = 256
+MEMORY = 1_000_000
+#: Longer words are not remembered.
+_LONG_WORD = 64
+#: Plain words: letters, then marks that no tokenizer rule joins to letters.
+_PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?|\"#$%&*()]*)")
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, ids binary"
@@ -25,33 +30,66 @@ PIECES = (
 
 
 class WordTokenizer:
-    """Ids of a text from a tokenizer whose tokens never hold white space, with repeated words looked up."""
+    """Ids of texts from a tokenizer whose tokens never hold white space and mark a word's end, with repeated words looked up."""
 
     def __init__(self, path: str, memory: int = MEMORY):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory, self.known = Tokenizer.from_file(path), memory, {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _learn(self, words: list[str]) -> None:
-        for word, coded in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = np.array(coded.ids, "<u4").tobytes()
+    def _alone(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
+    def _cores(self, cores: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters only. Plain ASCII ones are spelled as the vocabulary spells them; of others many are
+        encoded at a time, and each ends with the first id that marks an end."""
+        model = self.tokenizer.model.tokenize
+        out = {w: np.array([t.id for t in model(w)], "<u4").tobytes() for w in cores if w.isascii()}
+        cores = [w for w in cores if w not in out]
+        for begin in range(0, len(cores), 1000):
+            part = cores[begin : begin + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) if len(ids) else ids
+            if len(last) == len(part) and last[-1] == len(ids) - 1:
+                data, bounds = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
+                out.update((w, data[bounds[i] : bounds[i + 1]]) for i, w in enumerate(part))
+            else:  # a word that the tokenizer's rules split
+                out.update((w, self._alone(w)) for w in part)
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        known, plain = self.known, []
+        for word in words:
+            if len(word) <= _LONG_WORD:
+                if m := _PLAIN.fullmatch(word):
+                    core = m[1].lower() if m[1].isascii() else m[1]
+                    plain.append((word, core, m[2]))
+                else:
+                    known[word] = self._alone(word)
+        cores = self._cores(list({core for _, core, _ in plain if core not in known}))
+        for tail in {tail for *_, tail in plain if tail not in known}:
+            known[tail] = self._alone(tail)
+        for word, core, tail in plain:
+            known[word] = (cores.get(core) or known[core]) + known[tail]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers. Only blanks and line ends split: both are white space to any tokenizer."""
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.known) > self.memory:
-            self.known = {"": b""}
-        self._learn([w for w in dict.fromkeys(words) if len(w) <= _LONG_WORD and w not in self.known])
-        if any(len(w) > _LONG_WORD for w in words):
-            return b"".join(self.known[w] if len(w) <= _LONG_WORD else self._once(w) for w in words)
-        return b"".join(map(self.known.__getitem__, words))
-
-    def _once(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        new = set().union(*split).difference(self.known)
+        if new:
+            if len(self.known) > self.memory:
+                self.known = {"": b""}
+                new = set().union(*split) - {""}
+            self._learn(new)
+        long = {w for w in new if len(w) > _LONG_WORD}
+        look = self.known.__getitem__
+        if not long:
+            return [b"".join(map(look, words)) for words in split]
+        return [b"".join(self._alone(w) if w in long else look(w) for w in words) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -82,11 +120,12 @@ def binary_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _tokenizer(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 rows: list[tuple] = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = words.ids(text or "") + tail
+                coded = words.ids([text or "" for text in part.column(1).to_pylist()])
+                for doc_id, ids in zip(part.column(0).to_pylist(), coded):
+                    ids += tail
                     n, start = len(ids) // 4, 0
                     for length in binary_lengths(n, longest):
                         piece = ids[4 * start : 4 * (start + length)]
