@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, jaccard_join, language_id, mixing, packing, quality, repeats, secret_scan, url_filter
+from tidemark.llm import fingerprints, jaccard_join, language_id, mixing, neighbours, packing, quality, repeats, secret_scan, url_filter
 from tidemark.llm.shared import crc_fold, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,10 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, rude_urls(pages), URL_RULES)
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -104,6 +108,7 @@ def queries() -> dict[str, Query]:
         "op2_language_id": languages,
         "op3_quality": quality_scores,
         "op4_mixing": mixed_sources,
+        "op5_neighbours": nearest_vectors,
         "op6_url_filter": url_verdicts,
         "op7_suffix_dedup": without_repeats,
         "op8_packing": packed_pieces,
