@@ -27,7 +27,7 @@ from tidemark.llm.shared import small_side, stored, text_or_empty, word_count
 #: Newton stops when every source is within this share of its target; the cut does the rest.
 TOLERANCE = 1e-4
 MOST_STEPS = 60
-_NO_ID = F.lit(-(1 << 63))
+_NO_ID = -(1 << 63)
 
 
 def _source_key() -> Column:
@@ -127,9 +127,9 @@ def source_cuts(rows: DataFrame, solved: DataFrame, n_sources: int, most: int) -
     width = 6.0
     while True:
         half = (width * F.col("spread") + 2 * F.col("largest")) / F.greatest("slope", F.lit(1e-300))
-        points = [_copy_point(k, F.coalesce("doc_id", _NO_ID), F.col("size") / F.col("mean"), most) for k in range(1, most + 1)]
+        points = [_copy_point(k, F.coalesce("doc_id", F.lit(_NO_ID)), F.col("size") / F.col("mean"), most) for k in range(1, most + 1)]
         near = rows.select(
-            "key", "target", "size", F.coalesce("doc_id", _NO_ID).alias("doc_id"),
+            "key", "target", "size", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"),
             (F.col("m") - half).alias("low"), (F.col("m") + half).alias("high"), F.explode(F.array(*points)).alias("point"),
         )
         below = near.filter("point < low").groupBy("key").agg(F.sum("size").alias("below"))
@@ -155,7 +155,7 @@ def source_cuts(rows: DataFrame, solved: DataFrame, n_sources: int, most: int) -
     # below the band's lower end all is taken: a cut of none in the band stands at that end
     low = F.col("m") - (width * F.col("spread") + 2 * F.col("largest")) / F.greatest("slope", F.lit(1e-300))
     cut = F.when(F.col("best.point") == F.lit(-math.inf), low).otherwise(F.col("best.point"))
-    cut_id = F.when(F.col("best.point") == F.lit(-math.inf), _NO_ID).otherwise(F.col("best.doc_id"))
+    cut_id = F.when(F.col("best.point") == F.lit(-math.inf), F.lit(_NO_ID)).otherwise(F.col("best.doc_id"))
     return solved.join(cuts.select("key", "best"), "key", "left").select(
         "key", "source_size", "target", "mean", cut.alias("cut"), cut_id.alias("cut_id"),
         (F.col("target") >= F.col("source_size") * float(most)).alias("full"),
@@ -186,7 +186,7 @@ def balanced_copies(
     cuts = source_cuts(light, solved, n_sources, most).select("key", "mean", "cut", "cut_id", "full")
     cuts = stored(targets.drop("n_docs").join(cuts, "key", "left"))  # sources without words have no cut
 
-    x, doc_id = F.col("size") / F.col("mean"), F.coalesce("doc_id", _NO_ID)
+    x, doc_id = F.col("size") / F.col("mean"), F.coalesce("doc_id", F.lit(_NO_ID))
     taken = F.lit(0)
     for k in range(1, most + 1):
         point = _copy_point(k, doc_id, x, most)

@@ -111,7 +111,7 @@ def _first_edges(nodes: DataFrame, n: int, partitions: int) -> DataFrame:
     out = None
     for seed in range(ORDERS):
         leaves = nodes.mapInArrow(leaf_of(seed), "v long, code binary, leaf long")
-        dealt = leaves.repartitionByRange(partitions, "leaf", "v").sortWithinPartitions("leaf", "v").select("v", "code")
+        dealt = leaves.repartitionByRange(max(1, min(partitions, n // CHUNK)), "leaf", "v").sortWithinPartitions("leaf", "v").select("v", "code")
         edges = dealt.mapInArrow(run_of(seed), "v long, u long, s float")
         out = edges if out is None else out.unionByName(edges)
     return _best(out, DEGREE)

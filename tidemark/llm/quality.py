@@ -135,10 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, prior: float
 
     found = rows.mapInArrow(run, "doc_id long, features binary").join(marks, "doc_id", "left").toPandas()
     found = found.sort_values(["doc_id", "features"])
-    x = np.frombuffer(b"".join(found["features"]), np.float32).reshape(len(found), -1).astype(np.float64)
+    width = len(NAMED) + PAIRS
+    x = np.frombuffer(b"".join(found["features"]), np.float32).reshape(len(found), width).astype(np.float64)
     quality = found["quality"].to_numpy(float, na_value=np.nan)
     positive, unlabelled = x[quality == 1], x[np.isnan(quality)]
-    width = len(NAMED) + PAIRS
     if not len(positive) or not len(unlabelled):
         p = 0.5 if prior is None else prior
         return Model(np.zeros(width), np.ones(width), np.zeros(width), float(np.log(p / (1 - p))), p)
