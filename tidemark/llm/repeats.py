@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import ceil, log2
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +23,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import hash_filter, in_filter, stored
 from tidemark.llm.shingles import mix
 from tidemark.llm.suffix_sort import neighbour_prefixes, window_order
 
 WINDOW, GRAM = 100, 32
-#: Bytes of documents that are hashed together, of segments that are sorted together, and segments that one bucket may hold.
+#: Bytes of documents hashed together, bytes of segments sorted together, and segments that one bucket may hold.
 TOGETHER, SORTED, BUCKET = 1 << 20, 2 << 20, 20_000
-#: Largest filter of repeated hashes, in bits. A fuller one lets more segments through and changes no result.
-MOST_BITS = 1 << 28
 NO_ID = (1 << 63) - 1
 
 _random = np.random.default_rng(7)
@@ -87,7 +85,12 @@ class Block:
         """The hashes of all places that some window names, each place once."""
         edge = np.zeros(WINDOW - GRAM, np.uint64)
         most = _sliding(np.concatenate([edge, self.least, edge]), WINDOW - GRAM + 1, np.maximum)
-        return self.grams[self.grams == most]
+        return self._spread(self.grams[self.grams == most])
+
+    @staticmethod
+    def _spread(least: np.ndarray) -> np.ndarray:
+        """Least hashes are small numbers; scrambled, they fill a filter evenly."""
+        return mix(least, 3)
 
     def segments(self) -> tuple[np.ndarray, ...]:
         """(hash, content hash, document, first and last window start in it) of all segments."""
@@ -101,7 +104,7 @@ class Block:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[self.data] * up[: len(self.data)])])
         content = mix((sums[last + WINDOW] - sums[first]) * down[first] + mix((last - first).astype(np.uint64)))
         document = np.searchsorted(self.bounds, first, side="right") - 1
-        return self.least[first], content, document, first - self.bounds[document], last - self.bounds[document]
+        return self._spread(self.least[first]), content, document, first - self.bounds[document], last - self.bounds[document]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], Block]]:
@@ -153,29 +156,14 @@ def _repeated_hashes(docs: DataFrame, partitions: int) -> DataFrame:
     return named.repartition(partitions, "h").mapInArrow(again, "h long")
 
 
-def _filter_of(hashes: DataFrame) -> np.ndarray:
-    """A bit map of the hashes: 16 bits for each, up to MOST_BITS."""
-    bits = 1 << max(10, min(int(log2(MOST_BITS)), ceil(log2(16 * max(1, hashes.count())))))
-    place = F.shiftrightunsigned("h", 64 - int(log2(bits)))
-    words = hashes.groupBy(F.shiftright(place, 6).alias("w")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("b")
-    ).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def _segments(docs: DataFrame, seen: np.ndarray) -> DataFrame:
     """(h, c, key, low, high) of segments whose hash passes the filter."""
-    sent = docs.sparkSession.sparkContext.broadcast(seen)  # at most MOST_BITS bits
+    sent = docs.sparkSession.sparkContext.broadcast(seen)  # bounded, see hash_filter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value
-        shift = np.uint64(64 - int(log2(len(words) * 64)))
         for ids, block in _blocks(batches):
             h, c, document, low, high = block.segments()
-            place = h >> shift
-            keep = (words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+            keep = in_filter(sent.value, h)
             h, c, document, low, high = (x[keep] for x in (h, c, document, low, high))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(np.array(ids)[document]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
@@ -302,7 +290,7 @@ def remove_repeats(docs: DataFrame, n_partitions: int | None = None) -> DataFram
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     repeated = stored(_repeated_hashes(texts, max(least, ceil(n_bytes / 40_000_000))))
-    segments = stored(_segments(texts, _filter_of(repeated)))
+    segments = stored(_segments(texts, hash_filter(repeated)))
     first = stored(segments.groupBy("h", "c").agg(F.min(F.struct("key", "low", "high")).alias("first")))
     # equal segments: all but the first place
     of_class = first.select("h", "c", F.col("first.key").alias("k1"), F.col("first.low").alias("l1"))

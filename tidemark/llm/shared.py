@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from math import ceil, log2
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def small_side(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
     """The frame with a broadcast hint if its counted rows are few; else Spark joins it by shuffling."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def hash_filter(hashes: DataFrame, most_bits: int = 1 << 28) -> np.ndarray:
+    """A bit map of evenly spread 64-bit hashes (column h): 16 bits for each, up to most_bits, so it can be broadcast.
+
+    A fuller one lets more through; what passes is to be joined exactly, or does no harm.
+    """
+    bits = 1 << max(10, min(int(log2(most_bits)), ceil(log2(16 * max(1, hashes.count())))))
+    place = F.shiftrightunsigned("h", 64 - int(log2(bits)))
+    words = hashes.groupBy(F.shiftright(place, 6).alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("b")
+    ).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out.view(np.uint64)
+
+
+def in_filter(seen: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether hashes may be in a hash_filter."""
+    place = hashes >> np.uint64(64 - int(log2(len(seen) * 64)))
+    return (seen[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
