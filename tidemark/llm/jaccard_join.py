@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import hash_filter, in_filter, stored
 from tidemark.llm.shingles import mix, shingle_sets
 
 #: Pivots that a region takes one after the other before the rest is compared through their windows.
 LEVELS = 3
 #: Rows that one task looks through for regions.
 REGION_ROWS = 1_000_000
+#: Shingles are counted in so many groups of hashes; bytes of a hash that name a region.
+GROUPS, NAME_BYTES = 128, 5
 
 
 def _utf8(batch: pa.RecordBatch, column: int) -> list[bytes]:
@@ -51,13 +53,14 @@ def common_shingles(docs: DataFrame, one_in: int = 16, least: int = 8, most: int
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["s"])
 
     counted = rows.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    top = counted.orderBy(F.desc("n"), "s").limit(most).select("s").toPandas()["s"]
-    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+    top = counted.orderBy(F.desc("n"), "s").limit(most).select("s").toArrow()["s"]
+    return np.sort(top.to_numpy().astype(np.int64).view(np.uint64))
 
 
 def shingle_prefixes(docs: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, k1, k2, cold, prefix) per document: set size, a 128-bit key of the set, and its first shingles in the order of
-    pivots, of which the first `cold` are not common."""
+    """(doc_id, n, k1, k2, cold, prefix, counts) per document: set size, a 128-bit key of the set, its first shingles in the order
+    of pivots (the low bytes of their hashes), of which the first `cold` are not common, and its number of shingles in each of
+    GROUPS groups, up to 255. Where two hashes share their low bytes, two regions become one; that loses nothing."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,6 +71,7 @@ def shingle_prefixes(docs: DataFrame, percent: int, common: np.ndarray) -> DataF
                 n = len(found)
                 length = n - ceil(percent * n / 100) + 1 if n else 0
                 cold = length
+                counts = np.minimum(np.bincount((found >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), 255)
                 k1, k2 = mix(found, 1).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(found, 2)) if n else 0
                 if n and len(hot):
                     at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
@@ -75,14 +79,24 @@ def shingle_prefixes(docs: DataFrame, percent: int, common: np.ndarray) -> DataF
                     if is_hot.any():
                         cold = min(length, n - int(is_hot.sum()))
                         found = np.concatenate([found[~is_hot], found[is_hot]])
-                rows.append((doc_id, n, int(np.int64(np.uint64(k1).view(np.int64))), int(np.uint64(k2).view(np.int64)), cold, found[:length].tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                rows.append((doc_id, n, int(np.int64(np.uint64(k1).view(np.int64))), int(np.uint64(k2).view(np.int64)), cold, _names(found[:length]), counts.astype(np.uint8).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             columns = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "k1", "k2", "cold", "prefix"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "k1", "k2", "cold", "prefix", "counts"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, cold int, prefix binary")
+    schema = "doc_id long, n long, k1 long, k2 long, cold int, prefix binary, counts binary"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _names(hashes: np.ndarray) -> bytes:
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]).tobytes()
+
+
+def _from_names(data: bytes) -> np.ndarray:
+    short = np.frombuffer(data, np.uint8).reshape(-1, NAME_BYTES)
+    return np.pad(short, ((0, 0), (0, 8 - NAME_BYTES))).view("<i8").ravel()
 
 
 def _region_rows(classes: DataFrame, cold: bool) -> DataFrame:
@@ -91,7 +105,7 @@ def _region_rows(classes: DataFrame, cold: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_cold = batch.column(2).to_numpy()
-            flat = [np.frombuffer(p, np.int64) for p in batch.column(3).to_pylist()]
+            flat = [_from_names(p) for p in batch.column(3).to_pylist()]
             flat = [f[:c] if cold else f[c:] for f, c in zip(flat, n_cold)]
             lengths = np.array([len(f) for f in flat], np.int64)
             if not lengths.sum():
@@ -140,8 +154,32 @@ def _may_link(n1: Column, pos1: Column, n2: Column, pos2: Column, percent: int)
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (shared * (100 + percent) >= (n1 + n2) * percent)
 
 
-def _intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, both, either) for pairs (a, b) of reps: sizes of the intersection and the union of their sets."""
+def _near_by_counts(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that counts by group allow: sets differ in as many shingles, at least, as their counts differ by."""
+    first = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
+    second = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ca, cb = (
+                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int16) for i in (4, 5)
+            )
+            unlike = np.abs(ca - cb).sum(axis=1)
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = pa.array(unlike * (100 + percent) <= both * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    rows = pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "ca", "cb")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, both, either) for those pairs (a, b) that can be near: sizes of the intersection and the union of their sets."""
+    pairs = stored(_near_by_counts(pairs, classes, percent))
+    members = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = stored(_sets_of(docs, members))
     first = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha"))
     second = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"))
 
@@ -161,7 +199,7 @@ def _intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             )
 
     rows = pairs.join(second, "b").join(first, "a").select("a", "b", "ha", "hb")
-    return rows.mapInArrow(run, "a long, b long, both long, either long")
+    return stored(rows.mapInArrow(run, "a long, b long, both long, either long"))
 
 
 def similar_components(docs: DataFrame, percent: int = 75, n_partitions: int | None = None) -> DataFrame:
@@ -178,10 +216,11 @@ def similar_components(docs: DataFrame, percent: int = 75, n_partitions: int | N
     # all of a class have the same prefix: its bytes follow the smallest id without being compared
     classes = stored(
         known.filter("n > 0 and doc_id is not null").groupBy(*key).agg(
-            F.min("doc_id").alias("rep"), F.first("cold").alias("cold"), F.first("prefix").alias("prefix")
+            F.min("doc_id").alias("rep"), F.first("cold").alias("cold"), F.first("prefix").alias("prefix"),
+            F.first("counts").alias("counts"),
         )
     )
-    rows_in_all = classes.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
+    rows_in_all = classes.agg(F.sum(F.length("prefix") / NAME_BYTES)).first()[0] or 0
     partitions = max(n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows_in_all / REGION_ROWS))
     cold = _shared_regions(_region_rows(classes, True), partitions)
     common = stored(_region_rows(classes, False))
@@ -189,8 +228,6 @@ def similar_components(docs: DataFrame, percent: int = 75, n_partitions: int | N
     hot = common.join(centres.drop("other"), "s").select(*cold.columns)
     regions = stored(cold.unionByName(hot))
 
-    members = regions.select("rep").distinct()
-    sets = stored(_sets_of(docs, members))
     links, levels = None, []
     active, found = regions, None
     for level in range(LEVELS):
@@ -202,7 +239,7 @@ def similar_components(docs: DataFrame, percent: int = 75, n_partitions: int | N
         fits = _may_link(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"), percent)
         pairs = active.filter("rep <> pivot").join(place, "s").filter(fits)
         pairs = pairs.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        measured = stored(_intersections(pairs, sets))
+        measured = _measured(pairs, docs, classes, percent)
         levels.append((active.select("s", "rep", "pivot"), measured))
         near = measured.filter(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
         links = near if links is None else links.unionByName(near)
@@ -210,7 +247,7 @@ def similar_components(docs: DataFrame, percent: int = 75, n_partitions: int | N
         active = _labelled(active, found)
 
     rest = _rest_pairs(_labelled(regions, found), levels, percent)
-    measured = stored(_intersections(rest, sets))
+    measured = _measured(rest, docs, classes, percent)
     near = measured.filter(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
     found = connected_components(links.unionByName(near))
 
@@ -224,15 +261,18 @@ def similar_components(docs: DataFrame, percent: int = 75, n_partitions: int | N
 
 
 def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(rep, hashes) for the documents that share a region."""
+    """(rep, hashes) for the members. A filter of them picks the texts where they lie, so texts are not shuffled."""
+    seen = hash_filter(members.select(F.xxhash64("rep").alias("h")))
+    sent = docs.sparkSession.sparkContext.broadcast(seen)  # bounded, see hash_filter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(in_filter(sent.value, batch.column(2).to_numpy().view(np.uint64))))
             hashes = pa.array([x.tobytes() for x in shingle_sets(_utf8(batch, 1))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), hashes], names=["rep", "hashes"])
 
-    some = docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    return some.mapInArrow(run, "rep long, hashes binary")
+    some = docs.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    return some.mapInArrow(run, "rep long, hashes binary").join(members, "rep", "left_semi")
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
