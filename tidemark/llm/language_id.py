@@ -238,9 +238,9 @@ def train(
             yield pd.DataFrame({"piece": at, "language": column, "n": sums[at, column]})
 
         counted = words.mapInPandas(expect, "piece long, language long, n double")
-        counted = counted.groupBy("piece", "language").agg(F.sum("n").alias("n")).toPandas()
+        counted = counted.groupBy("piece", "language").agg(F.sum("n").alias("n")).toArrow()
         got = np.zeros_like(p)
-        got[counted["piece"], counted["language"]] = counted["n"]
+        got[counted["piece"].to_numpy(), counted["language"].to_numpy()] = counted["n"].to_numpy()
         p = (got + smoothing) / (got + smoothing).sum(axis=0)
     return Model(languages, p, vocabulary)
 

@@ -133,11 +133,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, prior: float
             flat = [features(t.as_py() or "").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, pa.binary())], names=["doc_id", "features"])
 
-    found = rows.mapInArrow(run, "doc_id long, features binary").join(marks, "doc_id", "left").toPandas()
-    found = found.sort_values(["doc_id", "features"])
+    found = rows.mapInArrow(run, "doc_id long, features binary").join(marks, "doc_id", "left").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("features", "ascending")])
     width = len(NAMED) + PAIRS
-    x = np.frombuffer(b"".join(found["features"]), np.float32).reshape(len(found), width).astype(np.float64)
-    quality = found["quality"].to_numpy(float, na_value=np.nan)
+    x = np.frombuffer(b"".join(found["features"].to_pylist()), np.float32).reshape(len(found), width).astype(np.float64)
+    quality = found["quality"].cast(pa.float64()).to_pandas().to_numpy()
     positive, unlabelled = x[quality == 1], x[np.isnan(quality)]
     if not len(positive) or not len(unlabelled):
         p = 0.5 if prior is None else prior
