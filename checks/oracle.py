@@ -593,12 +593,31 @@ def _views(q, known: dict[str, str], rules: Rules) -> dict[str, str]:
         "slice_renewal_by_plan": f"FROM {sub('renewal_analysis')} WHERE segment_type = 'plan'",
         "slice_retention_overall": f"""FROM {sub('retention_long')}
   WHERE segment_type = 'overall' AND period = {last}""",
+        "slice_retention_channel_curves":
+            f"FROM {sub('retention_long')} WHERE segment_type = 'channel'",
+        "slice_retention_tier_by_period":
+            f"FROM {sub('retention_long')} WHERE segment_type = 'tier'",
+        **{
+            f"slice_retention_card_{k}":
+                f"FROM {sub('retention_long')} WHERE segment_type = 'overall' AND period = {n}"
+            for k, n in card_periods(rules).items()
+        },
+        "slice_activation_channels": f"""FROM {sub('activation_analysis')}
+  WHERE segment_type <> 'channel' OR segment IN {tuple(rules.channels[:2])}""",
+        "slice_renewal_plans": f"""FROM {sub('renewal_analysis')}
+  WHERE segment_type <> 'plan' OR segment IN {tuple(rules.plans[1:3])}""",
         "slice_cohort_m12": f"FROM {sub('cohort_retention')} WHERE months_since_register <= 12",
         "slice_mrr_range": f"""SELECT * RENAME (month AS month_start) FROM {sub('mrr_arr')}
   WHERE month BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'""",
     }
 
 
+def card_periods(rules) -> dict[str, int]:
+    """The periods of the dashboard's retention cards."""
+    days = sorted(rules.periods)
+    return {"short": days[0], "middle": days[len(days) // 2], "long": days[-1]}
+
+
 # ---- the given tables as users, activity, subscription --------------------------
 
 COMMERCE = (

@@ -8,7 +8,7 @@ import __spark_entry__ as contract
 from checks.compare import connect, differences
 
 SMALL = contract.SMALL
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = contract.metric_queries(), contract.metric_sql()
 
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="no test data here")
 

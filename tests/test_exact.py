@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import exact
 from tidemark.functions.calendar import month_gap
-from tidemark.plans.ranking import tile, with_global_rank
+from tidemark.plans.ranking import ranked_ties, ranked_values, rows_between, tile_end
 
 
 def half_up(n: int, d: int, scale: int) -> int | None:
@@ -47,23 +47,31 @@ def test_month_gap_counts_month_boundaries(spark):
     assert tuple(got) == (1, 12)
 
 
-def test_global_rank_and_tiles_match_the_window_functions(spark):
-    for n in (1, 5, 99, 100, 101, 250, 1500):
-        # A third of the rows share one value, so ties span several ranges.
-        df = spark.range(n).select(
-            F.col("id").alias("user_id"),
-            F.when(F.col("id") % 3 == 0, 7).otherwise(F.hash("id") % 50).alias("v"),
+def test_ranks_and_tiles_match_the_window_functions(spark):
+    for n in (1, 5, 99, 101, 250, 1500):
+        # A third of the rows share one value; others are negative or very large.
+        value = F.when(F.col("id") % 3 == 0, 7).otherwise(
+            (F.hash("id") % 50) * F.when(F.col("id") % 5 == 0, 10**12 + 1).otherwise(1)
         )
-        order = [F.desc("v"), F.asc("user_id")]
-        ranked = with_global_rank(df, *order).select(
-            "user_id", "row_rank", tile(100).alias("t100"), tile(10).alias("t10")
-        )
-        everything = Window.orderBy(*order)
+        df = spark.range(n).select(F.col("id").alias("user_id"), value.cast("bigint").alias("value"))
+        values = ranked_values(df, "value")
+        tied = df.join(values, "value")
+        placed = ranked_ties(tied, "value", "user_id").withColumn("rank", F.col("before") + F.col("place"))
+        everything = Window.orderBy(F.desc("value"), F.asc("user_id"))
         expected = df.select(
-            "user_id",
-            F.row_number().over(everything).cast("bigint").alias("row_rank"),
-            F.ntile(100).over(everything).alias("t100"),
-            F.ntile(10).over(everything).alias("t10"),
+            "user_id", F.row_number().over(everything).cast("bigint").alias("rank"),
+            F.ntile(10).over(everything).alias("tile"),
         )
-        assert ranked.exceptAll(expected).count() == 0
-        assert ranked.count() == n
+        assert placed.select("user_id", "rank").exceptAll(expected.select("user_id", "rank")).count() == 0
+        assert placed.count() == n
+        for tile in range(1, 11):
+            inside = rows_between(tile_end(tile - 1, 10), tile_end(tile, 10))
+            users = values.agg(F.sum(inside)).first()[0]
+            assert users == expected.filter(F.col("tile") == tile).count()
+
+
+def test_all_values_equal(spark):
+    df = spark.range(37).select(F.col("id").alias("user_id"), F.lit(5).cast("bigint").alias("value"))
+    assert [tuple(r) for r in ranked_values(df, "value").collect()] == [(5, 37, 0, 37)]
+    places = ranked_ties(df, "value", "user_id").orderBy("user_id").collect()
+    assert [r.place for r in places] == list(range(1, 38))

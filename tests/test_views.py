@@ -6,7 +6,11 @@ import glob
 import pytest
 
 from tidemark.operators import export, funnel, growth, retention, revenue, views
+from tidemark.plans import scratch
 from tidemark.plans.rollups import materialize, materialize_bucketed, user_facts
+from tidemark.sources.commerce import RULES, commerce_model
+
+SMALL = "/root/testdata/sf0.001"
 from tidemark.model import Rules
 
 
@@ -54,9 +58,13 @@ def test_export_replaces_earlier_output(spark, hand, tmp_path):
     assert rows(export.read_export(spark, path, df)) == rows(df)
 
 
-def test_filters_ignore_columns_a_table_lacks(hand):
+def test_filters_on_columns_a_table_lacks(hand):
     df = revenue.revenue_by_channel(hand)
-    assert views.slice_rows(df, period=7, max_months=3, segment_type="plan").count() == df.count()
+    every = dict(period=7, max_months=3, segment_type="plan", plans=["Pro"], ignore_missing=True)
+    assert views.slice_rows(df, **every).count() == df.count()
+    for one in ({"period": 7}, {"max_months": 3}, {"segment_type": "plan"}, {"plans": ["Pro"]}):
+        with pytest.raises(ValueError):
+            views.slice_rows(df, **one)
     assert rows(views.slice_rows(df, channels=["Email"]).select("acquisition_channel")) == [("Email",)]
     long = views.slice_rows(funnel.activation_analysis(hand), channels=["Email"])
     kinds = {(r.segment_type, r.segment) for r in long.collect() if r.segment_type == "channel"}
@@ -78,6 +86,23 @@ def test_rollups_do_not_change_results(spark, hand):
         assert rows(metric(rolled)) == rows(metric(hand))
 
 
+def test_views_of_a_materialized_model_read_only_rollups(spark):
+    model = commerce_model(spark, SMALL)
+    rolled = materialize(model, rules=RULES)
+    for name in views.VIEWS:
+        text = views.build_view(name, rolled, RULES)._jdf.queryExecution().optimizedPlan().toString()
+        assert "o_orderkey" not in text and "o_custkey" not in text and "stored_" not in text
+        assert rows(views.build_view(name, rolled, RULES)) == rows(views.build_view(name, model, RULES))
+
+
+def test_scratch_needs_a_shared_folder_and_removes_only_there(spark):
+    path = scratch.scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert scratch.remove(spark, path) and not scratch.remove(spark, path)
+    with pytest.raises(ValueError):
+        scratch.remove(spark, "/somewhere/else")
+
+
 def test_bucketed_rollups_need_no_user_shuffle(spark, hand):
     spark.sql("CREATE DATABASE IF NOT EXISTS rollup_test")
     rolled = materialize_bucketed(hand, "rollup_test", 4)

@@ -13,27 +13,42 @@ from tidemark import schema
 class Model:
     """Three input tables, plus optional materialised rollups of them.
 
-    ``user_day`` and ``user_revenue`` hold what :mod:`tidemark.plans.rollups`
-    would otherwise compute per query; attach them with
-    :func:`tidemark.plans.rollups.materialize`.
+    The second group of fields is about storage; metrics give the same rows without it, from
+    plans that read more. ``activity_time`` names a stored timestamp column of ``activity`` whose
+    date is ``activity_date``, ``activity_month`` a partition column with its month: limits on days
+    are put on these, so that they reach the scan. ``payments`` are rows of ``subscription`` before
+    they are restricted to the users in ``payers``, so that they can be summed before that join;
+    ``success`` is the condition for a successful payment on a stored column.
+
+    The third group holds what :mod:`tidemark.plans.rollups` would otherwise compute per query;
+    attach it with :func:`tidemark.plans.rollups.materialize`.
     """
 
     users: DataFrame
     activity: DataFrame
     subscription: DataFrame
+
+    activity_time: str | None = None
+    activity_month: str | None = None
+    payments: DataFrame | None = None
+    payers: DataFrame | None = None
+    success: str | None = None
+
     user_day: DataFrame | None = None
     user_revenue: DataFrame | None = None
+    paid_months: DataFrame | None = None
+    last_day: DataFrame | None = None
+    facts: DataFrame | None = None
+    facts_rules: Rules | None = None
 
     @property
     def spark(self) -> SparkSession:
         return self.users.sparkSession
 
     def tables(self) -> dict[str, DataFrame]:
-        return {
-            "users": self.users,
-            "activity": self.activity,
-            "subscription": self.subscription,
-        }
+        """The tables with just the columns of their schemas."""
+        frames = {"users": self.users, "activity": self.activity, "subscription": self.subscription}
+        return {name: df.select(*schema.TABLES[name].fieldNames()) for name, df in frames.items()}
 
 
 @dataclass(frozen=True)

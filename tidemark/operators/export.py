@@ -8,12 +8,11 @@ from tidemark.model import Model, Rules
 from tidemark.operators.views import VIEWS, build_view
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = True) -> str:
+def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     """Write ``df`` as CSV with a header, replacing ``path``, and return the path.
 
-    ``single_file`` suits the dashboard views, which hold one row per month and segment.
-    The rows are computed in parallel first and only the result is gathered; turn it off
-    for anything that grows with users or payments.
+    ``single_file`` is for results as small as the dashboard views, with one row per month
+    and segment: the rows are computed in parallel, and only the result is gathered.
     """
     out = df.repartition(1) if single_file else df
     out.write.mode("overwrite").option("header", True).csv(path)
@@ -43,12 +42,12 @@ def export_views(
     for name in names:
         view = VIEWS[name]
         df = build_view(name, model, rules)
-        path = export_csv(df, f"{folder}/{name}.csv")
+        path = export_csv(df, f"{folder}/{name}.csv", single_file=True)
         rows = read_export(spark, path, df).count()
         entries.append((name, view.dashboard, rows, _size_kb(spark, path), view.primary_use))
     manifest = spark.createDataFrame(
         entries,
         "view_name string, dashboard string, rows bigint, size_kb double, primary_use string",
     )
-    export_csv(manifest, f"{folder}/manifest.csv")
+    export_csv(manifest, f"{folder}/manifest.csv", single_file=True)
     return manifest

@@ -11,7 +11,7 @@ from tidemark.functions import exact
 from tidemark.functions.calendar import month_of, week_of
 from tidemark.functions.cohorts import is_paid, slug
 from tidemark.model import Model, Rules
-from tidemark.plans.rollups import active_days, today, user_month
+from tidemark.plans.rollups import active_days, recent_days, today, user_month
 
 
 # ---- user mix -------------------------------------------------------------------
@@ -42,18 +42,14 @@ def total_registered(model: Model) -> DataFrame:
 
 
 def _active_users(model: Model, bucket: Column, name: str, out: str, days: int | None = None):
-    rows = active_days(model)
-    if days is not None:
-        rows = rows.where(F.col("activity_date") >= today(model, days))
+    rows = active_days(model) if days is None else recent_days(model, days)
     return rows.groupBy(bucket.alias(name)).agg(F.count_distinct("user_id").alias(out))
 
 
 def _daily(model: Model, days: int | None = None) -> DataFrame:
     if model.user_day is None:
         return _active_users(model, F.col("activity_date"), "activity_date", "dau", days)
-    rows = model.user_day
-    if days is not None:
-        rows = rows.where(F.col("activity_date") >= today(model, days))
+    rows = active_days(model) if days is None else recent_days(model, days)
     return rows.groupBy("activity_date").agg(F.count("user_id").alias("dau"))
 
 
@@ -234,8 +230,8 @@ def headline_kpis(model: Model) -> DataFrame:
     """
     cut, last = today(model, 30), F.col("last_day")
     recent = (
-        active_days(model)
-        .where((F.col("activity_date") > cut) & F.col("user_id").isNotNull())
+        recent_days(model, 30 - 1)
+        .where(F.col("user_id").isNotNull())
         .groupBy("user_id")
         .agg(F.max("activity_date").alias("last_day"))
         .agg(

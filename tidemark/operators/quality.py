@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import exact
 from tidemark.functions.cohorts import is_paid
 from tidemark.model import Model
+from tidemark.plans.rollups import of_payers, payment_rows
 from tidemark.schema import FAILED, PRIMARY_KEYS, REFUNDED, SUCCESS
 
 
@@ -113,14 +114,19 @@ def channel_conversion_check(model: Model) -> DataFrame:
 
 def payments_sanity(model: Model) -> DataFrame:
     status = F.col("payment_status")
-    return model.subscription.agg(
+    per_user = payment_rows(model).groupBy("user_id").agg(
         F.count("*").alias("total_records"),
         F.count_if(status == SUCCESS).alias("success"),
         F.count_if(status == FAILED).alias("failed"),
         F.count_if(status == REFUNDED).alias("refunded"),
         F.min("payment_date").alias("first_payment"),
         F.max("payment_date").alias("last_payment"),
-        exact.money(
-            F.sum(F.when(status == SUCCESS, exact.cents(F.col("amount"))))
-        ).alias("total_revenue"),
+        F.sum(F.when(status == SUCCESS, exact.cents(F.col("amount")))).alias("cents"),
+    )
+    counts = ("total_records", "success", "failed", "refunded")
+    return of_payers(model, per_user).agg(
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counts],
+        F.min("first_payment").alias("first_payment"),
+        F.max("last_payment").alias("last_payment"),
+        exact.money(F.sum("cents")).alias("total_revenue"),
     )

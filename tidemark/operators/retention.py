@@ -68,22 +68,22 @@ def retention_longest_by_plan(model: Model, rules: Rules = Rules()) -> DataFrame
 def _cohort_cells(model: Model) -> DataFrame:
     """Users of each register month who were active K calendar months later."""
     cohorts = model.users.select("user_id", month_of("register_date").alias("cohort_month"))
-    months = (
-        active_days(model)
-        .select("user_id", month_of("activity_date").alias("active_month"))
-        .distinct()
+    months = active_days(model).groupBy("user_id").agg(
+        F.collect_set(month_of("activity_date")).alias("months")  # as many as the calendar has
     )
-    cells = (
-        cohorts.join(months, "user_id")
-        .where(F.col("active_month") >= F.col("cohort_month"))
-        .groupBy(
-            "cohort_month",
-            month_gap(F.col("cohort_month"), F.col("active_month")).alias("months_since_register"),
-        )
+    later = F.filter("months", lambda m: m >= F.col("cohort_month"))
+    member = F.array(F.lit(None).cast("date"))  # one row for the user beside those of active months
+    rows = cohorts.where(F.col("cohort_month").isNotNull()).join(months, "user_id", "left").select(
+        "cohort_month", F.explode(F.concat(member, F.coalesce(later, F.array().cast("array<date>")))).alias("active_month")
+    )
+    gap = month_gap(F.col("cohort_month"), F.col("active_month"))
+    size = F.max(F.when(F.col("months_since_register").isNull(), F.col("active_users")))
+    return (
+        rows.groupBy("cohort_month", gap.alias("months_since_register"))
         .agg(F.count("*").alias("active_users"))
+        .withColumn("cohort_users", size.over(Window.partitionBy("cohort_month")))
+        .where(F.col("months_since_register").isNotNull())
     )
-    sizes = cohorts.groupBy("cohort_month").agg(F.count("*").alias("cohort_users"))
-    return cells.join(sizes, "cohort_month")
 
 
 def cohort_retention(model: Model) -> DataFrame:

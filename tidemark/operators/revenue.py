@@ -7,9 +7,15 @@ from tidemark.functions import exact
 from tidemark.functions.calendar import month_of, months_until, plus_months
 from tidemark.functions.cohorts import is_paid
 from tidemark.model import Model
-from tidemark.plans.ranking import tile, with_global_rank
+from tidemark.plans.ranking import ranked_values, rows_between, tile_end
 from tidemark.plans.recurring import recurring_levels, recurring_levels_by_plan
-from tidemark.plans.rollups import successful, user_revenue, users_with_revenue
+from tidemark.plans.rollups import (
+    of_payers,
+    paid_months,
+    payment_rows,
+    user_revenue,
+    users_with_revenue,
+)
 from tidemark.schema import REFUNDED, SUCCESS
 
 # Concentration buckets, as the last percentile of each and its label.
@@ -30,10 +36,14 @@ def cash_revenue_monthly(model: Model) -> DataFrame:
     in_cents = exact.cents(F.col("amount"))
     paid = F.sum(F.when(F.col("payment_status") == SUCCESS, in_cents))
     refunded = F.sum(F.when(F.col("payment_status") == REFUNDED, in_cents))
+    per_user = payment_rows(model).groupBy("user_id", month_of("payment_date").alias("month")).agg(
+        F.count("*").alias("payments"), paid.alias("paid"), refunded.alias("refunded")
+    )
+    paid, refunded = F.sum("paid"), F.sum("refunded")
     return (
-        model.subscription.groupBy(month_of("payment_date").alias("month"))
+        of_payers(model, per_user).groupBy("month")
         .agg(
-            F.count("*").alias("payments"),
+            F.sum("payments").alias("payments"),
             exact.money(paid).alias("revenue"),
             exact.money(refunded).alias("refunded"),
             exact.money(F.coalesce(paid, F.lit(0)) - F.coalesce(refunded, F.lit(0))).alias("net_revenue"),
@@ -109,7 +119,7 @@ def mrr_by_plan(model: Model) -> DataFrame:
 
 
 def arpu_lifetime(model: Model) -> DataFrame:
-    revenue = successful(model).agg(F.sum(exact.cents(F.col("amount"))).alias("cents"))
+    revenue = user_revenue(model).agg(F.sum("cents").alias("cents"))
     cents = F.col("cents")
     return (
         model.users.agg(
@@ -137,9 +147,9 @@ def arpu_running(model: Model) -> DataFrame:
         F.lit(0).cast("bigint").alias("cents"),
     )
     revenue = (
-        successful(model)
-        .groupBy(month_of("payment_date").alias("month"))
-        .agg(F.sum(exact.cents(F.col("amount"))).alias("cents"))
+        paid_months(model)
+        .groupBy(F.col("start_month").alias("month"))
+        .agg(F.sum("cents").alias("cents"))
         .select(
             "month",
             F.lit(0).cast("bigint").alias("users"),
@@ -220,9 +230,9 @@ def _share() -> Column:
 def revenue_by_plan_detail(model: Model) -> DataFrame:
     """Revenue per plan where a payer is anyone with a payment row, whatever its status."""
     in_cents = F.when(F.col("payment_status") == SUCCESS, exact.cents(F.col("amount")))
-    payments = model.subscription.groupBy("user_id").agg(
+    payments = of_payers(model, payment_rows(model).groupBy("user_id").agg(
         F.count("*").alias("payments"), F.sum(in_cents).alias("cents")
-    )
+    ))
     return (
         model.users.select("user_id", "plan_type")
         .join(payments, "user_id", "left")
@@ -322,22 +332,13 @@ def top_channels_by_revenue(model: Model, k: int = 3) -> DataFrame:
 
 
 def top_customers(model: Model, k: int = 10) -> DataFrame:
-    """Users with the highest lifetime revenue; ties go to the smaller ``user_id``.
-
-    The ``k`` users are found on ids alone; only their profiles are then fetched.
-    """
+    """Users with the highest lifetime revenue; ties go to the smaller ``user_id``."""
     profile = ("user_id", "country", "acquisition_channel", "plan_type", "company_size")
-    ranking = (F.desc_nulls_last("cents"), F.asc("user_id"))
-    best = (
-        user_revenue(model)
-        .join(model.users.select("user_id"), "user_id", "left_semi")
-        .orderBy(*ranking)
-        .limit(k)
-    )
     return (
         model.users.select(*profile)
-        .join(F.broadcast(best), "user_id")
-        .orderBy(*ranking)
+        .join(user_revenue(model), "user_id")
+        .orderBy(F.desc_nulls_last("cents"), F.asc("user_id"))
+        .limit(k)
         .select(
             *profile,
             exact.money(F.col("cents")).alias("lifetime_revenue"),
@@ -357,25 +358,25 @@ def top_customers_table(model: Model, k: int = 10) -> DataFrame:
     )
 
 
-def ranked_payers(model: Model) -> DataFrame:
-    """Payers with their rank by lifetime revenue, ties broken by ``user_id``."""
-    payers = user_revenue(model).select("user_id", "pay_cnt", "cents")
-    return with_global_rank(payers, F.desc_nulls_last("cents"), F.asc("user_id"))
-
-
 def _pareto(model: Model) -> DataFrame:
-    percentile = F.col("percentile")
-    label = F.lit(PARETO_BUCKETS[-1][1])
-    for last, name in reversed(PARETO_BUCKETS[:-1]):
-        label = F.when(percentile <= last, name).otherwise(label)
+    """Payers by revenue percentile. Only sums are asked for, so payers of one amount are counted, not ranked."""
+    amounts = ranked_values(user_revenue(model), "cents")
+    last = 0
+    parts = []
+    for percentile, name in PARETO_BUCKETS:
+        parts.append(F.struct(
+            F.lit(name).alias("segment"), F.lit(last + 1).alias("sort_order"),
+            rows_between(tile_end(last, 100), tile_end(percentile, 100)).alias("users"),
+        ))
+        last = percentile
     return (
-        ranked_payers(model)
-        .withColumn("percentile", tile(100))
-        .groupBy(label.alias("segment"))
+        amounts.select("value", F.inline(F.array(*parts)))
+        .where(F.col("users") > 0)
+        .groupBy("segment")
         .agg(
-            F.min("percentile").alias("sort_order"),
-            F.count("*").alias("users"),
-            F.sum("cents").alias("cents"),
+            F.min("sort_order").alias("sort_order"),
+            F.sum("users").alias("users"),
+            F.sum(F.col("users") * F.col("value")).alias("cents"),
         )
         .withColumn("share", exact.half_up(F.col("cents"), F.sum("cents").over(Window.partitionBy()), 10_000))
     )

@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import exact
 from tidemark.model import Model, Rules
 from tidemark.operators import funnel, growth, retention, revenue
-from tidemark.plans.rollups import successful, user_revenue
+from tidemark.plans.rollups import user_revenue
 from tidemark.schema import size_order
 
 
@@ -108,21 +108,25 @@ def slice_rows(
     last_date: date | None = None,
     channels: Iterable[str] | None = None,
     plans: Iterable[str] | None = None,
+    ignore_missing: bool = False,
 ) -> DataFrame:
-    """Dashboard filters. One that names a column the table lacks leaves it unchanged."""
-    if segment_type is not None and "segment_type" in df.columns:
-        df = df.where(F.col("segment_type") == segment_type)
-    if segment is not None and "segment" in df.columns:
-        df = df.where(F.col("segment") == segment)
-    if period is not None and "period" in df.columns:
-        df = df.where(F.col("period") == period)
-    if max_months is not None and "months_since_register" in df.columns:
-        df = df.where(F.col("months_since_register") <= max_months)
-    day = next((name for name in DATE_COLUMNS if name in df.columns), None)
-    if day and first_date is not None:
-        df = df.where(F.col(day) >= F.lit(first_date))
-    if day and last_date is not None:
-        df = df.where(F.col(day) <= F.lit(last_date))
+    """Dashboard filters. One that names a column the table lacks raises, or with ``ignore_missing`` leaves it unchanged."""
+    day = next((name for name in DATE_COLUMNS if name in df.columns), DATE_COLUMNS[0])
+    tests = (
+        ("segment_type", segment_type, Column.__eq__),
+        ("segment", segment, Column.__eq__),
+        ("period", period, Column.__eq__),
+        ("months_since_register", max_months, Column.__le__),
+        (day, first_date, Column.__ge__),
+        (day, last_date, Column.__le__),
+    )
+    for column, value, test in tests:
+        if value is None:
+            continue
+        if column in df.columns:
+            df = df.where(test(F.col(column), F.lit(value)))
+        elif not ignore_missing:
+            raise ValueError(f"the table has no column {column}")
     for column, kind, values in (
         (CHANNEL_COLUMN, "channel", channels),
         ("plan_type", "plan", plans),
@@ -134,6 +138,8 @@ def slice_rows(
             df = df.where(F.col(column).isin(values))
         elif "segment_type" in df.columns:
             df = df.where((F.col("segment_type") != kind) | F.col("segment").isin(values))
+        elif not ignore_missing:
+            raise ValueError(f"the table has no column {column} and no segments")
     return df
 
 
@@ -159,7 +165,7 @@ def activation_by_segment(model: Model, kind: str, rules: Rules = Rules()) -> Da
 
 def latest_kpi_cards(model: Model) -> DataFrame:
     """(kpi, value): users, trailing MAU, MRR of the last payment month, ARPU, conversion, renewal."""
-    last_month = successful(model).agg(F.trunc(F.max("payment_date"), "month").alias("m"))
+    last_month = user_revenue(model).agg(F.trunc(F.max("last_payment"), "month").alias("m"))
     mrr = (
         revenue.mrr_arr(model)
         .where(F.col("month") == last_month.scalar())

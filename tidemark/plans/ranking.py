@@ -1,55 +1,74 @@
-"""Rank and tile all rows of a frame without gathering them in one task."""
+"""Ranks and tiles over all rows without gathering them in one task, from counts of values.
+
+A rank is the number of rows before a value plus a place among the rows of that value. The numbers of
+rows before come from two running sums: over coarse groups of values (by sign, length and leading
+bits, so there are at most a few thousand), and over the values inside a group.
+"""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.scratch import settle
-
+_LEADING = 10
 
-# ``monotonically_increasing_id`` holds the partition number above these bits and the
-# position of the row inside its partition in them.
-_POSITION_BITS = 33
 
+def _coarse(value: Column, text: bool) -> Column:
+    """A group that rises with the value: of text the beginning, of a whole number its length and leading bits; null stays null."""
+    if text:
+        return F.left(value, F.lit(_LEADING))
+    size = F.abs(value)
+    length = F.length(F.bin(size))
+    # lengths up to _LEADING keep the value itself
+    top = F.call_function("shiftright", size, F.greatest(length - _LEADING, F.lit(0)))
+    key = length * (1 << _LEADING) + top
+    return F.when(value < 0, -key).when(value >= 0, key)
 
-def with_global_rank(df: DataFrame, *order: Column) -> DataFrame:
-    """Add ``row_rank`` (1..N) and ``row_total`` (N) in the given total order.
 
-    ``order`` must end in a unique key: it splits runs of equal leading values over
-    several ranges, and makes ranks repeatable. Rows are sorted once, in ranges, and
-    numbered inside each range; the sizes of the ranges before it complete the rank. The
-    sorted rows are settled first: range bounds come from a sample, so the ranges must
-    not be computed twice.
-    """
-    row_id = F.col("_row_id")
-    numbered = (
-        settle(df.orderBy(*order).withColumn("_row_id", F.monotonically_increasing_id()))
-        .withColumn("_range", F.shiftright(row_id, _POSITION_BITS))
-        .withColumn("_position", row_id.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)) + 1)
-    )
-    by_range = Window.orderBy("_range")
-    # One row per range: bounded by the number of shuffle partitions.
-    shifts = (
-        numbered.groupBy("_range").agg(F.count("*").alias("_size"))
-        .select(
-            "_range",
-            F.coalesce(
-                F.sum("_size").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("_shift"),
-            F.sum("_size").over(Window.partitionBy()).alias("row_total"),
-        )
+def _before(counts: DataFrame, value: str, descending: bool, *by: str) -> DataFrame:
+    """Adds before: the number of rows (n) with an earlier value of the same ``by``; null values come last."""
+    order = F.desc_nulls_last if descending else F.asc_nulls_last
+    text = dict(counts.dtypes)[value] == "string"
+    coarse = counts.withColumn("_group", _coarse(F.col(value), text))
+    earlier = (Window.unboundedPreceding, -1)
+    groups = coarse.groupBy(*by, "_group").agg(F.sum("n").alias("_size"))
+    line = (Window.partitionBy(*by) if by else Window).orderBy(order("_group")).rowsBetween(*earlier)
+    groups = groups.select(
+        *[F.col(c).alias(f"_{c}") for c in by], F.col("_group").alias("_g"), F.coalesce(F.sum("_size").over(line), F.lit(0)).alias("_shift")
     )
+    same = F.col("_group").eqNullSafe(F.col("_g"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    line = Window.partitionBy(*by, "_group").orderBy(order(value)).rowsBetween(*earlier)
     return (
-        numbered.join(F.broadcast(shifts), "_range")
-        .withColumn("row_rank", F.col("_position") + F.col("_shift"))
-        .drop("_row_id", "_range", "_position", "_shift")
+        coarse.join(groups, same)
+        .withColumn("before", F.col("_shift") + F.coalesce(F.sum("n").over(line), F.lit(0)))
+        .drop("_group", "_g", "_shift", *[f"_{c}" for c in by])
     )
 
 
-def tile(buckets: int, rank: str = "row_rank", total: str = "row_total") -> Column:
-    """``ntile(buckets)`` in closed form: the first ``total % buckets`` tiles get one row more."""
-    r, n, k = F.col(rank), F.col(total), F.lit(buckets)
-    extra = n % k
-    small = F.floor(n / k)
-    in_large = extra * (small + 1)
-    later = extra + F.ceil((r - in_large) / F.nullif(small, F.lit(0)))
-    return F.when(r <= in_large, F.ceil(r / (small + 1))).otherwise(later).cast("int")
+def ranked_values(df: DataFrame, value: str, *sums: Column) -> DataFrame:
+    """(value, n, sums, before, total) for each different whole number, the largest first, null last.
+
+    n rows have the value, ``before`` rows a larger one; total counts all rows.
+    """
+    counts = df.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"), *sums)
+    total = df.agg(F.count("*").alias("total"))
+    return _before(counts, "value", True).withColumn("total", total.scalar())
+
+
+def ranked_ties(tied: DataFrame, value: str, key: str) -> DataFrame:
+    """tied with place: the number, from 1, of a row among those of its value by ``key``, which is unique."""
+    counts = tied.select(value, key).withColumn("n", F.lit(1))
+    places = _before(counts, key, False, value).select(F.col(key).alias("_key"), (F.col("before") + 1).alias("place"))
+    return tied.join(places, F.col(key) == F.col("_key")).drop("_key")
+
+
+def tile_end(last: int, tiles: int, total: str = "total") -> Column:
+    """Rank of the last row of tile number ``last`` of ``ntile(tiles)``: the first ``total % tiles`` have one row more."""
+    n = F.col(total)
+    return F.floor(n / tiles) * last + F.least(n % tiles, F.lit(last))
+
+
+def rows_between(after: Column, upto: Column) -> Column:
+    """How many of a value's rows have ranks after the one and up to the other."""
+    first, last = F.greatest(F.col("before"), after), F.least(F.col("before") + F.col("n"), upto)
+    return F.greatest(last - first, F.lit(0))

@@ -12,32 +12,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import exact
 from tidemark.functions.calendar import month_of, months_until, plus_months
 from tidemark.model import Model
-from tidemark.plans.rollups import successful
-from tidemark.schema import ANNUAL, MONTHLY
+from tidemark.plans.rollups import SPREAD, paid_months
 
-SPREAD = 12
 _LEVELS = ("users", "payments", "amounts", "twelfths")
 
 
-def _paid_months(model: Model) -> DataFrame:
-    """Successful payments summed per user and payment month."""
-    kind = F.col("subscription_type")
-    in_cents = exact.cents(F.col("amount"))
-    return (
-        successful(model)
-        .where(F.col("payment_date").isNotNull())
-        .groupBy("user_id", month_of("payment_date").alias("start_month"))
-        .agg(
-            F.coalesce(F.sum(F.when(kind == MONTHLY, in_cents * SPREAD)), F.lit(0)).alias("short"),
-            F.coalesce(F.sum(F.when(kind == ANNUAL, in_cents)), F.lit(0)).alias("spread"),
-            F.count_if(kind == MONTHLY).alias("n_short"),
-            F.count_if(kind == ANNUAL).alias("n_spread"),
-            F.count(F.when(kind == MONTHLY, F.col("amount"))).alias("a_short"),
-            F.count(F.when(kind == ANNUAL, F.col("amount"))).alias("a_spread"),
-        )
-    )
-
-
 def _change(month: Column, **deltas: Column) -> Column:
     """One entry of the change log: a month and what rises or falls in it."""
     values = [
@@ -120,7 +99,7 @@ def recurring_levels(model: Model) -> DataFrame:
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = (
-        _paid_months(model)
+        paid_months(model)
         .withColumn("covered_until", covered_until)
         .select(
             "*",
@@ -152,7 +131,7 @@ def recurring_levels_by_plan(model: Model) -> DataFrame:
     Payments of unknown users are left out. Rows with ``is_calendar`` cover every
     calendar month and carry no plan.
     """
-    paid = _paid_months(model).join(model.users.select("user_id", "plan_type"), "user_id")
+    paid = paid_months(model).join(model.users.select("user_id", "plan_type"), "user_id")
     per_plan = _sum_changes(paid, _amount_changes(), "plan_type")
     both = per_plan.select(
         F.inline(

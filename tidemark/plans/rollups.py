@@ -17,7 +17,10 @@ from tidemark.functions import exact
 from tidemark.functions.calendar import month_of
 from tidemark.model import Model, Rules
 from tidemark.plans.scratch import scratch_path
-from tidemark.schema import SUCCESS
+from tidemark.schema import ANNUAL, MONTHLY, SUCCESS
+
+#: Months that an annual payment covers.
+SPREAD = 12
 
 
 def today(model: Model, days_ago: int = 0) -> Column:
@@ -26,8 +29,32 @@ def today(model: Model, days_ago: int = 0) -> Column:
     The wall clock is never used. The shift is made inside the subquery, so that a
     comparison with a stored date reaches the parquet scan as a plain literal.
     """
-    last = F.date_sub(F.max("activity_date"), days_ago)
-    return active_days(model).agg(last.alias("day")).scalar()
+    return _today(model, F.date_sub(F.max("activity_date"), days_ago))
+
+
+def _today(model: Model, value: Column) -> Column:
+    source = model.last_day if model.last_day is not None else active_days(model)
+    return source.agg(value.alias("day")).scalar()
+
+
+def recent_days(model: Model, days_ago: int) -> DataFrame:
+    """:func:`active_days` from ``days_ago`` days before today on.
+
+    On raw activity the limit is put on the stored time column and the partition column, where
+    the model names them: a date made from a timestamp would hide it from the scan.
+    """
+    if model.user_day is not None or model.activity_time is None and model.activity_month is None:
+        return active_days(model).where(F.col("activity_date") >= today(model, days_ago))
+    first = F.date_sub(F.max("activity_date"), days_ago)
+    rows = model.activity
+    if model.activity_month is not None:
+        rows = rows.where(F.col(model.activity_month) >= _today(model, F.trunc(first, "month")))
+    if model.activity_time is not None:
+        limit = _today(model, first.cast("timestamp_ntz"))
+        rows = rows.where(F.col(model.activity_time) >= limit)
+    else:
+        rows = rows.where(F.col("activity_date") >= _today(model, first))
+    return rows.select("user_id", "activity_date")
 
 
 def active_days(model: Model) -> DataFrame:
@@ -53,20 +80,58 @@ def user_month(model: Model) -> DataFrame:
     )
 
 
+def payment_rows(model: Model) -> DataFrame:
+    """Payments, in a model with ``payers`` also of others: sum them per user, then use :func:`of_payers`."""
+    return model.subscription if model.payments is None else model.payments
+
+
+def of_payers(model: Model, per_user: DataFrame) -> DataFrame:
+    """The rows of users whose payments count; a join of sums, not of payments."""
+    if model.payers is None:
+        return per_user
+    return per_user.join(model.payers, "user_id", "left_semi")
+
+
 def successful(model: Model) -> DataFrame:
-    return model.subscription.where(F.col("payment_status") == SUCCESS)
+    """The successful ones of :func:`payment_rows`."""
+    stored = F.col("payment_status") == SUCCESS if model.success is None else F.expr(model.success)
+    return payment_rows(model).where(stored)
+
+
+def paid_months(model: Model) -> DataFrame:
+    """Successful payments summed per user and month of payment."""
+    if model.paid_months is not None:
+        return model.paid_months
+    kind = F.col("subscription_type")
+    in_cents = exact.cents(F.col("amount"))
+    rows = (
+        successful(model)
+        .where(F.col("payment_date").isNotNull())
+        .groupBy("user_id", month_of("payment_date").alias("start_month"))
+        .agg(
+            F.coalesce(F.sum(F.when(kind == MONTHLY, in_cents * SPREAD)), F.lit(0)).alias("short"),
+            F.coalesce(F.sum(F.when(kind == ANNUAL, in_cents)), F.lit(0)).alias("spread"),
+            F.count_if(kind == MONTHLY).alias("n_short"),
+            F.count_if(kind == ANNUAL).alias("n_spread"),
+            F.count(F.when(kind == MONTHLY, F.col("amount"))).alias("a_short"),
+            F.count(F.when(kind == ANNUAL, F.col("amount"))).alias("a_spread"),
+            F.sum(in_cents).alias("cents"),
+        )
+    )
+    return of_payers(model, rows)
 
 
 def user_revenue(model: Model) -> DataFrame:
     """One row per user with a successful payment."""
     if model.user_revenue is not None:
         return model.user_revenue
-    return successful(model).groupBy("user_id").agg(
+    rows = successful(model).groupBy("user_id").agg(
         F.count("*").alias("pay_cnt"),
         F.sum(exact.cents(F.col("amount"))).alias("cents"),
         F.min("payment_date").alias("first_payment"),
         F.max("payment_date").alias("last_payment"),
     )
+    return of_payers(model, rows)
 
 
 def user_facts(
@@ -83,9 +148,19 @@ def user_facts(
     """
     ago = mature_days or 0
     cut = today(model, ago)
-    users = model.users.select("user_id", "register_date", *dims)
+    stored = model.facts is not None and model.facts_rules == rules
+    users = model.facts if stored else model.users.select("user_id", "register_date", *dims)
     if mature_days is not None:
         users = users.where(F.col("register_date") <= cut)
+    rows = users.select("user_id", "register_date", *dims, *FACTS) if stored else _facts(model, rules, users)
+    return rows.withColumn("tenure", F.datediff(F.date_add(cut, ago), F.col("register_date")))
+
+
+#: What :func:`_facts` adds to users.
+FACTS = ("first_return_day", "early_sessions", "first_late_day")
+
+
+def _facts(model: Model, rules: Rules, users: DataFrame) -> DataFrame:
     days = user_day(model).withColumnRenamed("user_id", "active_user")
     offset = F.datediff("activity_date", "register_date")
 
@@ -105,7 +180,6 @@ def user_facts(
             ).alias("early_sessions"),
             F.min(F.when(offset > rules.activation_days, offset)).alias("first_late_day"),
         )
-        .withColumn("tenure", F.datediff(F.date_add(cut, ago), F.col("register_date")))
     )
 
 
@@ -115,20 +189,29 @@ def users_with_revenue(model: Model, *dims: str) -> DataFrame:
     return model.users.select("user_id", *dims).join(revenue, "user_id", "left")
 
 
-def materialize(model: Model, path: str | None = None) -> Model:
-    """Write ``user_day`` and ``user_revenue`` as parquet and attach them to the model.
+def materialize(model: Model, path: str | None = None, rules: Rules = Rules()) -> Model:
+    """Write users and all rollups as parquet and attach them to the model.
 
-    Use it when many metrics run on one model: the raw activity log is then read once.
+    Use it when many metrics run on one model: activity and payments are then read once.
+    ``user_facts`` is stored for ``rules``; with others it is computed from the daily rollup.
+    The caller owns the folder; without a path it is a new one in the shared folder.
     """
     base = path or scratch_path(model.spark, "rollups")
-    user_day(model).write.mode("overwrite").parquet(f"{base}/user_day")
-    user_revenue(model).write.mode("overwrite").parquet(f"{base}/user_revenue")
-    read = model.spark.read
-    return replace(
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+        return model.spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    model = replace(model, users=kept("users", model.tables()["users"]))
+    model = replace(model, user_day=kept("user_day", user_day(model)))
+    last = active_days(model).agg(F.max("activity_date").alias("activity_date"))
+    model = replace(
         model,
-        user_day=read.parquet(f"{base}/user_day"),
-        user_revenue=read.parquet(f"{base}/user_revenue"),
+        last_day=kept("last_day", last),
+        user_revenue=kept("user_revenue", user_revenue(model)),
+        paid_months=kept("paid_months", paid_months(model)),
     )
+    return replace(model, facts=kept("facts", _facts(model, rules, model.users)), facts_rules=rules)
 
 
 def materialize_bucketed(model: Model, database: str, buckets: int) -> Model:
@@ -139,7 +222,7 @@ def materialize_bucketed(model: Model, database: str, buckets: int) -> Model:
     active user cannot make one bucket much larger than the others.
     """
     frames = {
-        "users": model.users,
+        "users": model.tables()["users"],
         "user_day": user_day(model),
         "user_revenue": user_revenue(model),
     }

@@ -1,35 +1,28 @@
 """Where intermediate tables go: the shared folder named in ``spark.checkpoint.dir``.
 
-Nothing is deleted here, because a frame that reads a scratch table may still be in use;
-the folder's own retention removes old tables.
+A table belongs to whoever asked for the path. Nothing is deleted here, because a frame that
+reads the table may still be in use: the owner calls :func:`remove` when its last reader is done.
 """
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only for a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="tidemark-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into reliable storage, so that later reads see the same rows."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a table below the shared folder; False if there is none. Raises for any other path."""
+    if not path.startswith(scratch_root(spark) + "/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)

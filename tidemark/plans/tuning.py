@@ -1,50 +1,40 @@
-"""Session settings that the size and skew of the input call for."""
+"""Session settings that the size and skew of the input call for. Call :func:`tune` once per session."""
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.model import Model
+from tidemark.plans.rollups import active_days, payment_rows
 
 BYTES_PER_PARTITION = 128 * 1024 * 1024
-MOST_PARTITIONS = 20_000
-UNKNOWN_SIZE = 2**62  # Spark reports about this much, or more, for relations it cannot size
+_UNKNOWN_SIZE = 2**62  # Spark reports about this much, or more, for relations it cannot size
 
 
 def input_bytes(model: Model) -> int:
-    """Bytes that the larger fact table reads, from Spark's size of its source relations.
+    """Bytes of the columns that metrics read from the larger fact table, by Spark's estimate for the pruned plan.
 
-    Relations of unknown size (for example local rows) count as nothing.
+    Raises for a relation that Spark cannot size: pass the number of partitions to :func:`tune` then.
     """
 
     def size(df: DataFrame) -> int:
-        plan = df._jdf.queryExecution().optimizedPlan()
-        leaves = plan.collectLeaves()
-        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-        return sum(n for n in sizes if n < UNKNOWN_SIZE)
+        known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if known >= _UNKNOWN_SIZE:
+            raise ValueError("Spark does not know the size of this table")
+        return known
 
-    return max(size(model.activity), size(model.subscription))
+    payments = payment_rows(model).select("user_id", "payment_date", "amount")
+    return max(size(active_days(model)), size(payments))
 
 
 def partitions_for(size: int, at_least: int) -> int:
-    return max(at_least, min(MOST_PARTITIONS, -(-size // BYTES_PER_PARTITION)))
+    return max(at_least, -(-size // BYTES_PER_PARTITION))
 
 
-def tune(spark: SparkSession, size: int | None = None) -> None:
-    """Let AQE split skewed joins and start from enough shuffle partitions.
+def tune(spark: SparkSession, partitions: int | None = None) -> None:
+    """Let AQE split skewed joins, and start shuffles with so many partitions; it merges small ones afterwards.
 
-    A join of raw facts on ``user_id`` is followed by an aggregation on the same key, for
-    which AQE would leave a skewed partition whole to save a shuffle; the split is worth
-    that shuffle, because its rows are aggregated before it. A join whose smaller side
-    turns out to have only small partitions is hashed instead of sorted. ``size`` (bytes
-    read) sets how many partitions a shuffle starts with; AQE merges the small ones
-    afterwards.
+    ``partitions_for(input_bytes(model), at_least)`` suggests a number.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-    spark.conf.set(
-        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", str(BYTES_PER_PARTITION)
-    )
-    if size is not None:
-        usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        first = partitions_for(size, usual)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(first))
+    if partitions is not None:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))

@@ -77,14 +77,20 @@ def commerce_model(spark: SparkSession, folder: str) -> Model:
         "CAST(NULL AS INT) AS session_duration",
         "CAST(NULL AS INT) AS pages_viewed",
         "CAST(NULL AS STRING) AS feature_used",
+        "o_orderdate AS stored_time",
     )
-    paying = customers.where("plan <> 'Free'").selectExpr("c_custkey AS o_custkey")
-    subscription = orders.join(paying, "o_custkey", "left_semi").selectExpr(
+    # what the plan calls Free, on the stored column
+    payers = customers.where("c_acctbal >= 2000 OR c_acctbal IS NULL").selectExpr("c_custkey AS user_id")
+    payments = orders.selectExpr(
         "o_orderkey AS subscription_id",
         "o_custkey AS user_id",
         "day AS payment_date",
         "o_totalprice AS amount",
         f"{SUBSCRIPTION_TYPE} AS subscription_type",
         f"{PAYMENT_STATUS} AS payment_status",
+        "o_orderstatus AS stored_status",
+    )
+    return Model(
+        users, activity, payments.join(payers, "user_id", "left_semi"),
+        activity_time="stored_time", payments=payments, payers=payers, success="stored_status = 'F'",
     )
-    return Model(users, activity, subscription)

@@ -37,5 +37,8 @@ def events_model(spark: SparkSession, folder: str) -> Model:
         F.lit(None).cast("int").alias("session_duration"),
         F.lit(None).cast("int").alias("pages_viewed"),
         F.lit(None).cast("string").alias("feature_used"),
+        F.col("ts").alias("stored_time"),
+    )
+    return Model(
+        users, activity, spark.createDataFrame([], SUBSCRIPTION), activity_time="stored_time"
     )
-    return Model(users, activity, spark.createDataFrame([], SUBSCRIPTION))

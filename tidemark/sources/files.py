@@ -71,11 +71,13 @@ def write_parquet_model(model: Model, folder: str) -> None:
 
 
 def load_parquet_model(spark: SparkSession, folder: str) -> Model:
+    """The written tables; limits on days open only the folders of their months."""
     read = spark.read
     return Model(
         read.parquet(f"{folder}/users"),
-        read.parquet(f"{folder}/activity").drop("month"),
+        read.parquet(f"{folder}/activity"),
         read.parquet(f"{folder}/subscription").drop("month"),
+        activity_month="month",
     )
 
 
