@@ -173,16 +173,27 @@ def _segments(docs: DataFrame, seen: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "h long, c long, key long, low int, high int")
 
 
-def _zipped(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, z): texts made small before they are shuffled."""
+def _zipped(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, z) of the documents whose keys a filter of `keys` lets pass: texts made small before they are shuffled.
+    And (key, doc_id, text) of the others, which are not among the keys."""
+    sent = docs.sparkSession.sparkContext.broadcast(hash_filter(keys.select(F.xxhash64("key").alias("h"))))  # bounded
+    rows = docs.select("key", "doc_id", "text", F.xxhash64("key").alias("h"))
+
+    def wanted(batch: pa.RecordBatch) -> np.ndarray:
+        return in_filter(sent.value, batch.column(3).to_numpy().view(np.uint64))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~wanted(batch))).drop_columns(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            batch = batch.filter(pa.array(wanted(batch)))
             z = [press.compress(t.as_py() or b"") for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], names=["key", "doc_id", "z"])
 
-    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, z binary")
+    return rows.mapInArrow(run, "key long, doc_id long, z binary"), rows.mapInArrow(others, "key long, doc_id long, text string")
 
 
 def _contents(first: DataFrame, zipped: DataFrame) -> DataFrame:
@@ -300,10 +311,10 @@ def remove_repeats(docs: DataFrame, n_partitions: int | None = None) -> DataFram
     crowd = first.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET)
     crowd = crowd.select("h", F.ceil(F.col("n") / BUCKET).cast("int").alias("subs"))
     different = first.select("h", "first.*").join(crowd, "h", "left").withColumn("subs", F.coalesce("subs", F.lit(1)))
-    zipped = _zipped(docs)
+    zipped, _ = _zipped(docs, first.select("first.key"))
     size = first.agg(F.sum(F.col("first.high") - F.col("first.low") + WINDOW)).first()[0] or 0
     later = _sorted_repeats(_contents(different, zipped), max(least, ceil(size / SORTED)))
-    gone = copies.unionByName(later).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    gone = stored(copies.unionByName(later)).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
@@ -311,7 +322,7 @@ def remove_repeats(docs: DataFrame, n_partitions: int | None = None) -> DataFram
             rows = []
             for doc_id, z, gone in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 text = unpress.decompress(z.as_py())
-                removed = spans = 0
+                removed = spans = 0  # the filter also lets through what loses nothing
                 kept = text
                 if gone:
                     change = np.zeros(len(text) + 1, np.int32)
@@ -328,5 +339,11 @@ def remove_repeats(docs: DataFrame, n_partitions: int | None = None) -> DataFram
                 [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             )
 
+    zipped, whole = _zipped(docs, gone)
     rows = zipped.join(gone, "key", "left").select("doc_id", "z", "gone")
-    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    text, nothing = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    return rows.unionByName(whole.select(
+        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"),
+        F.sha2(text.cast("binary"), 256).alias("kept_sha256"),
+    ))
