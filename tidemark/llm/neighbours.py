@@ -20,11 +20,11 @@ from tidemark.llm.shared import stored
 
 ORDERS, CHUNK, ROUNDS = 4, 512, 5
 #: Neighbours of a node in the graph, and offers that a node takes from one join.
-DEGREE, OFFERS = 20, 6
+DEGREE, OFFERS = 32, 10
 #: Members that are joined with each other at a time; a hub's members are dealt to so many tasks that each has about HUB.
 JOINED, HUB = 128, 1024
 #: Candidates that a query keeps, nodes that it visits in a step, and most steps.
-KEPT, VISITED, STEPS = 60, 6, 12
+KEPT, VISITED, STEPS = 100, 8, 14
 
 
 def usable(column: str) -> Column:
