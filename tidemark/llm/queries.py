@@ -117,5 +117,44 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: op6 in DuckDB: rules written out, the list joined without a filter.
+URL_SQL = r"""
+WITH parts AS (
+  SELECT page_id, html,
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest
+  FROM pages
+), split AS (
+  SELECT page_id, html, rest,
+    coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1, 's'), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[^=]*|ref)(?:=|$)'))) AS query
+  FROM parts
+), keyed AS (
+  SELECT *, CASE WHEN rest IS NOT NULL THEN
+    regexp_replace(host, '^www\.|:(80|443)$', '', 'g') || regexp_replace(path, '/+$', '')
+    || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS url_key
+  FROM split
+), listed AS (
+  SELECT DISTINCT url_key FROM keyed
+  WHERE regexp_matches(html, 'disgusting|idiot|moron|stupid|trash') AND url_key IS NOT NULL
+), ruled AS (
+  SELECT *, '.' || host AS h, url_key IS NOT NULL AND url_key IN (SELECT url_key FROM listed) AS on_list FROM keyed
+), named AS (
+  SELECT *, CASE
+    WHEN ends_with(h, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ends_with(h, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ends_with(h, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ends_with(h, '.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN ends_with(h, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM ruled
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR on_list THEN 'block' ELSE 'allow' END AS verdict,
+  url_key, on_list
+FROM named
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": URL_SQL}
