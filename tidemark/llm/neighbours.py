@@ -2,13 +2,16 @@
 
 Equal vectors are one node. The graph starts from nodes that lie close in a few random orders (sorted by the signs of random
 projections, all pairs of a few hundred consecutive ones). Each round then joins every node's neighbours, in both directions,
-with each other: neighbours of neighbours that beat a node's worst neighbour take its place. Vectors travel as 8-bit codes;
-what the search finds is ranked by exact products of the vectors themselves.
+with each other: neighbours of neighbours that beat a node's worst neighbour take its place. Rounds go on until they change
+little. A sample of the queries is also compared with all vectors, and the walk is widened until it finds RECALL of what they
+should find; once it is as wide as the table it is the exact search. Vectors travel as 8-bit codes; what the search finds is
+ranked by exact products of the vectors themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 from math import ceil, log2
 
 import numpy as np
@@ -18,13 +21,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import stored
 
-ORDERS, CHUNK, ROUNDS = 4, 512, 5
-#: Neighbours of a node in the graph, and offers that a node takes from one join.
-DEGREE, OFFERS = 32, 10
-#: Members that are joined with each other at a time; a hub's members are dealt to so many tasks that each has about HUB.
-JOINED, HUB = 128, 1024
-#: Candidates that a query keeps, nodes that it visits in a step, and most steps.
-KEPT, VISITED, STEPS = 100, 8, 14
+ORDERS, CHUNK = 4, 512
+#: Neighbours of a node in the graph, and the share of new ones at which the rounds end.
+DEGREE, FEW_NEW = 32, 0.01
+#: A hub's members are dealt, anew in each round, to so many tasks that each has about HUB; these are all joined with each other.
+HUB = 1024
+#: Offers that a task holds to merge them, before it hands them on.
+MERGED = 2_000_000
+#: Candidates that a query keeps at first, and nodes that it visits in a step then.
+KEPT, VISITED = 100, 8
+#: Queries whose true neighbours are looked up, and the share of these that the walk has to find.
+MEASURED, RECALL = 200, 0.95
 
 
 def usable(column: str) -> Column:
@@ -117,18 +124,38 @@ def _first_edges(nodes: DataFrame, n: int, partitions: int) -> DataFrame:
     return _best(out, DEGREE)
 
 
-def _joined_neighbours(graph: DataFrame, nodes: DataFrame, partitions: int) -> DataFrame:
-    """Offers (v, u, s) among the neighbours of each node that beat v's worst edge."""
+def _merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of offers (v, u, s) the best DEGREE different ones of each v; no node keeps more."""
+    v, u, s = map(np.concatenate, zip(*found))
+    if not len(v):
+        return v, u, s
+    line = np.lexsort((-s, u, v))
+    v, u, s = v[line], u[line], s[line]
+    new = np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]))
+    v, u, s = v[new], u[new], s[new]
+    line = np.lexsort((u, -s, v))
+    v, u, s = v[line], u[line], s[line]
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    place = np.arange(len(v)) - np.repeat(first, np.diff(np.append(first, len(v))))
+    return v[place < DEGREE], u[place < DEGREE], s[place < DEGREE]
+
+
+def _joined_neighbours(graph: DataFrame, nodes: DataFrame, partitions: int, turn: int = 0) -> DataFrame:
+    """Offers (v, u, s) among the neighbours of each node that beat v's worst edge. turn decides how a hub's members are dealt."""
     worst = graph.groupBy("v").agg(F.min("s").alias("worst"), F.count("*").alias("n"))
     worst = worst.select("v", F.when(F.col("n") < DEGREE, F.lit(float("-inf"))).otherwise(F.col("worst")).alias("worst"))
-    members = nodes.join(worst, "v", "left").select(F.col("v").alias("member"), "code", "worst")
+    members = nodes.join(worst, "v", "left").select(
+        F.col("v").alias("member"), "code", F.coalesce("worst", F.lit(float("-inf"))).alias("worst")
+    )
     both = graph.select(F.col("v").alias("centre"), F.col("u").alias("member"), "fresh").unionByName(
         graph.select(F.col("u").alias("centre"), F.col("v").alias("member"), "fresh")
     ).groupBy("centre", "member").agg(F.max("fresh").alias("fresh"))
-    hubs = both.groupBy("centre").agg(F.count("*").alias("n")).filter(F.col("n") > HUB)
-    hubs = hubs.select("centre", F.ceil(F.col("n") / HUB).alias("parts"))
-    both = both.join(hubs, "centre", "left").withColumn(
-        "part", F.pmod(F.xxhash64("member"), F.coalesce("parts", F.lit(1)))
+    sizes = both.groupBy("centre").agg(F.count("*").alias("n")).filter(F.col("n") > HUB // 2)
+    sizes = sizes.select("centre", F.ceil(F.col("n") / HUB).alias("parts"))
+    # of a centre that is, or may have been, dealt to parts two old neighbours need not have met
+    both = both.join(sizes, "centre", "left").select(
+        "centre", "member", (F.col("fresh") | F.col("parts").isNotNull()).alias("fresh"),
+        F.pmod(F.xxhash64("member", F.lit(turn)), F.coalesce("parts", F.lit(1))).alias("part"),
     )
     rows = both.join(members, "member").select("centre", "part", "member", "fresh", "worst", "code")
 
@@ -143,42 +170,45 @@ def _joined_neighbours(graph: DataFrame, nodes: DataFrame, partitions: int) -> D
             s = x @ x.T
             s[~(fresh[:, None] | fresh[None, :])] = -np.inf  # two old neighbours met before
             np.fill_diagonal(s, -np.inf)
-            k = min(OFFERS, len(member) - 1)
+            k = min(DEGREE, len(member) - 1)
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
             score = np.take_along_axis(s, best, 1)
             row, col = np.nonzero((score > worst[:, None]) & np.isfinite(score))
             return member[row], member[best[row, col]], score[row, col]
 
-        found = []
+        found, size, merged = [], 0, 0
         for batch in batches:
             for centre, part, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if (centre, part) != group or len(held) >= JOINED:
+                if (centre, part) != group:
                     if len(held) > 1 and any(h[1] for h in held):
                         found.append(offers())
+                        size += len(found[-1][0])
                     group, held = (centre, part), []
                 held.append(row)
-                if len(found) >= 500:
-                    yield _edges(*map(np.concatenate, zip(*found)))
-                    found = []
+                if size > merged + MERGED // 2:
+                    found = [_merged(found)]
+                    size = merged = len(found[0][0])
+                    if size > MERGED:
+                        yield _edges(*found[0])
+                        found, size, merged = [], 0, 0
         if len(held) > 1 and any(h[1] for h in held):
             found.append(offers())
         if found:
-            yield _edges(*map(np.concatenate, zip(*found)))
+            yield _edges(*_merged(found))
 
-    dealt = rows.repartition(partitions, "centre", "part").sortWithinPartitions("centre", "part", "member")
+    dealt = rows.repartition(partitions, "centre", "part").sortWithinPartitions("centre", "part")
     return dealt.mapInArrow(run, "v long, u long, s float")
 
 
 def neighbour_graph(nodes: DataFrame, n: int, partitions: int) -> DataFrame:
     """(v, u, s): about the DEGREE nearest nodes of each of the n nodes (v, code)."""
     graph = stored(_first_edges(nodes, n, partitions).withColumn("fresh", F.lit(True)))
-    for _ in range(ROUNDS):
+    for turn in count():
         old = graph.select("v", "u", F.lit(True).alias("old"))
-        now = graph.select("v", "u", "s").unionByName(_joined_neighbours(graph, nodes, partitions))
+        now = graph.select("v", "u", "s").unionByName(_joined_neighbours(graph, nodes, partitions, turn))
         graph = stored(_best(now, DEGREE).join(old, ["v", "u"], "left").select("v", "u", "s", F.col("old").isNull().alias("fresh")))
-        if graph.filter("fresh").count() < 0.01 * n * DEGREE:
-            break
-    return graph.select("v", "u", "s")
+        if graph.filter("fresh").count() <= FEW_NEW * n * DEGREE:  # edges only get better, so this comes
+            return graph.select("v", "u", "s")
 
 
 def _scored(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
@@ -194,34 +224,64 @@ def _scored(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
     return rows.select("q", "v", "cx", "cy").mapInArrow(run, "q long, v long, s float")
 
 
-def search(queries: DataFrame, starts: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(q, v, s): the KEPT best nodes that a greedy walk from the starts (q, v) finds for each query (q, code).
+def search(queries: DataFrame, starts: DataFrame, graph: DataFrame, nodes: DataFrame, kept: int = KEPT) -> DataFrame:
+    """(q, v, s): the `kept` best nodes that a greedy walk from the starts (q, v) finds for each query (q, code).
 
     Each step visits the best nodes of a query that it has not visited, and looks at their neighbours; a query is done when its
-    KEPT best are all visited.
+    `kept` best are all visited. Ways back along edges, and nodes visited in a step, become more with `kept`.
     """
     back = Window.partitionBy("u").orderBy(F.desc("s"), "v")
-    reverse = graph.withColumn("place", F.row_number().over(back)).filter(F.col("place") <= DEGREE)
+    reverse = graph.withColumn("place", F.row_number().over(back)).filter(F.col("place") <= DEGREE * max(1, kept // KEPT))
     ways = stored(
         graph.select("v", F.col("u").alias("to")).unionByName(reverse.select(F.col("u").alias("v"), F.col("v").alias("to"))).distinct()
     )
     best = Window.partitionBy("q").orderBy(F.desc("s"), "v")
     ahead = Window.partitionBy("q", "done").orderBy(F.desc("s"), "v")
     pool = stored(_scored(starts, queries, nodes).withColumn("done", F.lit(False)))
-    for _ in range(STEPS):
-        ranked = pool.withColumn("turn", ~F.col("done") & (F.row_number().over(ahead) <= VISITED))
+    while pool.filter("not done").limit(1).count():
+        ranked = pool.withColumn("turn", ~F.col("done") & (F.row_number().over(ahead) <= VISITED * max(1, kept // KEPT)))
         going = ranked.filter("turn").select("q", "v")
         met = going.join(ways, "v").select("q", F.col("to").alias("v")).distinct()
         met = met.join(pool.select("q", "v"), ["q", "v"], "left_anti")
         now = ranked.select("q", "v", "s", (F.col("done") | F.col("turn")).alias("done")).unionByName(
             _scored(met, queries, nodes).withColumn("done", F.lit(False))
         )
-        pool = stored(now.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= KEPT).drop("place"))
-        if not pool.filter("not done").limit(1).count():
-            break
+        pool = stored(now.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= kept).drop("place"))
     return pool.select("q", "v", "s")
 
 
+def true_nearest(sample: list[tuple[int, list[float]]], classes: DataFrame, k: int) -> DataFrame:
+    """(q, v): the k nodes of classes (v, x) with the largest products for each of a few queries (q, x). Reads every node."""
+    q, y = np.array([i for i, _ in sample]), np.array([x for _, x in sample])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                s = y @ np.array(batch.column(1).to_pylist()).T
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                v = batch.column(0).to_numpy()[best]
+                columns = np.repeat(q, best.shape[1]), v.ravel(), np.take_along_axis(s, best, 1).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "v", "s"])
+
+    line = Window.partitionBy("q").orderBy(F.desc("s"), "v")
+    found = classes.select("v", "x").mapInArrow(run, "q long, v long, s double").withColumn("place", F.row_number().over(line))
+    return found.filter(F.col("place") <= k).select("q", "v")
+
+
+def searched(queries: DataFrame, graph: DataFrame, nodes: DataFrame, n: int, truth: DataFrame) -> DataFrame:
+    """(q, v, s) for queries (q, code): walks of twice the width each until they find RECALL of truth, or all n nodes."""
+    kept, asking = KEPT, queries.select("q")
+    if kept >= n:
+        return _scored(asking.crossJoin(nodes.select("v")), queries, nodes)
+    found, due = search(queries, asking.select("q", F.col("q").alias("v")), graph, nodes, kept), truth.count()
+    while truth.join(found, ["q", "v"], "left_semi").count() < RECALL * due:
+        kept *= 2
+        if kept >= n:
+            return _scored(asking.crossJoin(nodes.select("v")), queries, nodes)
+        found = search(queries, found.select("q", "v"), graph, nodes, kept)
+    return found
+
+
 def nearest(vectors: DataFrame, one_in: int = 20, k: int = 20, n_partitions: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k found nearest rows of each row whose vec_id is divisible by one_in, by exact inner
     product of the vectors, ties to the smaller vec_id; the query's own id is left out.
@@ -243,8 +303,11 @@ def nearest(vectors: DataFrame, one_in: int = 20, k: int = 20, n_partitions: int
     graph = neighbour_graph(nodes, n, partitions)
     asked = members.filter(F.col("vec_id") % one_in == 0)
     asking = asked.select(F.col("v").alias("q")).distinct()
-    codes = asking.join(nodes.withColumnRenamed("v", "q"), "q")
-    found = search(stored(codes), asking.select("q", F.col("q").alias("v")), graph, nodes)
+    codes = stored(asking.join(nodes.withColumnRenamed("v", "q"), "q"))
+    some = codes.orderBy(F.xxhash64("q"), "q").select("q").limit(MEASURED)
+    sample = [tuple(r) for r in some.join(classes.withColumnRenamed("v", "q"), "q").select("q", "x").collect()]
+    truth = stored(true_nearest(sample, classes, k + 1)) if sample else asking.select("q", F.col("q").alias("v")).limit(0)
+    found = searched(codes, graph, nodes, n, truth)
 
     x, y = classes.select(F.col("v").alias("q"), F.col("x").alias("qx")), classes.select("v", "x")
     product = F.aggregate(F.zip_with("qx", "x", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
