@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import neighbours
+from tidemark.llm import neighbours, quality
+from tidemark.llm.shared import prepared
 
 
 def test_all_members_of_a_centre_meet(spark):
@@ -28,3 +29,14 @@ def test_a_walk_that_finds_too_little_is_widened(spark):
     assert {(r.q, r.v) for r in truth.collect()} == {(q, v) for q in range(5) for v in np.argsort(-(x @ x[q]))[:21]}
     found = neighbours.searched(queries, graph, nodes, 150, truth)
     assert truth.join(found, ["q", "v"], "left_anti").count() == 0
+
+
+def test_few_labels_beside_many_documents_are_all_used(spark):
+    good, bad = F.lit("A calm and well written sentence about rivers. "), F.lit("BUY!!! $$$ 1234 ||| CLICK @@@ ")
+    docs = prepared(spark).range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, good).otherwise(bad).alias("text"))
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 12, 2)], "doc_id long, quality long")
+    model = quality.train(docs, labels, sample=200)  # one share for both sides leaves 0.2 of the 6 labels
+    scores = {r.doc_id % 2: r.score for r in quality.score(docs.filter("doc_id >= 5990"), model).collect()}
+    assert scores[0] > 0.5 > scores[1]
+    zeros = labels.unionByName(spark.createDataFrame([(i, 0) for i in range(1, 37, 2)], "doc_id long, quality long"))
+    assert quality.train(docs, zeros, sample=200).prior == 0.25

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.shared import small_side, stored
+
 #: Frequencies of hashed byte pairs, besides the named features.
 PAIRS = 256
 NAMED = (
@@ -118,32 +120,40 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
 def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, prior: float | None = None) -> Model:
     """A model from documents and labels (doc_id, quality).
 
-    sample bounds the training rows: of more documents, those whose id hashes into the needed share are taken. Positives are
-    the sampled documents labelled 1, unlabelled text is the rest without a label. Without a given prior it is the share of 1
-    among the sampled labels if there are labels of both kinds; else it comes from the scores of a first model (prior 0.5).
-    Of several labels of one document the largest counts. Without positives or unlabelled text every score is the prior (0.5).
+    sample bounds the training rows: half of it the positives, documents labelled 1, and half of it unlabelled text, documents
+    without a label. Of more on one side, those whose id hashes into this side's share are taken. Without a given prior it is
+    the share of 1 among all labelled documents if there are labels of both kinds; else it comes from the scores of a first
+    model (prior 0.5). Of several labels of one document the largest counts. Without positives or unlabelled text every score
+    is the prior (0.5); if there are some but none was sampled, a ValueError says so.
     """
+    marks = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    ids = stored(docs.filter(F.col("doc_id").isNotNull()).select("doc_id").join(marks, "doc_id", "left"))
+    good, open_ = F.col("quality") == 1, F.col("quality").isNull()
+    sides = F.count_if(good), F.count_if(open_), F.count_if(F.col("quality") == 0), F.count("quality")
+    n_good, n_open, n_bad, n_labelled = ids.agg(*(c.alias(f"n{i}") for i, c in enumerate(sides))).first()
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    share = min(1.0, sample / max(1, docs.count()))
-    rows = docs.filter(F.col("doc_id").isNotNull() & (place < share)).select("doc_id", "text")
-    marks = labels.filter(F.col("doc_id").isNotNull() & (place < share)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    shares = (min(1.0, sample / 2 / max(1, n)) for n in (n_good, n_open))
+    chosen = ids.filter(F.when(good, place < next(shares)).when(open_, place < next(shares))).distinct()
+    rows = docs.select("doc_id", "text").join(small_side(chosen, min(sample, n_good + n_open)), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = [features(t.as_py() or "").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, pa.binary())], names=["doc_id", "features"])
 
-    found = rows.mapInArrow(run, "doc_id long, features binary").join(marks, "doc_id", "left").toArrow()
+    found = rows.mapInArrow(run, "doc_id long, features binary").join(chosen, "doc_id").toArrow()
     found = found.sort_by([("doc_id", "ascending"), ("features", "ascending")])
     width = len(NAMED) + PAIRS
     x = np.frombuffer(b"".join(found["features"].to_pylist()), np.float32).reshape(len(found), width).astype(np.float64)
     quality = found["quality"].cast(pa.float64()).to_pandas().to_numpy()
     positive, unlabelled = x[quality == 1], x[np.isnan(quality)]
-    if not len(positive) or not len(unlabelled):
+    if n_good and not len(positive) or n_open and not len(unlabelled):
+        raise ValueError(f"none sampled of {n_good} documents labelled 1 or of {n_open} without a label")
+    if not n_good or not n_open:
         p = 0.5 if prior is None else prior
         return Model(np.zeros(width), np.ones(width), np.zeros(width), float(np.log(p / (1 - p))), p)
-    if prior is None and (quality == 0).any():
-        prior = float(np.clip((quality == 1).sum() / (~np.isnan(quality)).sum(), 0.01, 0.99))
+    if prior is None and n_bad:
+        prior = float(np.clip(n_good / n_labelled, 0.01, 0.99))
     elif prior is None:
         first = fit(positive, unlabelled, 0.5, epochs=20)
         prior = prior_from_scores(first.scores(positive), first.scores(unlabelled))
