@@ -1,9 +1,17 @@
 """Cases in which an operator once did less than the whole job."""
 
+import base64
+import bz2
+import gzip
+import io
+import lzma
+import tarfile
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import neighbours, quality
+from tidemark.llm import neighbours, quality, secret_scan
 from tidemark.llm.shared import prepared
 
 
@@ -40,3 +48,34 @@ def test_few_labels_beside_many_documents_are_all_used(spark):
     assert scores[0] > 0.5 > scores[1]
     zeros = labels.unionByName(spark.createDataFrame([(i, 0) for i in range(1, 37, 2)], "doc_id long, quality long"))
     assert quality.train(docs, zeros, sample=200).prior == 0.25
+
+
+KEY = "AKIA" + "Q7" * 9
+
+
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+def found_in(text, most=1 << 22):
+    return {text[s.start : s.end] for s in secret_scan.find_secrets(text, most)[1]}
+
+
+def tarred(data):
+    box = io.BytesIO()
+    with tarfile.open(fileobj=box, mode="w") as tar:
+        head = tarfile.TarInfo("x")
+        head.size = len(data)
+        tar.addfile(head, io.BytesIO(data))
+    return box.getvalue()
+
+
+@pytest.mark.parametrize("data", [
+    f"clé {KEY} été".encode("latin-1"), b"log line \xff " + KEY.encode() + b" end", gzip.compress(tarred(KEY.encode())),
+    bytes(range(256)) + KEY.encode() + bytes(200), f"$k = '{KEY}'".encode("utf-16-le"), f" $k = '{KEY}'".encode("utf-16-be"),
+    gzip.compress(b"first ") + gzip.compress(KEY.encode()), bz2.compress(b"first") + bz2.compress(KEY.encode()),
+    lzma.compress(b"first") + lzma.compress(KEY.encode()), gzip.compress(b"first") + b"\xfe" + KEY.encode(),
+])
+def test_bytes_that_are_not_plain_text_are_scanned(data):
+    assert found_in(f"see {b64(data)} there")
+    assert KEY not in secret_scan.masked(f"see {b64(data)} there", 1 << 22) and "[secret]" in secret_scan.masked(f"see {b64(data)} there", 1 << 22)

@@ -44,6 +44,8 @@ _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?:\r?\n[A-
 _BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _TO_STANDARD = str.maketrans("-_", "+/")
 _WRAPPED = re.compile(r"\r?\n")
+#: Fewer characters cannot hold a finding.
+_WIDE = re.compile(rb"(?:[\x01-\xff]\x00){12}")
 
 
 class Span(NamedTuple):
@@ -81,38 +83,61 @@ class Layer:
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
 
-def _bytes_layer(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Layer | None:
-    """Bytes as UTF-8 text, mapped by code point; None if they are not readable text."""
+def _bytes_layers(data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[Layer]:
+    """Bytes as text, mapped by code point.
+
+    As UTF-8 if they are; else each byte as a character (Latin-1), so that what is ASCII in them is seen wherever it stands.
+    Where every second byte of a stretch is null, also as UTF-16 of both byte orders and both places to begin.
+    """
+    if not data:
+        return []
+    raw = np.frombuffer(data, np.uint8)
     try:
-        text = data.decode("utf-8")
+        text, first = data.decode("utf-8"), np.flatnonzero((raw & 0xC0) != 0x80)
     except UnicodeDecodeError:
-        return None
-    if not text or sum(not (c.isprintable() or c in "\t\n\r") for c in text) > len(text) // 20:
-        return None
-    raw = np.frombuffer(data, np.uint8)
-    first = np.flatnonzero((raw & 0xC0) != 0x80)
-    return Layer(text, starts[first], ends[np.append(first[1:], len(raw)) - 1])
+        text, first = data.decode("latin-1"), np.arange(len(raw))
+    out = [Layer(text, starts[first], ends[np.append(first[1:], len(raw)) - 1])]
+    if _WIDE.search(data):
+        for at in (0, 1):
+            n = (len(raw) - at) // 2
+            for high in (1, 0):  # little and big endian
+                codes = raw[at + high : at + 2 * n : 2].astype(np.int64) * 256 + raw[at + 1 - high : at + 2 * n : 2]
+                text = "".join(map(chr, codes))  # a surrogate stays one: positions are those of the bytes
+                if n:
+                    span = slice(at, at + 2 * n, 2), slice(at + 1, at + 2 * n, 2)
+                    out.append(Layer(text, starts[span[0]], ends[span[1]]))
+    return out
+
+
+def _box(data: bytes):
+    """What decompresses data, or None."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
 
 
 def _inflate(data: bytes, most: int) -> bytes | None:
-    """One compression layer less, or None if there is none or it is damaged. Raises beyond `most` bytes."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            box = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            box = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            box = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            box = lzma.LZMADecompressor()
-        else:
-            return None
-        out = box.decompress(data, most + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    if len(out) > most:
-        raise OverflowError
-    return out or None
+    """One compression layer less, all members of it, or None if there is none or it is damaged. Raises beyond `most` bytes.
+
+    What follows the last member, or cannot be decompressed, is kept as it is.
+    """
+    out, size = [], 0
+    while (box := _box(data)) is not None:
+        try:
+            out.append(box.decompress(data, most - size + 1))
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            break
+        size += len(out[-1])
+        if size > most:
+            raise OverflowError
+        data = box.unused_data if box.eof else b""
+    return b"".join([*out, data]) or None if out else None
 
 
 class Scanner:
@@ -167,7 +192,8 @@ class Scanner:
             starts = np.full(len(inner), starts.min())
             ends = np.full(len(inner), ends.max())
             data = inner
-        self._queue(_bytes_layer(data, starts, ends), new=True)
+        for layer in _bytes_layers(data, starts, ends):
+            self._queue(layer, new=True)
 
     def _replaced(self, layer: Layer, parts: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> None:
         """The layer with some of its ranges replaced by decoded text."""
@@ -205,10 +231,10 @@ class Scanner:
         for m in _PERCENT.finditer(layer.text):
             data, at = bytes.fromhex(m[0].replace("%", "")), m.start()
             starts, ends = layer.starts[at : m.end() : 3], layer.ends[at + 2 : m.end() : 3]
-            inner = _bytes_layer(data, starts, ends)
-            if inner:
-                parts.append((at, m.end(), inner.text, inner.starts, inner.ends))
-            else:
+            layers = _bytes_layers(data, starts, ends)
+            inner = layers[0]
+            parts.append((at, m.end(), inner.text, inner.starts, inner.ends))
+            if len(layers) > 1 or _box(data):
                 self._bytes(data, starts, ends)
         if parts:
             self._replaced(layer, parts)
@@ -228,12 +254,8 @@ class Scanner:
             data = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             return
-        head = data[:6]
-        if not (head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" or head[:3] == b"BZh" or head == b"\xfd7zXZ\x00"):
-            try:
-                data.decode("utf-8")
-            except UnicodeDecodeError:
-                return
+        if not data:
+            return
         at = np.flatnonzero(~np.isin(np.array(list(text)), ["\r", "\n"])) + start
         unit = np.arange(len(data))
         self._bytes(data, layer.starts[at[unit * 8 // 6]], layer.ends[at[(unit * 8 + 7) // 6]])
