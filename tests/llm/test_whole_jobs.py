@@ -79,3 +79,20 @@ def tarred(data):
 def test_bytes_that_are_not_plain_text_are_scanned(data):
     assert found_in(f"see {b64(data)} there")
     assert KEY not in secret_scan.masked(f"see {b64(data)} there", 1 << 22) and "[secret]" in secret_scan.masked(f"see {b64(data)} there", 1 << 22)
+
+
+def test_each_stream_has_a_budget_of_its_own():
+    most, bomb, last = 1_000_000, b64(gzip.compress(bytes(1_000_000))), b64(KEY.encode())
+    streams = f"{b64(gzip.compress(bytes(600_000) + KEY.encode()))} {bomb} {last}"  # over half of it, all of it, a short line
+    _, spans, _, refused = secret_scan.find_secrets(streams, most)
+    assert not refused and {s.start for s in spans} == {0, streams.rindex(" ") + 1}
+    plain = b64(b"word " * 300_000 + KEY.encode())
+    assert secret_scan.find_secrets(plain, most)[1] and not secret_scan.find_secrets(plain, most)[3]
+
+
+def test_what_is_beyond_the_budget_is_masked():
+    bomb = b64(gzip.compress(bytes(3_000_000) + KEY.encode()))
+    assert secret_scan.find_secrets(f"a {bomb} b", 1_000_000)[3] == 1
+    assert secret_scan.masked(f"a {bomb} b", 1_000_000).replace("=", "") == "a [secret] b"
+    early = b64(gzip.compress(KEY.encode() + bytes(3_000_000)))
+    assert secret_scan.find_secrets(early, 1_000_000)[1]

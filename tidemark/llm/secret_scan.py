@@ -44,6 +44,8 @@ _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?:\r?\n[A-
 _BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _TO_STANDARD = str.maketrans("-_", "+/")
 _WRAPPED = re.compile(r"\r?\n")
+#: Bytes taken at a time from a compressed stream.
+_PIECE = 1 << 20
 #: Fewer characters cannot hold a finding.
 _WIDE = re.compile(rb"(?:[\x01-\xff]\x00){12}")
 
@@ -69,10 +71,13 @@ def scan(text: str) -> list[Span]:
 
 
 class Layer:
-    """A decoded text; character i came from starts[i] to ends[i] of the whole text."""
+    """A decoded text; character i came from starts[i] to ends[i] of the whole text.
 
-    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
-        self.text, self.starts, self.ends = text, starts, ends
+    left: for what came out of a compressed stream, a list of the one number of bytes that may still come out of that stream.
+    """
+
+    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray, left: list[int] | None = None):
+        self.text, self.starts, self.ends, self.left = text, starts, ends, left
 
     @staticmethod
     def whole(text: str) -> Layer:
@@ -83,7 +88,12 @@ class Layer:
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
 
-def _bytes_layers(data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[Layer]:
+def _at(places: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """places[index], without memory where all places are one."""
+    return np.broadcast_to(places[0], len(index)) if len(places) and not places.strides[0] else places[index]
+
+
+def _bytes_layers(data: bytes, starts: np.ndarray, ends: np.ndarray, left: list[int] | None = None) -> list[Layer]:
     """Bytes as text, mapped by code point.
 
     As UTF-8 if they are; else each byte as a character (Latin-1), so that what is ASCII in them is seen wherever it stands.
@@ -96,7 +106,7 @@ def _bytes_layers(data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[Lay
         text, first = data.decode("utf-8"), np.flatnonzero((raw & 0xC0) != 0x80)
     except UnicodeDecodeError:
         text, first = data.decode("latin-1"), np.arange(len(raw))
-    out = [Layer(text, starts[first], ends[np.append(first[1:], len(raw)) - 1])]
+    out = [Layer(text, _at(starts, first), _at(ends, np.append(first[1:], len(raw)) - 1), left)]
     if _WIDE.search(data):
         for at in (0, 1):
             n = (len(raw) - at) // 2
@@ -105,7 +115,7 @@ def _bytes_layers(data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[Lay
                 text = "".join(map(chr, codes))  # a surrogate stays one: positions are those of the bytes
                 if n:
                     span = slice(at, at + 2 * n, 2), slice(at + 1, at + 2 * n, 2)
-                    out.append(Layer(text, starts[span[0]], ends[span[1]]))
+                    out.append(Layer(text, starts[span[0]], ends[span[1]], left))
     return out
 
 
@@ -122,29 +132,38 @@ def _box(data: bytes):
     return None
 
 
-def _inflate(data: bytes, most: int) -> bytes | None:
-    """One compression layer less, all members of it, or None if there is none or it is damaged. Raises beyond `most` bytes.
+def _inflate(data: bytes, most: int) -> tuple[bytes, bool] | None:
+    """One compression layer less, all members of it, and whether it goes on beyond `most` bytes; None if there is none.
 
-    What follows the last member, or cannot be decompressed, is kept as it is.
+    What follows the last member, or is damaged, is kept as it is.
     """
     out, size = [], 0
     while (box := _box(data)) is not None:
+        rest = data
         try:
-            out.append(box.decompress(data, most - size + 1))
+            while not box.eof:
+                piece = box.decompress(rest, min(_PIECE, most - size + 1))
+                rest = getattr(box, "unconsumed_tail", b"")
+                size += len(piece)
+                out.append(piece)
+                if size > most:
+                    return b"".join(out)[:most], True
+                if not piece and not rest and getattr(box, "needs_input", True):  # cut off
+                    return b"".join(out), False
         except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
             break
-        size += len(out[-1])
-        if size > most:
-            raise OverflowError
-        data = box.unused_data if box.eof else b""
-    return b"".join([*out, data]) or None if out else None
+        data = box.unused_data
+    return (b"".join([*out, data]), False) if out else None
 
 
 class Scanner:
-    """The worklist for one text. `most` bounds the bytes that one text's layers may hold (against decompression bombs)."""
+    """The worklist for one text. `most` bounds the bytes that come out of each compressed stream of the text, with all streams
+    inside it (against decompression bombs). What is beyond is counted in `refused`, and `hidden` has where it came from.
+    """
 
     def __init__(self, text: str, most: int):
-        self.most, self.spent, self.refused = most, 0, 0
+        self.most, self.refused = most, 0
+        self.hidden: set[tuple[int, int]] = set()
         self.found: set[Span] = set()
         self.seen: set[tuple] = set()
         self.work: list[Layer] = []
@@ -173,26 +192,25 @@ class Scanner:
             self.found.update(Span(*layer.origin(s.start, s.end), s.kind) for s in scan(layer.text))
         self.work.append(layer)
 
-    def _bytes(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Bytes as they are, or after as many decompressions as they take."""
+    def _bytes(self, data: bytes, starts: np.ndarray, ends: np.ndarray, left: list[int] | None) -> None:
+        """Bytes as they are, or after as many decompressions as they take. Only what comes out of a stream is charged, once."""
         known = set()
-        while True:
-            if self.spent + len(data) > self.most:
-                self.refused += 1
-                return
-            try:
-                inner = _inflate(data, self.most - self.spent)
-            except OverflowError:
+        while data:
+            if _box(data) is None:
+                break
+            bound = [self.most] if left is None else left
+            inner, beyond = _inflate(data, bound[0]) or (None, False)
+            start, end = int(starts.min()), int(ends.max())
+            if beyond:
                 self.refused += 1
-                return
-            if inner is None or (mark := hashlib.blake2b(inner).digest()) in known:
+                self.hidden.add((start, end))
+            if not inner or (mark := hashlib.blake2b(inner).digest()) in known:
                 break
             known.add(mark)
-            self.spent += len(inner)
-            starts = np.full(len(inner), starts.min())
-            ends = np.full(len(inner), ends.max())
-            data = inner
-        for layer in _bytes_layers(data, starts, ends):
+            bound[0] -= len(inner)
+            left = bound
+            starts, ends, data = np.broadcast_to(start, len(inner)), np.broadcast_to(end, len(inner)), inner
+        for layer in _bytes_layers(data, starts, ends, left):
             self._queue(layer, new=True)
 
     def _replaced(self, layer: Layer, parts: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> None:
@@ -208,7 +226,7 @@ class Scanner:
         ends.append(layer.ends[at:])
         whole = "".join(texts)
         if whole:
-            self._queue(Layer(whole, np.concatenate(starts), np.concatenate(ends)), new=True)
+            self._queue(Layer(whole, np.concatenate(starts), np.concatenate(ends), layer.left), new=True)
 
     def _unicode(self, layer: Layer) -> None:
         parts = []
@@ -235,7 +253,7 @@ class Scanner:
             inner = layers[0]
             parts.append((at, m.end(), inner.text, inner.starts, inner.ends))
             if len(layers) > 1 or _box(data):
-                self._bytes(data, starts, ends)
+                self._bytes(data, starts, ends, layer.left)
         if parts:
             self._replaced(layer, parts)
 
@@ -258,17 +276,21 @@ class Scanner:
             return
         at = np.flatnonzero(~np.isin(np.array(list(text)), ["\r", "\n"])) + start
         unit = np.arange(len(data))
-        self._bytes(data, layer.starts[at[unit * 8 // 6]], layer.ends[at[(unit * 8 + 7) // 6]])
+        self._bytes(data, layer.starts[at[unit * 8 // 6]], layer.ends[at[(unit * 8 + 7) // 6]], layer.left)
 
 
-def find_secrets(text: str, most: int) -> tuple[list[Span], list[Span], int, int]:
-    """(base spans, all spans, decoded layers, refused layers) of a text."""
+def _found(text: str, most: int) -> tuple[list[Span], list[Span], Scanner | None]:
     base = scan(text)
     if not Scanner._wrapped(text):
-        return base, base, 0, 0
+        return base, base, None
     deep = Scanner(text, most)
-    spans = sorted({*base, *deep.found}, key=lambda s: (s.start, s.kind, s.end))
-    return base, spans, deep.layers, deep.refused
+    return base, sorted({*base, *deep.found}, key=lambda s: (s.start, s.kind, s.end)), deep
+
+
+def find_secrets(text: str, most: int) -> tuple[list[Span], list[Span], int, int]:
+    """(base spans, all spans, decoded layers, refused layers) of a text."""
+    base, spans, deep = _found(text, most)
+    return base, spans, deep.layers if deep else 0, deep.refused if deep else 0
 
 
 COLUMNS = (
@@ -282,8 +304,8 @@ def scan_documents(docs: DataFrame, most: int = 64 << 20) -> DataFrame:
     n_layers, n_refused.
 
     docs needs doc_id and text; other columns are ignored. A null text is empty: no spans, the hash of the empty string.
-    Repeated rows are scanned once each. Layers that would take more than `most` bytes of a text's decoded data are not
-    unwrapped but counted in n_refused, so one hostile document cannot exhaust a worker.
+    Repeated rows are scanned once each. Of a compressed stream, with all streams inside it, `most` bytes are
+    scanned; what is beyond is counted in n_refused, so one hostile document cannot exhaust a worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,15 +330,16 @@ MASK = "[secret]"
 
 
 def masked(text: str | None, most: int) -> str | None:
-    """The text with every found span, overlapping ones together, replaced by MASK."""
-    spans = find_secrets(text, most)[1] if text else []
-    if not spans:
+    """The text with every found span and every refused one, overlapping ones together, replaced by MASK."""
+    _, spans, deep = _found(text, most) if text else ([], [], None)
+    places = sorted([(s.start, s.end) for s in spans] + [*(deep.hidden if deep else ())])
+    if not places:
         return text
     out, at = [], 0
-    for span in spans:
-        if span.start >= at:
-            out += [text[at : span.start], MASK]
-        at = max(at, span.end)
+    for start, end in places:
+        if start >= at:
+            out += [text[at:start], MASK]
+        at = max(at, end)
     return "".join([*out, text[at:]])
 
 
