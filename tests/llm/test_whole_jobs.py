@@ -96,3 +96,26 @@ def test_what_is_beyond_the_budget_is_masked():
     assert secret_scan.masked(f"a {bomb} b", 1_000_000).replace("=", "") == "a [secret] b"
     early = b64(gzip.compress(KEY.encode() + bytes(3_000_000)))
     assert secret_scan.find_secrets(early, 1_000_000)[1]
+
+
+def wrapped(data, width):
+    text = b64(data)
+    return "\n".join(text[i : i + width] for i in range(0, len(text), width))
+
+
+@pytest.mark.parametrize("word", ["after", "the", "then", "Please", "and", "x"])
+@pytest.mark.parametrize("width", [76, 24, 16, 8])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, lambda d: base64.b64encode(d)])
+def test_a_wrapped_block_beside_prose(word, width, pack):
+    for pad in range(3):
+        block = wrapped(pack(b"pad " * 11 + b"p" * pad + b" " + KEY.encode() + b" tail" * 11), width)
+        text = f"see\n{block}\n{word} more"
+        assert any(text[s.start : s.end] for s in secret_scan.find_secrets(text, 1 << 22)[1]), (text, pad)
+        assert secret_scan.find_secrets(f"{word} {block}\nmore", 1 << 22)[1]
+
+
+def test_a_short_last_line_is_read():
+    block = wrapped(b"x" * 44 + KEY.encode(), 76)
+    text = f"{block}\nafter"
+    assert len(block.split("\n")[-1]) < 20
+    assert {secret_scan.KINDS[s.kind] for s in secret_scan.find_secrets(text, 1 << 22)[1]} == {"access"}

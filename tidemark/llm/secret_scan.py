@@ -39,9 +39,12 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(
     r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
 )
-#: Shorter runs cannot hold a finding. Lines of one encoded block are also read together.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?:\r?\n[A-Za-z0-9+/_-]+={0,2})*")
-_BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Shorter runs cannot hold a finding. Lines of one encoded block, of any length, are also read together up to a padding.
+_LEAST_RUN = 20
+_BASE64 = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{20,}+(?:\r?\n[A-Za-z0-9+/_-]++)*+|[A-Za-z0-9+/_-]++(?:\r?\n[A-Za-z0-9+/_-]++)++)={0,2}"
+)
+_BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _TO_STANDARD = str.maketrans("-_", "+/")
 _WRAPPED = re.compile(r"\r?\n")
 #: Bytes taken at a time from a compressed stream.
@@ -156,6 +159,11 @@ def _inflate(data: bytes, most: int) -> tuple[bytes, bool] | None:
     return (b"".join([*out, data]), False) if out else None
 
 
+def _long(block: str) -> bool:
+    """Whether the lines of a block hold enough characters together."""
+    return len(block) >= _LEAST_RUN and len(_WRAPPED.sub("", block).rstrip("=")) >= _LEAST_RUN
+
+
 class Scanner:
     """The worklist for one text. `most` bounds the bytes that come out of each compressed stream of the text, with all streams
     inside it (against decompression bombs). What is beyond is counted in `refused`, and `hidden` has where it came from.
@@ -177,7 +185,7 @@ class Scanner:
 
     @staticmethod
     def _wrapped(text: str) -> bool:
-        return bool(_BASE64.search(text) or ("%" in text and _PERCENT.search(text)) or _ESCAPE.search(text))
+        return bool(any(_long(m[0]) for m in _BASE64.finditer(text)) or ("%" in text and _PERCENT.search(text)) or _ESCAPE.search(text))
 
     def _queue(self, layer: Layer | None, new: bool = False) -> None:
         if layer is None:
@@ -259,10 +267,41 @@ class Scanner:
 
     def _base64(self, layer: Layer) -> None:
         for m in _BASE64.finditer(layer.text):
-            self._block(layer, m.start(), m.end())
-            if "\n" in m[0]:  # the lines may also be blocks of their own
-                for line in _BASE64_LINE.finditer(layer.text, m.start(), m.end()):
-                    self._block(layer, line.start(), line.end())
+            if not _long(m[0]):
+                continue
+            start, end = m.span()
+            self._block(layer, start, end)
+            if "\n" not in m[0]:
+                continue
+            # Words of the text around may stand as lines before and after the block, and lines may be blocks of their own. A
+            # block decodes alike from each earlier line that is a multiple of four characters before it.
+            lines = [x.span() for x in _BASE64_LINE.finditer(layer.text, start, end)]
+            offset, phases, widest = 0, {0}, max(b - a for a, b in lines)
+            last = next(b for a, b in reversed(lines) if b - a == widest)
+            runs = [0, *(k for k in range(1, len(lines)) if lines[k][1] - lines[k][0] != lines[k - 1][1] - lines[k - 1][0]), len(lines)]
+            for first, after in zip(runs, runs[1:]):  # lines of one length; a wrapped block is these and a shorter one
+                ends = {lines[after - 1][1], lines[min(after, len(lines) - 1)][1]}
+                for k in range(first, after):
+                    a, b = lines[k]
+                    if b - a >= _LEAST_RUN:
+                        self._block(layer, a, b)
+                    head = _WRAPPED.sub("", layer.text[a : min(end, a + 40)]).translate(_TO_STANDARD)[:8]
+                    packed = k < first + 3 and len(head) == 8 and "=" not in head and _box(base64.b64decode(head))
+                    if offset % 4 not in phases:
+                        phases.add(offset % 4)
+                        self._block(layer, a, end)
+                        if a < last < end:
+                            self._block(layer, a, last)
+                    if k == first or packed:
+                        for stop in ends:
+                            if stop - a >= _LEAST_RUN:
+                                self._block(layer, a, stop)
+                    offset += len(layer.text[a:b].rstrip("="))
+            # one, two or three lines less, and no line that is shorter than the widest
+            for stop in {last, *(b for _, b in lines[-4:-1])}:
+                for a in {start, next(a for a, b in lines if b - a == widest)}:
+                    if a < stop:
+                        self._block(layer, a, stop)
 
     def _block(self, layer: Layer, start: int, end: int) -> None:
         text = layer.text[start:end]
