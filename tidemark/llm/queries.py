@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, jaccard_join, language_id, mixing, neighbours, packing, quality, repeats, secret_scan, url_filter
+from tidemark.llm import (
+    centroids,
+    conversation_repair,
+    fingerprints,
+    jaccard_join,
+    language_id,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+    repeats,
+    secret_scan,
+    url_filter,
+    word_windows,
+)
 from tidemark.llm.shared import crc_fold, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +116,18 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def without_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_windows.remove_repeated_windows(_table(spark, sf_dir, "documents"))
+
+
+def clustered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": found_secrets,
@@ -114,6 +140,9 @@ def queries() -> dict[str, Query]:
         "op8_packing": packed_pieces,
         "op9_jaccard_join": similar_documents,
         "op10_fingerprints": document_fingerprints,
+        "op11_conversation_repair": repaired_conversations,
+        "op12_word_windows": without_repeated_windows,
+        "op13_centroids": clustered_vectors,
     }
 
 
@@ -156,5 +185,59 @@ FROM named
 """
 
 
+#: op12 in DuckDB: every window written out.
+WINDOW_SQL = r"""
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS MATERIALIZED (
+  SELECT r, p, array_to_string(words[p:p + 34], ' ') AS w
+  FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS p FROM texts)
+), repeated AS (
+  SELECT w FROM windows GROUP BY w HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(p, p + 35)) AS p FROM windows SEMI JOIN repeated USING (w)
+), words AS (
+  SELECT r, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS p FROM texts
+), kept AS (
+  SELECT r, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""
+
+#: One round of op13 in DuckDB: numbers of the nearest centroids (a), and the floor of their means (c).
+_ROUND_SQL = """
+a{k} AS MATERIALIZED (
+  SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance
+  FROM (SELECT r, cluster, sum((x - y) * (x - y)) AS d FROM v JOIN c{k} USING (i) GROUP BY r, cluster) GROUP BY r
+), c{n} AS MATERIALIZED (
+  SELECT cluster, i, coalesce((s - ((s % n) + n) % n) // n, y) AS y
+  FROM c{k} LEFT JOIN (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM v JOIN a{k} USING (r) GROUP BY cluster, i) USING (cluster, i)
+)"""
+
+#: op13 in DuckDB.
+CENTROID_SQL = (
+    """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+), v AS MATERIALIZED (
+  SELECT r, unnest(x) AS x, unnest(range(64)) AS i FROM kept
+), c0 AS MATERIALIZED (
+  SELECT cluster, unnest(x) AS y, unnest(range(64)) AS i
+  FROM (SELECT x, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS cluster FROM kept) WHERE cluster < 16
+), """
+    + ", ".join(_ROUND_SQL.format(k=k, n=k + 1) for k in range(4))
+    + """, named AS (
+  SELECT cluster, sha256(string_agg(y::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY cluster
+)
+SELECT vec_id, cluster::INTEGER AS cluster, distance::BIGINT AS distance,
+  (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM kept JOIN a3 USING (r) JOIN named USING (cluster)
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": URL_SQL}
+    return {"op6_url_filter": URL_SQL, "op12_word_windows": WINDOW_SQL, "op13_centroids": CENTROID_SQL}
