@@ -6,12 +6,15 @@ import gzip
 import io
 import lzma
 import tarfile
+import time
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tidemark.llm import neighbours, quality, secret_scan
+from tidemark.llm import neighbours, packing, quality, queries, secret_scan
 from tidemark.llm.shared import prepared
 
 
@@ -119,3 +122,74 @@ def test_a_short_last_line_is_read():
     text = f"{block}\nafter"
     assert len(block.split("\n")[-1]) < 20
     assert {secret_scan.KINDS[s.kind] for s in secret_scan.find_secrets(text, 1 << 22)[1]} == {"access"}
+
+
+@pytest.mark.parametrize("before", ["https://host.com/cb/", "id_", "x/", "a-", "ab+", "see ", "q", "abc", "abcd"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, bz2.compress, lzma.compress, zlib.compress])
+def test_base64_behind_letters_of_its_alphabet(before, pack):
+    if pack is zlib.compress and before in ("q", "abc", "abcd"):
+        return  # two bytes of a magic number are no sign in the middle of letters
+    data = pack(f"say {KEY} now".encode())
+    for block in (b64(data), base64.urlsafe_b64encode(data).decode()):
+        text = f"go {before}{block} on"
+        found = [text[s.start : s.end] for s in secret_scan.find_secrets(text, 1 << 22)[1]]
+        assert found and all(f in text for f in found)
+        assert KEY not in secret_scan.masked(text, 1 << 22)
+
+
+@pytest.mark.parametrize("joint", ["\n    ", "\n> ", "\r\n\t", '" +\n    "', "' \\\n'", '",\n"', '"\n"'])
+def test_lines_of_a_block_may_be_indented_or_quoted(joint):
+    block = wrapped(b"pad " * 11 + KEY.encode() + b" tail" * 11, 24).replace("\n", joint)
+    assert secret_scan.find_secrets(f'x = "{block}"\nok', 1 << 22)[1]
+
+
+@pytest.mark.parametrize("text", [
+    "%" + "25" * 100_000 + f"41{KEY[1:]}", "%" * 60_000 + "25" * 60_000 + f"41{KEY[1:]}", "\\u005c" + "u005c" * 40_000 + f"u0041{KEY[1:]}",
+    "%5Cu0025" + "5Cu0025" * 20_000 + f"41{KEY[1:]}",
+])
+def test_nested_escapes_take_time_in_proportion(text):
+    begin = time.process_time()
+    _, spans, layers, _ = secret_scan.find_secrets(text, 1 << 22)
+    assert time.process_time() - begin < 4 and layers < 10
+    assert any(s.kind == 1 and s.end == len(text) for s in spans)
+
+
+def test_all_escapes_at_once_are_those_one_after_the_other():
+    random = np.random.default_rng(8)
+    parts = ["%", "25", "41", "4", "1", "\\u", "0041", "005c", "u", "\\x41", "&#65;", "&#x25;", "\\u{41}", "c3%a9", "%C3%A9", "\\ud83d\\ude00", "z"]
+    for _ in range(300):
+        text = "".join(random.choice(parts, 12))
+        layer, seen = secret_scan.Layer.whole(text), []
+        scanner = secret_scan.Scanner("", 1 << 20)
+        scanner._queue = lambda found, new=False: seen.append(found)
+        scanner._unescaped(layer)
+        assert not secret_scan._PERCENT.search(seen[-1].text) and len(seen[-1].starts) == len(seen[-1].text)
+        assert (seen[-1].starts < seen[-1].ends).all() and (np.diff(seen[-1].starts) >= 0).all()
+    assert secret_scan.find_secrets("tok%2565n=abcdefghijklmnop", 1 << 20)[1][0].start == 0
+
+
+def test_very_long_texts_are_scanned_whole():
+    far = "word " * 200_000 + b64(f"x {KEY}".encode()) + " word" * 200_000 + " token=abcdefghijklmnop"
+    assert len(secret_scan.find_secrets(far, 1 << 22)[1]) == 2
+
+
+def test_ids_are_the_tokenizers():
+    plain = Tokenizer.from_file(queries.WORD_VOCABULARY)
+    random = np.random.default_rng(11)
+    marks = list(".,;:!?|\"#$%&*()")
+    letters = list("abzAZÉéßÖİıſΣςσЖж漢かกñ") + ["é", "́", "̇", "क़", "ﬁ", "½", "Ⅷ", "7", "'s", "²", "K", "क़"]
+    texts = []
+    for _ in range(20_000):
+        words = ["".join(random.choice(letters, random.integers(1, 7))) + "".join(random.choice(marks, random.integers(0, 3))) for _ in range(3)]
+        texts.append(random.choice([" ", "\n", "  "]).join(words))
+    texts.append("GÜVENLİ, YENİ. SERİ;")
+    got = packing.WordTokenizer(queries.WORD_VOCABULARY).ids(texts)
+    expected = plain.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, g, e in zip(texts, got, expected) if g != np.array(e.ids, "<u4").tobytes()]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
+def test_very_long_words_and_texts_are_packed_whole():
+    plain = Tokenizer.from_file(queries.WORD_VOCABULARY)
+    for text in ("é" * 30_000, "x" * 50_000, "Ab, " * 100_000):
+        assert packing.WordTokenizer(queries.WORD_VOCABULARY).ids([text]) == [np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]

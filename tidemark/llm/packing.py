@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +25,12 @@ _LONG_WORD = 64
 #: Plain words: letters, then marks that no tokenizer rule joins to letters.
 _PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?|\"#$%&*()]*)")
 
+
+def _letters(core: str) -> bool:
+    """Whether a word stays letters only in the tokenizer's normal form: some letters become one with a mark, which joins the next."""
+    return core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha()
+
+
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, ids binary"
 )
@@ -65,7 +72,7 @@ class WordTokenizer:
         known, plain = self.known, []
         for word in words:
             if len(word) <= _LONG_WORD:
-                if m := _PLAIN.fullmatch(word):
+                if (m := _PLAIN.fullmatch(word)) and _letters(m[1]):
                     core = m[1].lower() if m[1].isascii() else m[1]
                     plain.append((word, core, m[2]))
                 else:

@@ -2,6 +2,10 @@
 
 Every layer is scanned. A layer knows for each of its characters which part of the whole text it came from, so what is found
 in it is reported as a span of the whole text. A layer that was seen before at the same place is not unwrapped again.
+
+Escapes inside escapes (%2525..., \\u005cu005c...) are taken off once, which is scanned, and then all at once: a layer for each of
+them would take time and memory with the square of their number. Base64 is read from all four places at which it can begin, since
+what stands before it in one run of letters (a path, an id and its _) need not be a multiple of four.
 """
 
 from __future__ import annotations
@@ -39,14 +43,19 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(
     r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
 )
-#: Shorter runs cannot hold a finding. Lines of one encoded block, of any length, are also read together up to a padding.
+#: One of the above at the end of a text: no escape is longer than _LONGEST characters.
+_ENDS_ESCAPE, _LONGEST = re.compile(rf"(?:%([0-9A-Fa-f]{{2}})|{_ESCAPE.pattern})\Z"), 10
+#: Shorter runs cannot hold a finding. Lines of one encoded block, of any length, are also read together up to a padding: also
+#: indented or quoted ones, and string literals that are added up.
 _LEAST_RUN = 20
+_JOINT = r"(?:[\"']?[ \t]*+(?:[+\\,][ \t]*+)?\r?\n[ \t>\"']*+)"
 _BASE64 = re.compile(
-    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{20,}+(?:\r?\n[A-Za-z0-9+/_-]++)*+|[A-Za-z0-9+/_-]++(?:\r?\n[A-Za-z0-9+/_-]++)++)={0,2}"
+    rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{20,}}+(?:{_JOINT}[A-Za-z0-9+/_-]++)*+|[A-Za-z0-9+/_-]++(?:{_JOINT}[A-Za-z0-9+/_-]++)++)={{0,2}}"
 )
-_BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _TO_STANDARD = str.maketrans("-_", "+/")
-_WRAPPED = re.compile(r"\r?\n")
+_WRAPPED = re.compile(_JOINT)
+#: Enough readable bytes for a finding; and how gzip, bzip2 and xz streams begin in base64, wherever in a run they do.
+_READABLE, _BOXED = re.compile(rb"[\t\n\r\x20-\x7e]{12}|(?:[\x20-\x7e]\x00){12}"), re.compile(r"(?=H4sI|Qlpo|[/_]Td6WFo|(?<=[-+/_])e)")
 #: Bytes taken at a time from a compressed stream.
 _PIECE = 1 << 20
 #: Fewer characters cannot hold a finding.
@@ -77,10 +86,11 @@ class Layer:
     """A decoded text; character i came from starts[i] to ends[i] of the whole text.
 
     left: for what came out of a compressed stream, a list of the one number of bytes that may still come out of that stream.
+    once: one level of escapes was taken off here, and another layer has them all off.
     """
 
-    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray, left: list[int] | None = None):
-        self.text, self.starts, self.ends, self.left = text, starts, ends, left
+    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray, left: list[int] | None = None, once: bool = False):
+        self.text, self.starts, self.ends, self.left, self.once = text, starts, ends, left, once
 
     @staticmethod
     def whole(text: str) -> Layer:
@@ -159,6 +169,23 @@ def _inflate(data: bytes, most: int) -> tuple[bytes, bool] | None:
     return (b"".join([*out, data]), False) if out else None
 
 
+def _opens(text: str, start: int, end: int) -> bool:
+    """Whether a compressed stream begins with this character of a base64 block."""
+    head = _WRAPPED.sub("", text[start : min(end, start + 160)]).rstrip("=").translate(_TO_STANDARD)[:88]
+    data = base64.b64decode(head[: len(head) // 4 * 4])
+    if (box := _box(data)) is None:
+        return False
+    try:
+        box.decompress(data)
+    except (zlib.error, OSError, lzma.LZMAError, EOFError):
+        return False
+    return True
+
+
+_BEGINS, _ENDS = frozenset(map(ord, "%\\&")), frozenset(map(ord, "0123456789abcdefABCDEF};"))
+_PAIR = re.compile("[\ud800-\udbff][\udc00-\udfff]")
+
+
 def _long(block: str) -> bool:
     """Whether the lines of a block hold enough characters together."""
     return len(block) >= _LEAST_RUN and len(_WRAPPED.sub("", block).rstrip("=")) >= _LEAST_RUN
@@ -179,8 +206,8 @@ class Scanner:
         self._queue(Layer.whole(text) if self._wrapped(text) else None)
         while self.work:
             layer = self.work.pop()
-            self._unicode(layer)
-            self._percent(layer)
+            if not layer.once and self._unicode(layer) | self._percent(layer):
+                self._unescaped(layer)
             self._base64(layer)
 
     @staticmethod
@@ -234,9 +261,60 @@ class Scanner:
         ends.append(layer.ends[at:])
         whole = "".join(texts)
         if whole:
-            self._queue(Layer(whole, np.concatenate(starts), np.concatenate(ends), layer.left), new=True)
-
-    def _unicode(self, layer: Layer) -> None:
+            self._queue(Layer(whole, np.concatenate(starts), np.concatenate(ends), layer.left, once=True), new=True)
+
+    def _unescaped(self, layer: Layer) -> None:
+        """The layer with all escapes taken off, also those that come out of others, in one pass: a decoded character may end
+        an escape that began before it, or begin one that ends later."""
+        codes: list[int] = []
+        first, last, raw = [], [], []
+        begun = -_LONGEST  # where the last character that can begin an escape stands
+        for i, char in enumerate(layer.text):
+            code, start, from_byte = ord(char), i, False
+            while True:
+                codes.append(code), first.append(start), last.append(i), raw.append(from_byte)
+                if code in _BEGINS:
+                    begun = len(codes) - 1
+                if code not in _ENDS or len(codes) - begun > _LONGEST:
+                    break
+                m = _ENDS_ESCAPE.search("".join(map(chr, codes[-_LONGEST:])))
+                if not m:
+                    break
+                code = int(m[7]) if m[7] else int(next(g for g in m.groups()[:6] if g), 16)
+                if code > 0x10FFFF:
+                    break
+                at = len(codes) - (m.end() - m.start())
+                start, from_byte = first[at], m[1] is not None
+                for held in (codes, first, last, raw):
+                    del held[at:]
+                begun = next((k for k in range(len(codes) - 1, max(-1, len(codes) - _LONGEST), -1) if codes[k] in _BEGINS), -_LONGEST)
+        self._put_together(layer, codes, layer.starts[first], layer.ends[last], raw)
+
+    def _put_together(self, layer: Layer, codes: list[int], starts: np.ndarray, ends: np.ndarray, raw: list[bool]) -> None:
+        """Queues the layer of these characters, where runs of decoded bytes are UTF-8 or Latin-1, or packed."""
+        texts, keep, at = [], [], 0
+        edges = np.flatnonzero(np.diff(np.array([False, *raw, False], np.int8)))
+        for a, b in [*zip(edges[::2].tolist(), edges[1::2].tolist()), (len(codes), len(codes))]:
+            texts.append("".join(map(chr, codes[at:a])))
+            keep.append((starts[at:a], ends[at:a]))
+            data = bytes(codes[a:b])
+            if data:
+                layers = _bytes_layers(data, starts[a:b], ends[a:b])
+                texts.append(layers[0].text)
+                keep.append((layers[0].starts, layers[0].ends))
+                if len(layers) > 1 or _box(data):
+                    self._bytes(data, starts[a:b], ends[a:b], layer.left)
+            at = b
+        text, starts, ends = "".join(texts), *map(np.concatenate, zip(*keep))
+        pairs = [m.start() for m in _PAIR.finditer(text)]
+        if pairs:  # two escapes of one character
+            text = _PAIR.sub(lambda m: chr(0x10000 + ((ord(m[0][0]) - 0xD800) << 10) + (ord(m[0][1]) - 0xDC00)), text)
+            ends[pairs] = ends[np.array(pairs) + 1]
+            starts, ends = np.delete(starts, np.array(pairs) + 1), np.delete(ends, np.array(pairs) + 1)
+        if text:
+            self._queue(Layer(text, starts, ends, layer.left, once=True), new=True)
+
+    def _unicode(self, layer: Layer) -> bool:
         parts = []
         for m in _ESCAPE.finditer(layer.text):
             code = int(m[6]) if m[6] else int(next(g for g in m.groups()[:5] if g), 16)
@@ -251,8 +329,9 @@ class Scanner:
             parts.append((a, b, chr(code), np.array([s]), np.array([e])))
         if parts:
             self._replaced(layer, parts)
+        return bool(parts)
 
-    def _percent(self, layer: Layer) -> None:
+    def _percent(self, layer: Layer) -> bool:
         parts = []
         for m in _PERCENT.finditer(layer.text):
             data, at = bytes.fromhex(m[0].replace("%", "")), m.start()
@@ -264,6 +343,7 @@ class Scanner:
                 self._bytes(data, starts, ends, layer.left)
         if parts:
             self._replaced(layer, parts)
+        return bool(parts)
 
     def _base64(self, layer: Layer) -> None:
         for m in _BASE64.finditer(layer.text):
@@ -271,11 +351,17 @@ class Scanner:
                 continue
             start, end = m.span()
             self._block(layer, start, end)
+            for phase in (1, 2, 3):
+                self._block(layer, start + phase, end, sure=False)
+            for x in _BOXED.finditer(layer.text, start, end):
+                if x.start() > start and _opens(layer.text, x.start(), end):
+                    self._block(layer, x.start(), end)
             if "\n" not in m[0]:
                 continue
             # Words of the text around may stand as lines before and after the block, and lines may be blocks of their own. A
             # block decodes alike from each earlier line that is a multiple of four characters before it.
-            lines = [x.span() for x in _BASE64_LINE.finditer(layer.text, start, end)]
+            joints = [x.span() for x in _WRAPPED.finditer(layer.text, start, end)]
+            lines = list(zip([start, *(b for _, b in joints)], [*(a for a, _ in joints), end]))
             offset, phases, widest = 0, {0}, max(b - a for a, b in lines)
             last = next(b for a, b in reversed(lines) if b - a == widest)
             runs = [0, *(k for k in range(1, len(lines)) if lines[k][1] - lines[k][0] != lines[k - 1][1] - lines[k - 1][0]), len(lines)]
@@ -303,7 +389,8 @@ class Scanner:
                     if a < stop:
                         self._block(layer, a, stop)
 
-    def _block(self, layer: Layer, start: int, end: int) -> None:
+    def _block(self, layer: Layer, start: int, end: int, sure: bool = True) -> None:
+        """Decodes a block. One that need not begin here counts only if what comes out can hold a finding."""
         text = layer.text[start:end]
         body = _WRAPPED.sub("", text).rstrip("=").translate(_TO_STANDARD)
         body = body[: len(body) - (len(body) % 4 == 1)]
@@ -311,9 +398,12 @@ class Scanner:
             data = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             return
-        if not data:
+        if not data or not (sure or _READABLE.search(data)):
             return
-        at = np.flatnonzero(~np.isin(np.array(list(text)), ["\r", "\n"])) + start
+        keep = np.ones(len(text), bool)
+        for m in _WRAPPED.finditer(text):
+            keep[m.start() : m.end()] = False
+        at = np.flatnonzero(keep) + start
         unit = np.arange(len(data))
         self._bytes(data, layer.starts[at[unit * 8 // 6]], layer.ends[at[(unit * 8 + 7) // 6]], layer.left)
 
