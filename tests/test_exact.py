@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import exact
 from tidemark.functions.calendar import month_gap
-from tidemark.plans.ranking import ranked_ties, ranked_values, rows_between, tile_end
+from tidemark.plans.ranking import tile_sums
 
 
 def half_up(n: int, d: int, scale: int) -> int | None:
@@ -47,31 +47,47 @@ def test_month_gap_counts_month_boundaries(spark):
     assert tuple(got) == (1, 12)
 
 
-def test_ranks_and_tiles_match_the_window_functions(spark):
-    for n in (1, 5, 99, 101, 250, 1500):
-        # A third of the rows share one value; others are negative or very large.
-        value = F.when(F.col("id") % 3 == 0, 7).otherwise(
+def tiles_by_window(df, lasts, tiles):
+    """What tile_sums gives, from ntile."""
+    everything = Window.orderBy(F.desc_nulls_last("value"), F.asc_nulls_last("user_id"))
+    part = sum((F.col("tile") > last).cast("int") for last in lasts[:-1]) + F.lit(0)
+    rows = df.withColumn("tile", F.ntile(tiles).over(everything)).groupBy(part.alias("part"))
+    return rows.agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.sum("weight").alias("w"))
+
+
+def same_tiles(df, lasts=(1, 5, 10), tiles=10):
+    got = tile_sums(df, "value", "user_id", lasts, tiles, total=F.col("value"), w=F.col("weight"))
+    def key(r): return tuple(r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, tiles_by_window(df, lasts, tiles).collect()), key=key)
+
+
+def test_tile_sums_match_ntile(spark):
+    for n in (0, 1, 9, 101, 1500):
+        # a third of the rows share one value; others are negative, very large or null
+        value = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 11 == 1, None).otherwise(
             (F.hash("id") % 50) * F.when(F.col("id") % 5 == 0, 10**12 + 1).otherwise(1)
         )
-        df = spark.range(n).select(F.col("id").alias("user_id"), value.cast("bigint").alias("value"))
-        values = ranked_values(df, "value")
-        tied = df.join(values, "value")
-        placed = ranked_ties(tied, "value", "user_id").withColumn("rank", F.col("before") + F.col("place"))
-        everything = Window.orderBy(F.desc("value"), F.asc("user_id"))
-        expected = df.select(
-            "user_id", F.row_number().over(everything).cast("bigint").alias("rank"),
-            F.ntile(10).over(everything).alias("tile"),
+        df = spark.range(n).select(
+            F.col("id").alias("user_id"), value.cast("bigint").alias("value"), (F.hash("id") % 1000).cast("bigint").alias("weight")
         )
-        assert placed.select("user_id", "rank").exceptAll(expected.select("user_id", "rank")).count() == 0
-        assert placed.count() == n
-        for tile in range(1, 11):
-            inside = rows_between(tile_end(tile - 1, 10), tile_end(tile, 10))
-            users = values.agg(F.sum(inside)).first()[0]
-            assert users == expected.filter(F.col("tile") == tile).count()
-
-
-def test_all_values_equal(spark):
-    df = spark.range(37).select(F.col("id").alias("user_id"), F.lit(5).cast("bigint").alias("value"))
-    assert [tuple(r) for r in ranked_values(df, "value").collect()] == [(5, 37, 0, 37)]
-    places = ranked_ties(df, "value", "user_id").orderBy("user_id").collect()
-    assert [r.place for r in places] == list(range(1, 38))
+        same_tiles(df)
+        same_tiles(df.withColumn("user_id", F.concat(F.lit("user_name_"), F.lpad(F.col("user_id").cast("string"), 6, "0"))))
+
+
+def test_tiles_that_end_among_equal_values(spark):
+    for n in (2, 3000):
+        df = spark.range(n).select(
+            F.when(F.col("id") > 0, F.col("id")).alias("user_id"), F.lit(5).cast("bigint").alias("value"),
+            (F.hash("id") % 1000).cast("bigint").alias("weight"),
+        )
+        same_tiles(df)
+        same_tiles(df.withColumn("value", F.lit(None).cast("bigint")), (1, 10, 20, 50, 100), 100)
+        same_tiles(df, (10,), 10)
+
+
+def test_tiles_of_many_values_with_the_same_leading_bits(spark):
+    df = spark.range(5000).select(
+        F.col("id").alias("user_id"), (F.lit(1 << 40) + F.hash("id") % 997).alias("value"), F.lit(1).cast("bigint").alias("weight")
+    )
+    same_tiles(df)
+    same_tiles(df, tuple(range(1, 101)), 100)

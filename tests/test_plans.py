@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as contract
 from tidemark.model import Model, Rules
 from tidemark.operators import growth, revenue
-from tidemark.plans import tuning
+from tidemark.plans import rollups, tuning
 from tidemark.plans.rollups import recent_days, user_facts
 from tidemark.sources.commerce import commerce_model
 from tidemark.sources.files import load_parquet_model, write_parquet_model
@@ -52,6 +52,8 @@ def test_plan(spark, no_broadcast, name):
     ("wau_recent", "GreaterThanOrEqual(o_orderdate"),
     ("dau_recent_stats", "GreaterThanOrEqual(o_orderdate"),
     ("events_wau_recent", "GreaterThanOrEqual(ts"),
+    ("headline_kpis", "GreaterThanOrEqual(o_orderdate"),
+    ("latest_kpi_cards", "GreaterThanOrEqual(o_orderdate"),
     ("renewal_overall", "EqualTo(o_orderstatus,F)"),
     ("mrr_arr", "EqualTo(o_orderstatus,F)"),
     ("revenue_by_plan", "EqualTo(o_orderstatus,F)"),
@@ -77,6 +79,33 @@ def test_limits_open_only_the_months_they_need(spark, hand, tmp_path):
     assert df.collect() == growth.wau_recent(hand).collect()
 
 
+def test_today_of_a_written_model_reads_no_activity(spark, hand, tmp_path):
+    write_parquet_model(hand, str(tmp_path))
+    model = load_parquet_model(spark, str(tmp_path))
+    read = spark.range(1).select(rollups.today(model).alias("day"))
+    text = read._jdf.queryExecution().optimizedPlan().toString()
+    assert "last_day" in text and "activity_id" not in text and "user_id" not in text
+    assert read.first().day == max(r.activity_date for r in hand.activity.collect())
+    assert growth.headline_kpis(model).collect() == growth.headline_kpis(hand).collect()
+
+
+@pytest.mark.parametrize("name", ["renewal_by_value_segment", "revenue_pareto", "pareto_running_share"])
+def test_payers_of_tiles_are_derived_three_times_at_most(spark, no_broadcast, name):
+    text = contract.metric_queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation [") <= 6
+
+
+@pytest.mark.parametrize("metric", [growth.dau, growth.wau, growth.wau_recent, growth.mau, growth.mau_mom, growth.stickiness,
+                                    growth.dau_recent_stats, growth.headline_kpis])
+def test_active_users_of_a_materialized_model_are_united_not_shuffled(spark, no_broadcast, hand, metric):
+    for model in (hand, commerce_model(spark, SMALL)):
+        rolled = rollups.materialize(model)
+        text = plan(metric(rolled))
+        assert "bitmap_or_agg" in text or metric in (growth.dau, growth.dau_recent_stats)
+        assert not re.search(r"hashpartitioning\([^)]*user_id", text) and "o_custkey" not in text
+        assert metric(rolled).collect() == metric(model).collect()
+
+
 @pytest.mark.parametrize("name", ["renewal_overall", "revenue_by_channel", "mrr_arr"])
 def test_orders_are_summed_before_they_are_shuffled(spark, no_broadcast, name):
     lines = plan(contract.metric_queries()[name](spark, SMALL)).split("== Initial Plan ==")[-1].splitlines()

@@ -20,6 +20,8 @@ class Model:
     they are restricted to the users in ``payers``, so that they can be summed before that join;
     ``success`` is the condition for a successful payment on a stored column.
 
+    ``last_day`` has days in ``activity_date`` of which the latest is today; a written model has one for each month.
+
     The third group holds what :mod:`tidemark.plans.rollups` would otherwise compute per query;
     attach it with :func:`tidemark.plans.rollups.materialize`.
     """
@@ -38,6 +40,7 @@ class Model:
     user_revenue: DataFrame | None = None
     paid_months: DataFrame | None = None
     last_day: DataFrame | None = None
+    day_users: DataFrame | None = None
     facts: DataFrame | None = None
     facts_rules: Rules | None = None
 

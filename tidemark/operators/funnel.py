@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import exact
 from tidemark.functions.cohorts import is_paid
 from tidemark.model import Model, Rules
-from tidemark.plans.ranking import ranked_ties, ranked_values, tile_end
+from tidemark.plans.ranking import tile_sums
 from tidemark.plans.rollups import user_facts, user_revenue
 from tidemark.plans.segments import long_segments
 
@@ -198,41 +198,18 @@ def renewal_by_channel(model: Model) -> DataFrame:
 
 def renewal_by_value_segment(model: Model) -> DataFrame:
     """Renewal of the top revenue decile, deciles 2..5, and the rest."""
-    payers = user_revenue(model).select("user_id", "pay_cnt", "cents")
-    values = ranked_values(payers, "cents", F.count_if(_renewed()).alias("renewed"))
-    ends = [tile_end(last, 10) for last, _ in VALUE_SEGMENTS]
-    # a value lies in one segment, unless a segment ends among its rows
-    last_rank = F.col("before") + F.col("n")
-    cut = F.lit(False)
-    for end in ends[:-1]:
-        cut = cut | ((F.col("before") < end) & (end < last_rank))
-    whole = values.where(~cut).select("value", "n", "renewed", last_rank.alias("rank"), "total")
-    # only payers of such a value are put in order
-    split = values.where(cut).select("value", "before", "total")
-    tied = payers.select("user_id", F.col("cents").alias("value"), _renewed().cast("bigint").alias("renewed"))
-    tied = tied.join(split, tied["value"].eqNullSafe(split["value"])).select(
-        tied["value"], "user_id", "renewed", "before", "total"
+    amount = F.col("cents")
+    parts = tile_sums(
+        user_revenue(model).select("user_id", "pay_cnt", "cents"), "cents", "user_id", [last for last, _ in VALUE_SEGMENTS], 10,
+        amounts=amount, counted=F.when(amount.isNotNull(), 1).otherwise(0), renewals=_renewed().cast("bigint"),
     )
-    tied = ranked_ties(tied, "value", "user_id").select(
-        "value", F.lit(1).cast("bigint").alias("n"), "renewed", (F.col("before") + F.col("place")).alias("rank"), "total"
-    )
-    place = F.lit(len(ends))
-    for k in range(len(ends) - 1, 0, -1):
-        place = F.when(F.col("rank") <= ends[k - 1], k).otherwise(place)
-    name = F.element_at(F.array(*[F.lit(n) for _, n in VALUE_SEGMENTS]), F.col("place"))
-    users, renewed = F.sum("n"), F.sum("renewed")
-    counted = F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
-    return (
-        whole.unionByName(tied)
-        .groupBy(place.alias("place"))
-        .agg(
-            users.alias("users"),
-            exact.money_per(F.sum(F.col("value") * F.col("n")), F.coalesce(counted, F.lit(0))).alias("avg_lifetime_rev"),
-            renewed.alias("renewed"),
-            exact.percent(renewed, users).alias("renewal_pct"),
-        )
-        .orderBy("place")
-        .select(name.alias("value_segment"), "users", "avg_lifetime_rev", "renewed", "renewal_pct")
+    name = F.get(F.array(*[F.lit(n) for _, n in VALUE_SEGMENTS]), F.col("part"))
+    return parts.orderBy("part").select(
+        name.alias("value_segment"),
+        F.col("n").alias("users"),
+        exact.money_per(F.col("amounts"), F.col("counted")).alias("avg_lifetime_rev"),
+        F.col("renewals").alias("renewed"),
+        exact.percent(F.col("renewals"), F.col("n")).alias("renewal_pct"),
     )
 
 

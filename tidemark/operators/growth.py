@@ -11,7 +11,14 @@ from tidemark.functions import exact
 from tidemark.functions.calendar import month_of, week_of
 from tidemark.functions.cohorts import is_paid, slug
 from tidemark.model import Model, Rules
-from tidemark.plans.rollups import active_days, recent_days, today, user_month
+from tidemark.plans.rollups import (
+    active_days,
+    day_users,
+    first_day,
+    recent_days,
+    side_by_side,
+    user_month,
+)
 
 
 # ---- user mix -------------------------------------------------------------------
@@ -41,13 +48,21 @@ def total_registered(model: Model) -> DataFrame:
 # ---- active users ---------------------------------------------------------------
 
 
+def _united(days: DataFrame, *by: Column | str) -> DataFrame:
+    """Bit maps of users united over days, one per bucket and ``by``."""
+    return days.groupBy(*by, "bucket").agg(F.bitmap_or_agg("users").alias("users"))
+
+
 def _active_users(model: Model, bucket: Column, name: str, out: str, days: int | None = None):
+    if model.day_users is not None:
+        rows = day_users(model, None if days is None else first_day(model, days))
+        return _united(rows, bucket.alias(name)).groupBy(name).agg(F.sum(F.bitmap_count("users")).alias(out))
     rows = active_days(model) if days is None else recent_days(model, days)
     return rows.groupBy(bucket.alias(name)).agg(F.count_distinct("user_id").alias(out))
 
 
 def _daily(model: Model, days: int | None = None) -> DataFrame:
-    if model.user_day is None:
+    if model.user_day is None or model.day_users is not None:
         return _active_users(model, F.col("activity_date"), "activity_date", "dau", days)
     rows = active_days(model) if days is None else recent_days(model, days)
     return rows.groupBy("activity_date").agg(F.count("user_id").alias("dau"))
@@ -102,23 +117,30 @@ def mau_mom(model: Model) -> DataFrame:
     )
 
 
+def _user_days(model: Model) -> DataFrame:
+    """(month, user_days, days, mau)"""
+    if model.day_users is not None:
+        month = month_of("activity_date").alias("month")
+        daily = day_users(model).groupBy("activity_date").agg(F.sum(F.bitmap_count("users")).alias("dau"))
+        daily = daily.groupBy(month).agg(F.sum("dau").alias("user_days"), F.count("*").cast("int").alias("days"))
+        return daily.join(_active_users(model, month_of("activity_date"), "month", "mau"), "month")
+    user_days = F.sum(F.when(F.col("user_id").isNotNull(), F.bit_count("day_bits")))
+    return user_month(model).groupBy("month").agg(
+        F.coalesce(user_days, F.lit(0)).alias("user_days"),
+        F.bit_count(F.bit_or("day_bits")).alias("days"),
+        F.count("user_id").alias("mau"),
+    )
+
+
 def stickiness(model: Model) -> DataFrame:
     """Mean DAU over the active days of a month, and its share of MAU.
 
     The sum of DAU over a month is the sum of active days over its users, so one pass
     over (user, month) day masks gives DAU and MAU together.
     """
-    user_days = F.sum(F.when(F.col("user_id").isNotNull(), F.bit_count("day_bits")))
-    days = F.bit_count(F.bit_or("day_bits"))
     return (
-        user_month(model)
+        _user_days(model)
         .where(F.col("month").isNotNull())
-        .groupBy("month")
-        .agg(
-            F.coalesce(user_days, F.lit(0)).alias("user_days"),
-            days.alias("days"),
-            F.count("user_id").alias("mau"),
-        )
         .select(
             "month",
             exact.average0(F.col("user_days"), F.col("days")).alias("avg_dau"),
@@ -222,32 +244,39 @@ def cum_users_by_channel(model: Model) -> DataFrame:
 # ---- headline -------------------------------------------------------------------
 
 
-def headline_kpis(model: Model) -> DataFrame:
-    """One row of dashboard numbers; wau and mau are trailing 7 and 30 days here.
+def _recently_active(model: Model) -> DataFrame:
+    """One row (dau_today, wau, mau): users of today and of the last 7 and 30 days.
 
     A user was active in the last N days exactly if their last active day was, so one
     row per recently active user answers all three windows.
     """
-    cut, last = today(model, 30), F.col("last_day")
+    windows = {"dau_today": 1, "wau": 7, "mau": 30}
+    first = first_day(model, 30 - 1)
+
+    def inside(day: str, n: int) -> Column:
+        return F.col(day) >= F.date_add(first, 30 - n)
+
+    if model.day_users is not None:
+        days = day_users(model, first)
+        united = days.groupBy("bucket").agg(*[
+            F.bitmap_or_agg(F.when(inside("activity_date", n), F.col("users"))).alias(name) for name, n in windows.items()
+        ])
+        return united.agg(*[F.coalesce(F.sum(F.bitmap_count(name)), F.lit(0)).alias(name) for name in windows])
     recent = (
         recent_days(model, 30 - 1)
         .where(F.col("user_id").isNotNull())
         .groupBy("user_id")
         .agg(F.max("activity_date").alias("last_day"))
-        .agg(
-            F.struct(
-                F.count_if(last == F.date_add(cut, 30)).alias("dau_today"),
-                F.count_if(last > F.date_add(cut, 30 - 7)).alias("wau"),
-                F.count("*").alias("mau"),
-            ).alias("active")
-        )
     )
-    return (
-        model.users.agg(
-            F.count("*").alias("total_users"),
-            F.count_if(is_paid()).alias("paid_users"),
-            F.count_if(F.col("register_date") > cut).alias("new_users_30d"),
-        )
-        .withColumn("active", recent.scalar())
-        .select("total_users", "paid_users", "active.*", "new_users_30d")
+    return recent.agg(*[F.count_if(inside("last_day", n)).alias(name) for name, n in windows.items()])
+
+
+def headline_kpis(model: Model) -> DataFrame:
+    """One row of dashboard numbers; wau and mau are trailing 7 and 30 days here."""
+    people = model.users.agg(
+        F.count("*").alias("total_users"),
+        F.count_if(is_paid()).alias("paid_users"),
+        F.count_if(F.col("register_date") >= first_day(model, 30 - 1)).alias("new_users_30d"),
     )
+    columns = ("total_users", "paid_users", "dau_today", "wau", "mau", "new_users_30d")
+    return side_by_side(people, _recently_active(model)).select(*columns)

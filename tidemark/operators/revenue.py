@@ -7,7 +7,7 @@ from tidemark.functions import exact
 from tidemark.functions.calendar import month_of, months_until, plus_months
 from tidemark.functions.cohorts import is_paid
 from tidemark.model import Model
-from tidemark.plans.ranking import ranked_values, rows_between, tile_end
+from tidemark.plans.ranking import tile_sums
 from tidemark.plans.recurring import recurring_levels, recurring_levels_by_plan
 from tidemark.plans.rollups import (
     of_payers,
@@ -359,26 +359,16 @@ def top_customers_table(model: Model, k: int = 10) -> DataFrame:
 
 
 def _pareto(model: Model) -> DataFrame:
-    """Payers by revenue percentile. Only sums are asked for, so payers of one amount are counted, not ranked."""
-    amounts = ranked_values(user_revenue(model), "cents")
-    last = 0
-    parts = []
-    for percentile, name in PARETO_BUCKETS:
-        parts.append(F.struct(
-            F.lit(name).alias("segment"), F.lit(last + 1).alias("sort_order"),
-            rows_between(tile_end(last, 100), tile_end(percentile, 100)).alias("users"),
-        ))
-        last = percentile
-    return (
-        amounts.select("value", F.inline(F.array(*parts)))
-        .where(F.col("users") > 0)
-        .groupBy("segment")
-        .agg(
-            F.min("sort_order").alias("sort_order"),
-            F.sum("users").alias("users"),
-            F.sum(F.col("users") * F.col("value")).alias("cents"),
-        )
-        .withColumn("share", exact.half_up(F.col("cents"), F.sum("cents").over(Window.partitionBy()), 10_000))
+    """Payers by revenue percentile."""
+    lasts = [last for last, _ in PARETO_BUCKETS]
+    parts = tile_sums(user_revenue(model).select("user_id", "cents"), "cents", "user_id", lasts, 100, cents=F.col("cents"))
+    names, first = [F.lit(name) for _, name in PARETO_BUCKETS], [F.lit(last + 1) for last in (0, *lasts)]
+    return parts.select(
+        F.get(F.array(*names), F.col("part")).alias("segment"),
+        F.get(F.array(*first), F.col("part")).alias("sort_order"),
+        F.col("n").alias("users"),
+        "cents",
+        exact.half_up(F.col("cents"), F.sum("cents").over(Window.partitionBy()), 10_000).alias("share"),
     )
 
 

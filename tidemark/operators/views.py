@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import exact
 from tidemark.model import Model, Rules
 from tidemark.operators import funnel, growth, retention, revenue
-from tidemark.plans.rollups import user_revenue
+from tidemark.plans.rollups import side_by_side, user_revenue
 from tidemark.schema import size_order
 
 
@@ -172,28 +172,21 @@ def latest_kpi_cards(model: Model) -> DataFrame:
         .agg(F.max("mrr").alias("mrr"))
     )
     renewal = user_revenue(model).agg(
-        F.struct(
-            F.sum("cents").alias("cents"),
-            exact.percent(F.count_if(F.col("pay_cnt") >= 2), F.count("*")).alias("renewal_pct"),
-        ).alias("paid")
+        F.sum("cents").alias("cents"),
+        exact.percent(F.count_if(F.col("pay_cnt") >= 2), F.count("*")).alias("renewal_pct"),
     )
     cards = {
         "total_users": F.col("total_users").cast("double"),
         "mau": F.col("mau").cast("double"),
         "mrr": F.col("mrr"),
-        "arpu": exact.money_per(F.col("paid.cents"), F.col("total_users")),
+        "arpu": exact.money_per(F.col("cents"), F.col("total_users")),
         "conversion_pct": exact.percent(F.col("paid_users"), F.col("total_users")),
-        "renewal_pct": F.col("paid.renewal_pct"),
+        "renewal_pct": F.col("renewal_pct"),
     }
     rows = F.array(
         *[F.struct(F.lit(k).alias("kpi"), v.alias("value")) for k, v in cards.items()]
     )
-    return (
-        growth.headline_kpis(model)
-        .withColumn("mrr", mrr.scalar())
-        .withColumn("paid", renewal.scalar())
-        .select(F.inline(rows))
-    )
+    return side_by_side(growth.headline_kpis(model), mrr, renewal).select(F.inline(rows))
 
 
 def channel_quality_quadrants(model: Model) -> DataFrame:

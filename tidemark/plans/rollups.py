@@ -37,6 +37,20 @@ def _today(model: Model, value: Column) -> Column:
     return source.agg(value.alias("day")).scalar()
 
 
+def first_day(model: Model, days_ago: int) -> Column:
+    """The day ``days_ago`` days before today, by the same subquery as the limit of :func:`recent_days`.
+
+    Different subqueries on one table are merged into one with a struct, a field of which does not reach a scan; equal ones stay.
+    """
+    if model.activity_time is None or model.user_day is not None:
+        return today(model, days_ago)
+    return _first_time(model, days_ago).cast("date")
+
+
+def _first_time(model: Model, days_ago: int) -> Column:
+    return _today(model, F.date_sub(F.max("activity_date"), days_ago).cast("timestamp_ntz"))
+
+
 def recent_days(model: Model, days_ago: int) -> DataFrame:
     """:func:`active_days` from ``days_ago`` days before today on.
 
@@ -50,13 +64,24 @@ def recent_days(model: Model, days_ago: int) -> DataFrame:
     if model.activity_month is not None:
         rows = rows.where(F.col(model.activity_month) >= _today(model, F.trunc(first, "month")))
     if model.activity_time is not None:
-        limit = _today(model, first.cast("timestamp_ntz"))
-        rows = rows.where(F.col(model.activity_time) >= limit)
+        rows = rows.where(F.col(model.activity_time) >= _first_time(model, days_ago))
     else:
         rows = rows.where(F.col("activity_date") >= _today(model, first))
     return rows.select("user_id", "activity_date")
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """The columns of frames of one row each, in one row.
+
+    The rows are stacked and merged. As scalar subqueries, frames on one table would be merged into one scan, and a limit of
+    one of them lost; a join of single rows would be a nested loop.
+    """
+    rows = frames[0]
+    for df in frames[1:]:
+        rows = rows.unionByName(df, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def active_days(model: Model) -> DataFrame:
     """(user_id, activity_date) for metrics that do not depend on duplicates."""
     source = model.activity if model.user_day is None else model.user_day
@@ -80,6 +105,35 @@ def user_month(model: Model) -> DataFrame:
     )
 
 
+def day_users(model: Model, first: Column | None = None) -> DataFrame:
+    """(activity_date, bucket, users): the active users of a day as bit maps over stored user numbers.
+
+    Bit maps of the same bucket unite by ``bitmap_or_agg``, so distinct users of any set of days are counted exactly without
+    a shuffle by user. Days from ``first`` on only, if it is given.
+    """
+    rows = model.day_users
+    return rows if first is None else rows.where(F.col("activity_date") >= first)
+
+
+def _user_numbers(days: DataFrame) -> DataFrame:
+    """(user_id, number): the different users of daily rows, numbered from 0 in each partition, so that bit maps are full.
+
+    To be stored before it is used: numbers differ from run to run."""
+    users = days.select("user_id").where(F.col("user_id").isNotNull()).distinct()
+    return users.withColumn("number", F.monotonically_increasing_id())
+
+
+def _day_users(days: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Days on which only unknown users were active keep a row, with an empty bit map."""
+    number = F.col("number")
+    return (
+        days.select("user_id", "activity_date")
+        .join(numbers, "user_id", "left")
+        .groupBy("activity_date", F.bitmap_bucket_number(number).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("users"))
+    )
+
+
 def payment_rows(model: Model) -> DataFrame:
     """Payments, in a model with ``payers`` also of others: sum them per user, then use :func:`of_payers`."""
     return model.subscription if model.payments is None else model.payments
@@ -208,6 +262,7 @@ def materialize(model: Model, path: str | None = None, rules: Rules = Rules()) -
     model = replace(
         model,
         last_day=kept("last_day", last),
+        day_users=kept("day_users", _day_users(model.user_day, kept("user_numbers", _user_numbers(model.user_day)))),
         user_revenue=kept("user_revenue", user_revenue(model)),
         paid_months=kept("paid_months", paid_months(model)),
     )

@@ -1,12 +1,16 @@
 """Readers and writers of the three input tables."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import month_of
 from tidemark.model import Model
 from tidemark.operators.quality import require_keys
 from tidemark.schema import ACTIVITY, PRIMARY_KEYS, SUBSCRIPTION, TABLES, USERS
 
+#: (month, first_day, last_day) of a written model's activity.
+ACTIVITY_DAYS = "activity_days"
+
 
 def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
     """CSV with a header line; columns are taken by position and must fit the schema."""
@@ -58,7 +62,8 @@ def write_parquet_model(model: Model, folder: str) -> None:
     """Write the tables as parquet, the fact tables in folders per month.
 
     Rows are range-partitioned by month and key first: a folder gets few files, and a
-    month that holds much of the data is still written by many tasks.
+    month that holds much of the data is still written by many tasks. The first and last day of
+    each month with activity go to a table of their own.
     """
     model.users.write.mode("overwrite").parquet(f"{folder}/users")
     for name, day in (("activity", "activity_date"), ("subscription", "payment_date")):
@@ -68,16 +73,22 @@ def write_parquet_model(model: Model, folder: str) -> None:
             .repartitionByRange("month", PRIMARY_KEYS[name])
             .write.mode("overwrite").partitionBy("month").parquet(f"{folder}/{name}")
         )
+    days = model.spark.read.parquet(f"{folder}/activity").groupBy("month").agg(
+        F.min("activity_date").alias("first_day"), F.max("activity_date").alias("last_day")
+    )
+    days.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{ACTIVITY_DAYS}")
 
 
 def load_parquet_model(spark: SparkSession, folder: str) -> Model:
-    """The written tables; limits on days open only the folders of their months."""
+    """The written tables; limits on days open only the folders of their months, and today is read from the table of days."""
     read = spark.read
+    days = read.parquet(f"{folder}/{ACTIVITY_DAYS}")
     return Model(
         read.parquet(f"{folder}/users"),
         read.parquet(f"{folder}/activity"),
         read.parquet(f"{folder}/subscription").drop("month"),
         activity_month="month",
+        last_day=days.select(F.col("last_day").alias("activity_date")),
     )
 
 
