@@ -671,3 +671,21 @@ def loaded_tables() -> dict[str, str]:
         casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in columns)
         out[f"load_{name}"] = f"WITH {', '.join(COMMERCE)}\nSELECT * REPLACE ({casts}) FROM {name}"
     return out
+
+
+def checked_loads() -> dict[str, str]:
+    """Lines that do not fit a schema, and keys that break a rule."""
+    return {
+        "load_counts": f"""WITH {', '.join(COMMERCE)}
+SELECT count(*) FILTER (WHERE subscription_id % 10 <> 0) AS loaded, count(*) FILTER (WHERE subscription_id % 10 = 0) AS rejected
+FROM subscription""",
+        "events_integrity_report": f"""WITH {', '.join(EVENTS)}
+SELECT 'activity' AS table_name, 'unknown user' AS problem, CAST(user_id AS VARCHAR) AS key_value, count(*) AS uses
+FROM activity a WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.user_id = a.user_id) GROUP BY user_id
+UNION ALL
+SELECT 'activity', CASE WHEN activity_id IS NULL THEN 'missing key' ELSE 'repeated key' END, CAST(activity_id AS VARCHAR), count(*)
+FROM activity GROUP BY activity_id HAVING count(*) > 1 OR activity_id IS NULL
+UNION ALL
+SELECT 'users', CASE WHEN user_id IS NULL THEN 'missing key' ELSE 'repeated key' END, CAST(user_id AS VARCHAR), count(*)
+FROM users GROUP BY user_id HAVING count(*) > 1 OR user_id IS NULL""",
+    }

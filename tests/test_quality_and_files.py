@@ -55,6 +55,33 @@ def test_csv_that_does_not_fit_the_schema_fails(spark, tmp_path):
         files.load_subscription(spark, str(tmp_path / "s.csv")).collect()
 
 
+def test_lines_that_do_not_fit_are_put_aside(spark, hand, tmp_path):
+    files.write_csv_table(hand, "subscription", str(tmp_path))
+    (tmp_path / "subscription.csv" / "more.csv").write_text(
+        ",".join(f.name for f in files.SUBSCRIPTION) + "\nS8,U1,2024-01-02,5.5,Monthly,Success\nS9,U1,2024-01-02,a lot,Monthly,Success\n"
+        "S10,U1,no day,1.0,Monthly,Success\nS11,U1\n", encoding="utf-8",
+    )
+    got = files.load_checked(spark, "subscription", str(tmp_path / "subscription.csv"), str(tmp_path / "sorted"))
+    known = rows(hand.subscription)
+    assert got.rows.count() == len(known) + 1 and "S8" in {r.subscription_id for r in got.rows.collect()}
+    assert got.rows.schema == hand.subscription.schema
+    assert sorted(r.line.split(",")[0] for r in got.rejected.collect()) == ["S10", "S11", "S9"]
+    counts = {r.file.split("/")[-1]: (r.loaded, r.rejected) for r in got.counts.collect()}
+    assert counts.pop("more.csv") == (1, 3)
+    assert sum(a for a, _ in counts.values()) == len(known) and all(b == 0 for _, b in counts.values())
+
+
+def test_integrity_report_names_the_offenders(spark):
+    data = hand_rows()
+    data["users"] += [data["users"][0], (None, *data["users"][1][1:])]
+    data["activity"] += [("X1", "ghost", *data["activity"][0][2:]), ("X1", None, *data["activity"][0][2:])]
+    got = {tuple(r) for r in quality.integrity_report(to_model(spark, data)).collect()}
+    assert got == {
+        ("users", "repeated key", data["users"][0][0], 2), ("users", "missing key", None, 1), ("activity", "repeated key", "X1", 2),
+        ("activity", "unknown user", "ghost", 1), ("activity", "unknown user", None, 1),
+    }
+
+
 def test_duplicate_key_stops_the_load(spark, hand, tmp_path):
     files.write_csv_model(hand, str(tmp_path))
     doubled = hand.users.unionAll(hand.users)

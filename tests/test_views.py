@@ -51,6 +51,18 @@ def test_export_writes_one_file_per_view_and_a_manifest(hand, tmp_path):
     assert glob.glob(f"{tmp_path}/manifest.csv/part-*")
 
 
+def test_exported_files_are_not_read_back(spark, hand, tmp_path, monkeypatch):
+    monkeypatch.setattr(export, "read_export", None)
+    manifest = {r.view_name: r.rows for r in export.export_views(hand, str(tmp_path)).collect()}
+    assert list(manifest) == list(views.VIEWS)
+    for name, n in manifest.items():
+        df = views.build_view(name, hand)
+        assert n == df.count()
+        assert rows(spark.read.schema(df.schema).option("header", True).csv(f"{tmp_path}/{name}.csv")) == rows(df)
+    with pytest.raises(KeyError):
+        export.export_views(hand, str(tmp_path), names=["v_mrr_trend", "nothing"])
+
+
 def test_export_replaces_earlier_output(spark, hand, tmp_path):
     df = growth.dau(hand)
     path = export.export_csv(df, str(tmp_path / "dau"))

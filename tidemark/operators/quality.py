@@ -29,6 +29,29 @@ def pk_violations(model: Model) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
+def offending_keys(df: DataFrame, table_name: str, key: str) -> DataFrame:
+    """(table_name, key_value, uses) of each key that is missing (null) or used more than once: what :func:`key_violations` counts."""
+    uses = df.groupBy(F.col(key).cast("string").alias("key_value")).agg(F.count("*").alias("uses"))
+    return uses.where((F.col("uses") > 1) | F.col("key_value").isNull()).select(F.lit(table_name).alias("table_name"), "key_value", "uses")
+
+
+def integrity_report(model: Model) -> DataFrame:
+    """(table_name, problem, key_value, uses): keys that are missing or used twice, and unknown users with their number of rows."""
+    tables = model.tables()
+    keys = [
+        offending_keys(df, name, PRIMARY_KEYS[name]).withColumn("problem", F.when(F.col("key_value").isNull(), "missing key").otherwise("repeated key"))
+        for name, df in tables.items()
+    ]
+    users = tables["users"].select("user_id")
+    unknown = [
+        tables[name].groupBy("user_id").agg(F.count("*").alias("uses")).join(users, "user_id", "left_anti").select(
+            F.lit(name).alias("table_name"), F.col("user_id").cast("string").alias("key_value"), "uses", F.lit("unknown user").alias("problem")
+        )
+        for name in ("activity", "subscription")
+    ]
+    return reduce(DataFrame.unionByName, keys + unknown).select("table_name", "problem", "key_value", "uses")
+
+
 def require_keys(model: Model) -> Model:
     """Return the model, or raise if a primary key is missing or used twice."""
     broken = pk_violations(model).where("dup_keys > 0 OR null_keys > 0").collect()

@@ -1,7 +1,10 @@
 """Readers and writers of the three input tables."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.calendar import month_of
 from tidemark.model import Model
@@ -23,6 +26,45 @@ def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class CheckedLoad:
+    """Rows of a CSV table that fit its schema; (file, line) of those that do not; and (file, loaded, rejected) per file."""
+
+    rows: DataFrame
+    rejected: DataFrame
+    counts: DataFrame
+
+
+_BAD_LINE = "bad_line"
+
+
+def load_checked(spark: SparkSession, name: str, path: str, folder: str) -> CheckedLoad:
+    """Load a CSV table and put aside the lines that do not fit its schema, instead of failing at the first one.
+
+    The files are parsed once: rows and rejected lines are written below ``folder``, which the caller owns, and read from there.
+    All columns are parsed, whichever are asked for later, so what is rejected does not depend on the query.
+    """
+    schema = TABLES[name]
+    lines = (
+        spark.read.schema(StructType([*schema.fields, StructField(_BAD_LINE, StringType())]))
+        .option("header", True)
+        .option("encoding", "UTF-8")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _BAD_LINE)
+        .option("columnPruning", False)
+        .csv(path)
+    )
+    sorted_out = lines.select("*", F.col("_metadata.file_path").alias("file"), F.col(_BAD_LINE).isNotNull().alias("rejected"))
+    sorted_out.write.mode("overwrite").partitionBy("rejected").parquet(folder)
+    read = spark.read.schema(sorted_out.schema).parquet(folder)
+    counts = read.groupBy("file").agg(F.count_if(~F.col("rejected")).alias("loaded"), F.count_if("rejected").alias("rejected"))
+    return CheckedLoad(
+        read.where(~F.col("rejected")).select(*schema.fieldNames()),
+        read.where("rejected").select("file", F.col(_BAD_LINE).alias("line")),
+        counts,
+    )
+
+
 def load_users(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, USERS)
 
