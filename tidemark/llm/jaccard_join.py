@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import hash_filter, in_filter, stored
+from tidemark.llm.shared import dropped, hash_filter, in_filter, stored
 from tidemark.llm.shingles import mix, shingle_sets
 
 #: Pivots that a region takes one after the other before the rest is compared through their windows.
@@ -199,7 +199,9 @@ def _measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
             )
 
     rows = pairs.join(second, "b").join(first, "a").select("a", "b", "ha", "hb")
-    return stored(rows.mapInArrow(run, "a long, b long, both long, either long"))
+    measured = stored(rows.mapInArrow(run, "a long, b long, both long, either long"))
+    dropped(pairs, sets)
+    return measured
 
 
 def similar_components(docs: DataFrame, percent: int = 75, n_partitions: int | None = None) -> DataFrame:
@@ -227,6 +229,7 @@ def similar_components(docs: DataFrame, percent: int = 75, n_partitions: int | N
     centres = common.groupBy("s").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other")).filter("pivot < other")
     hot = common.join(centres.drop("other"), "s").select(*cold.columns)
     regions = stored(cold.unionByName(hot))
+    dropped(common)
 
     links, levels = None, []
     active, found = regions, None

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans import scratch
+
 #: A maximal run of characters other than white space is a word.
 WORD = r"[^\x20\x09-\x0D]+"
 LIBRARY = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -27,11 +29,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Sets a shared folder where the session names none, as in tests on one machine, and lets Python workers find the library."""
+    """Lets Python workers find the library, and bounds the bytes that they get at a time.
+
+    On one machine a shared folder is set where the session names none, as in tests; a cluster has to name it.
+    """
     try:
         shared_folder(spark)
     except ValueError:
+        if not spark.sparkContext.master.startswith("local"):
+            raise
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if LIBRARY not in paths:
@@ -39,11 +47,33 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of rows that a Python worker gets at a time.
+BATCH_BYTES = 16 << 20
+#: Lets Spark delete the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder and read back: later reads survive lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows, written once to the shared folder and read back: later reads survive lost executors.
+
+    Nothing reads the shuffles behind a written table again, so they go at once. The table stays until dropped().
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that stored() returned, once their last reader is done."""
+    for table in tables:
+        scratch.remove(table.sparkSession, table.stored_at)
 
 
 def text_or_empty(name: str = "text") -> Column:
