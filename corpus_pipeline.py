@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import jaccard_join, mixing, packing, quality, queries, secret_scan
-from tidemark.llm.shared import prepared, stored
+from tidemark.llm.shared import dropped, prepared, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -67,7 +67,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage on the table documents. Each stage's rows are written to the shared folder and read again."""
     docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for place, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if place < len(STAGES):
-            docs = stored(docs)
+        rows = stage(spark, docs, sf_dir)
+        if place == len(STAGES):
+            return rows
+        rows = stored(rows)
+        if place > 1:
+            dropped(docs)
+        docs = rows
     return docs
