@@ -47,6 +47,20 @@ def test_month_gap_counts_month_boundaries(spark):
     assert tuple(got) == (1, 12)
 
 
+def test_first_return_day_from_words_is_that_from_days(spark):
+    from tests.data import random_rows, to_model
+    from tidemark.model import Rules
+    from tidemark.plans.rollups import user_facts, user_returns
+
+    for seed, messy, reach in ((1, False, 30), (2, True, 400), (3, True, 63)):
+        model, rules = to_model(spark, random_rows(seed, messy=messy)), Rules(retention_days=reach)
+        columns = ["user_id", "register_date", "first_return_day", "tenure"]
+        days, words = (f(model, rules).select(*columns).collect() for f in (user_facts, user_returns))
+        assert sorted(map(str, days)) == sorted(map(str, words))
+        mature = [f(model, rules, mature_days=20).select(*columns).collect() for f in (user_facts, user_returns)]
+        assert sorted(map(str, mature[0])) == sorted(map(str, mature[1]))
+
+
 def tiles_by_window(df, lasts, tiles):
     """What tile_sums gives, from ntile."""
     everything = Window.orderBy(F.desc_nulls_last("value"), F.asc_nulls_last("user_id"))

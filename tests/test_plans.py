@@ -133,6 +133,21 @@ def test_ranks_run_no_job_before_the_action(spark, name):
     assert list(jobs) == []
 
 
+def test_a_slice_computes_only_its_segments_and_periods(spark):
+    text = contract.metric_queries()["slice_retention_card_short"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "channel" not in text and "Enterprise" not in text and text.count(" AS cohort_size") == 1
+    every = contract.metric_queries()["retention_long"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "channel" in every and "Enterprise" in every
+
+
+@pytest.mark.parametrize("name", ["retention_long", "retention30_by_channel"])
+def test_days_are_words_when_they_are_shuffled(spark, no_broadcast, name):
+    """The log is shuffled once, as one row per user and nine weeks; what follows are those rows and the users."""
+    text = plan(contract.metric_queries()[name](spark, SMALL)).split("== Initial Plan ==")[-1]
+    words = [line for line in text.splitlines() if "partial_bit_or" in line]
+    assert words and "activity_date" not in "".join(re.findall(r"hashpartitioning\([^)]*", text))
+
+
 def test_scan_reads_only_the_needed_columns(spark):
     text = contract.metric_queries()["dau"](spark, SMALL)._jdf.queryExecution().toString()
     (schema,) = set(re.findall(r"ReadSchema: struct<([^>]*)>", text))

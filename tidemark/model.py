@@ -41,6 +41,7 @@ class Model:
     paid_months: DataFrame | None = None
     last_day: DataFrame | None = None
     day_users: DataFrame | None = None
+    day_words: DataFrame | None = None
     facts: DataFrame | None = None
     facts_rules: Rules | None = None
 

@@ -7,7 +7,7 @@ from tidemark.functions import exact
 from tidemark.functions.cohorts import is_paid
 from tidemark.model import Model, Rules
 from tidemark.plans.ranking import tile_sums
-from tidemark.plans.rollups import user_facts, user_revenue
+from tidemark.plans.rollups import user_facts, user_returns, user_revenue
 from tidemark.plans.segments import long_segments
 
 # Funnel stages and the labels of segments.
@@ -91,7 +91,7 @@ def activation_analysis(model: Model, rules: Rules = Rules()) -> DataFrame:
 
 
 def retention30_overall(model: Model, rules: Rules = Rules()) -> DataFrame:
-    return _mature(model, rules).agg(
+    return user_returns(model, rules, mature_days=rules.maturity_days).agg(
         *_rate(_returned(rules), "eligible_users", "retained_users", "retention_pct")
     )
 
@@ -99,7 +99,8 @@ def retention30_overall(model: Model, rules: Rules = Rules()) -> DataFrame:
 def retention30_by_channel(model: Model, rules: Rules = Rules()) -> DataFrame:
     columns = _rate(_returned(rules), "users", "retained", "retention_pct")
     dim = "acquisition_channel"
-    return _by(_mature(model, rules, dim), dim, columns, "retention_pct")
+    users = user_returns(model, rules, dim, mature_days=rules.maturity_days)
+    return _by(users, dim, columns, "retention_pct")
 
 
 def retention30_by_activation(

@@ -1,5 +1,7 @@
 """Rolling retention and the cohort grid."""
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -7,10 +9,15 @@ from tidemark.functions import exact
 from tidemark.functions.calendar import month_gap, month_of
 from tidemark.functions.cohorts import tier
 from tidemark.model import Model, Rules
-from tidemark.plans.rollups import active_days, user_facts
+from tidemark.plans.rollups import active_days, user_returns
 from tidemark.plans.segments import long_segments
 
 
+# Segment types of the long table, and the column of each but the first.
+SEGMENT_TYPES = ("overall", "channel", "tier")
+SEGMENT_COLUMNS = {"channel": "acquisition_channel", "tier": "tier"}
+
+
 def _eligible(n: int) -> Column:
     return F.col("tenure") >= n
 
@@ -29,13 +36,13 @@ def _rates(rules: Rules) -> list[Column]:
 
 def retention_overall(model: Model, rules: Rules = Rules()) -> DataFrame:
     """Share of users who came back within N days, among those registered N days ago."""
-    return user_facts(model, rules).agg(*_rates(rules))
+    return user_returns(model, rules).agg(*_rates(rules))
 
 
 def retention_by_channel(model: Model, rules: Rules = Rules()) -> DataFrame:
     longest = rules.longest_period
     return (
-        user_facts(model, rules, "acquisition_channel")
+        user_returns(model, rules, "acquisition_channel")
         .groupBy("acquisition_channel")
         .agg(*_rates(rules), F.count_if(_eligible(longest)).alias("n"))
         .orderBy(F.desc_nulls_last(f"d{longest}_pct"), "acquisition_channel")
@@ -44,7 +51,7 @@ def retention_by_channel(model: Model, rules: Rules = Rules()) -> DataFrame:
 
 def retention_by_tier(model: Model, rules: Rules = Rules()) -> DataFrame:
     return (
-        user_facts(model, rules, "plan_type")
+        user_returns(model, rules, "plan_type")
         .groupBy(tier().alias("tier"))
         .agg(*_rates(rules), F.count_if(_eligible(rules.longest_period)).alias("n"))
         .orderBy("tier")
@@ -55,7 +62,7 @@ def retention_longest_by_plan(model: Model, rules: Rules = Rules()) -> DataFrame
     """Retention over the longest period (30 days by default) per plan."""
     n = rules.longest_period
     return (
-        user_facts(model, rules, "plan_type")
+        user_returns(model, rules, "plan_type")
         .groupBy("plan_type")
         .agg(F.count_if(_eligible(n)).alias("n"), _rate(n).alias(f"d{n}_pct"))
         .orderBy(F.desc_nulls_last(f"d{n}_pct"), "plan_type")
@@ -118,11 +125,15 @@ def cohort_retention_wide(model: Model, months: int = 6) -> DataFrame:
 # ---- long format and insights ---------------------------------------------------
 
 
-def retention_long(model: Model, rules: Rules = Rules()) -> DataFrame:
+def retention_long(
+    model: Model, rules: Rules = Rules(), segment_types: Iterable[str] = SEGMENT_TYPES, periods: Iterable[int] | None = None
+) -> DataFrame:
     """Cohort month x segment x period; cohorts too young for a period give 0 / 0 / NULL.
 
-    Users are counted once per (cohort, channel, tier); the segments are sums of those.
+    Users are counted once per (cohort, channel, tier); the segments are sums of those. Only the segment types and periods
+    that are asked for are computed, and only their columns are read.
     """
+    wanted = {kind: SEGMENT_COLUMNS[kind] for kind in SEGMENT_COLUMNS if kind in set(segment_types)}
     counts = [
         F.struct(
             F.lit(n).alias("period"),
@@ -130,22 +141,20 @@ def retention_long(model: Model, rules: Rules = Rules()) -> DataFrame:
             F.count_if(_retained(n)).alias("retained_users"),
         )
         for n in rules.periods
+        if periods is None or n in set(periods)
     ]
+    source = {"acquisition_channel": "acquisition_channel", "tier": "plan_type"}
     fine = (
-        user_facts(model, rules, "acquisition_channel", "plan_type")
+        user_returns(model, rules, *[source[c] for c in wanted.values()])
         .groupBy(
             month_of("register_date").alias("cohort_month"),
-            "acquisition_channel",
-            tier().alias("tier"),
+            *[tier().alias("tier") if c == "tier" else F.col(c) for c in wanted.values()],
         )
         .agg(F.array(*counts).alias("counts"))
-        .select("cohort_month", "acquisition_channel", "tier", F.inline("counts"))
+        .select("cohort_month", *wanted.values(), F.inline("counts"))
     )
     return long_segments(
-        fine,
-        {"channel": "acquisition_channel", "tier": "tier"},
-        ["cohort_size", "retained_users"],
-        by=["cohort_month", "period"],
+        fine, wanted, ["cohort_size", "retained_users"], by=["cohort_month", "period"], overall="overall" in set(segment_types)
     ).select(
         "cohort_month",
         "segment_type",
@@ -163,7 +172,7 @@ def best_worst_channel(model: Model, rules: Rules = Rules()) -> DataFrame:
     rate = f"d{n}_pct"
     everything = Window.partitionBy()
     per_channel = (
-        user_facts(model, rules, "acquisition_channel", mature_days=n)
+        user_returns(model, rules, "acquisition_channel", mature_days=n)
         .groupBy("acquisition_channel")
         .agg(F.count("*").alias("n"), _rate(n).alias(rate))
         .withColumn("highest", F.max(rate).over(everything))
@@ -192,7 +201,7 @@ def paid_free_gap(model: Model, rules: Rules = Rules()) -> DataFrame:
         for name in ("Paid", "Free")
     }
     return (
-        user_facts(model, rules, "plan_type", mature_days=n)
+        user_returns(model, rules, "plan_type", mature_days=n)
         .withColumn("tier", tier())
         .agg(hundredths["Paid"].alias("paid"), hundredths["Free"].alias("free"))
         .select(

@@ -21,6 +21,8 @@ from tidemark.schema import ANNUAL, MONTHLY, SUCCESS
 
 #: Months that an annual payment covers.
 SPREAD = 12
+#: Days in a word: nine weeks, and the sign bit stays free.
+DAYS = 63
 
 
 def today(model: Model, days_ago: int = 0) -> Column:
@@ -95,6 +97,24 @@ def user_day(model: Model) -> DataFrame:
     return model.activity.groupBy("user_id", "activity_date").agg(F.count("*").alias("sessions"))
 
 
+def day_words(model: Model) -> DataFrame:
+    """(user_id, word, days): bit k of ``days`` is set if the user was active on day DAYS * word + k since 1970.
+
+    Words are made in the scan tasks, so of a user's sessions one row in nine weeks is shuffled.
+    """
+    if model.day_words is not None:
+        return model.day_words
+    day = F.unix_date("activity_date")
+    place = F.pmod(day, F.lit(DAYS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+    return (
+        active_days(model)
+        .where(F.col("activity_date").isNotNull())
+        .groupBy("user_id", F.call_function("div", day - place, F.lit(DAYS)).alias("word"))
+        .agg(F.bit_or(bit).alias("days"))
+    )
+
+
 def user_month(model: Model) -> DataFrame:
     """(user_id, month, day_bits): bit k-1 is set if the user was active on day k."""
     bit = F.call_function("shiftleft", F.lit(1), F.dayofmonth("activity_date") - 1)
@@ -210,6 +230,35 @@ def user_facts(
     return rows.withColumn("tenure", F.datediff(F.date_add(cut, ago), F.col("register_date")))
 
 
+def user_returns(model: Model, rules: Rules, *dims: str, mature_days: int | None = None) -> DataFrame:
+    """:func:`user_facts` without what depends on sessions or on late days: user_id, register_date, dims, first_return_day, tenure.
+
+    Made from words of days: the first day after registration is the lowest bit of a word that is left when earlier days are cleared.
+    """
+    columns = ("user_id", "register_date", *dims, "first_return_day", "tenure")
+    if model.facts is not None and model.facts_rules == rules:
+        return user_facts(model, rules, *dims, mature_days=mature_days).select(*columns)
+    ago = mature_days or 0
+    cut = today(model, ago)
+    users = model.users.select("user_id", "register_date", *dims)
+    if mature_days is not None:
+        users = users.where(F.col("register_date") <= cut)
+    words = day_words(model).withColumnRenamed("user_id", "active_user")
+    since, base, days = F.unix_date("register_date"), F.col("word") * DAYS, F.col("days")
+    early = since + 1 - base  # bits of the word up to the register date
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), early.cast("int")) - 1
+    left = F.when(early <= 0, days).otherwise(days - days.bitwiseAND(mask))
+    first = base + F.bit_count(left.bitwiseXOR(left - 1)) - 1 - since
+    in_reach = (F.col("user_id") == F.col("active_user")) & (base + DAYS > since + 1) & (base <= since + rules.reach)
+    return (
+        users.join(words, in_reach, "left")
+        .groupBy(*users.columns)
+        .agg(F.min(F.when((left > 0) & (first <= rules.reach), first)).cast("int").alias("first_return_day"))
+        .withColumn("tenure", F.datediff(F.date_add(cut, ago), F.col("register_date")))
+        .select(*columns)
+    )
+
+
 #: What :func:`_facts` adds to users.
 FACTS = ("first_return_day", "early_sessions", "first_late_day")
 
@@ -258,6 +307,7 @@ def materialize(model: Model, path: str | None = None, rules: Rules = Rules()) -
 
     model = replace(model, users=kept("users", model.tables()["users"]))
     model = replace(model, user_day=kept("user_day", user_day(model)))
+    model = replace(model, day_words=kept("day_words", day_words(model)))
     last = active_days(model).agg(F.max("activity_date").alias("activity_date"))
     model = replace(
         model,
