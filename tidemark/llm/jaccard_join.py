@@ -34,6 +34,8 @@ LEVELS = 3
 REGION_ROWS = 1_000_000
 #: Shingles are counted in so many groups of hashes; bytes of a hash that name a region.
 GROUPS, NAME_BYTES = 128, 5
+#: Groups in which the sets of pairs that are left are counted once more, before whole sets meet.
+FINE_GROUPS = 4096
 
 
 def _utf8(batch: pa.RecordBatch, column: int) -> list[bytes]:
@@ -71,7 +73,7 @@ def shingle_prefixes(docs: DataFrame, percent: int, common: np.ndarray) -> DataF
                 n = len(found)
                 length = n - ceil(percent * n / 100) + 1 if n else 0
                 cold = length
-                counts = np.minimum(np.bincount((found >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), 255)
+                counts = _counts(found, GROUPS)
                 k1, k2 = mix(found, 1).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(found, 2)) if n else 0
                 if n and len(hot):
                     at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
@@ -79,7 +81,7 @@ def shingle_prefixes(docs: DataFrame, percent: int, common: np.ndarray) -> DataF
                     if is_hot.any():
                         cold = min(length, n - int(is_hot.sum()))
                         found = np.concatenate([found[~is_hot], found[is_hot]])
-                rows.append((doc_id, n, int(np.int64(np.uint64(k1).view(np.int64))), int(np.uint64(k2).view(np.int64)), cold, _names(found[:length]), counts.astype(np.uint8).tobytes()))
+                rows.append((doc_id, n, int(np.int64(np.uint64(k1).view(np.int64))), int(np.uint64(k2).view(np.int64)), cold, _names(found[:length]), counts))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             columns = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
@@ -90,6 +92,11 @@ def shingle_prefixes(docs: DataFrame, percent: int, common: np.ndarray) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _counts(hashes: np.ndarray, groups: int) -> bytes:
+    """Number of hashes in each group, up to 255."""
+    return np.minimum(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % groups, minlength=groups), 255).astype(np.uint8).tobytes()
+
+
 def _names(hashes: np.ndarray) -> bytes:
     return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]).tobytes()
 
@@ -154,8 +161,10 @@ def _may_link(n1: Column, pos1: Column, n2: Column, pos2: Column, percent: int)
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (shared * (100 + percent) >= (n1 + n2) * percent)
 
 
-def _near_by_counts(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that counts by group allow: sets differ in as many shingles, at least, as their counts differ by."""
+def _near_by_counts(pairs: DataFrame, classes: DataFrame, percent: int, groups: int) -> DataFrame:
+    """The pairs (a, b) that counts by group allow: sets differ in as many shingles, at least, as their counts differ by.
+
+    Unlike sets of n shingles differ in fewer counts than shingles once n is many times the groups, so long texts pass few groups."""
     first = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     second = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
 
@@ -164,7 +173,7 @@ def _near_by_counts(pairs: DataFrame, classes: DataFrame, percent: int) -> DataF
             if not batch.num_rows:
                 continue
             ca, cb = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int16) for i in (4, 5)
+                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, groups).astype(np.int16) for i in (4, 5)
             )
             unlike = np.abs(ca - cb).sum(axis=1)
             both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
@@ -177,9 +186,10 @@ def _near_by_counts(pairs: DataFrame, classes: DataFrame, percent: int) -> DataF
 
 def _measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b, both, either) for those pairs (a, b) that can be near: sizes of the intersection and the union of their sets."""
-    pairs = stored(_near_by_counts(pairs, classes, percent))
-    members = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    allowed = stored(_near_by_counts(pairs, classes, percent, GROUPS))
+    members = allowed.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     sets = stored(_sets_of(docs, members))
+    pairs = stored(_near_by_counts(allowed, sets, percent, FINE_GROUPS))
     first = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha"))
     second = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"))
 
@@ -200,7 +210,7 @@ def _measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
 
     rows = pairs.join(second, "b").join(first, "a").select("a", "b", "ha", "hb")
     measured = stored(rows.mapInArrow(run, "a long, b long, both long, either long"))
-    dropped(pairs, sets)
+    dropped(allowed, pairs, sets)
     return measured
 
 
@@ -264,18 +274,22 @@ def similar_components(docs: DataFrame, percent: int = 75, n_partitions: int | N
 
 
 def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(rep, hashes) for the members. A filter of them picks the texts where they lie, so texts are not shuffled."""
+    """(rep, n, counts, hashes) for the members: the sets, their sizes and counts in FINE_GROUPS groups. A filter of them picks the texts where they lie, so texts are not shuffled."""
     seen = hash_filter(members.select(F.xxhash64("rep").alias("h")))
     sent = docs.sparkSession.sparkContext.broadcast(seen)  # bounded, see hash_filter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(in_filter(sent.value, batch.column(2).to_numpy().view(np.uint64))))
-            hashes = pa.array([x.tobytes() for x in shingle_sets(_utf8(batch, 1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), hashes], names=["rep", "hashes"])
+            sets = list(shingle_sets(_utf8(batch, 1)))
+            columns = [
+                batch.column(0), pa.array([len(x) for x in sets], pa.int64()),
+                pa.array([_counts(x, FINE_GROUPS) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "counts", "hashes"])
 
     some = docs.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    return some.mapInArrow(run, "rep long, hashes binary").join(members, "rep", "left_semi")
+    return some.mapInArrow(run, "rep long, n long, counts binary, hashes binary").join(members, "rep", "left_semi")
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
