@@ -22,7 +22,8 @@ from tidemark.llm.shared import stored
 UNKNOWN = "und"
 #: A character without a piece of its own, and the start of a word in SentencePiece vocabularies.
 _STRANGE_P, _START = 1e-7, "▁"
-#: Words are scored in chunks of this many characters, so a long run cannot underflow or fill memory.
+#: Sums of segmentations are carried on, and rescaled, after so many characters, so a long run cannot underflow or fill memory.
+#: In training, words are counted in chunks of this length.
 _CHUNK = 40
 _MEMORY = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -115,9 +116,49 @@ def _forward(pieces: Pieces, words: list[str], p: np.ndarray) -> tuple[np.ndarra
 
 
 def word_scores(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
-    """Log probability of each word (start marker included, at most _CHUNK characters) in each language."""
-    lengths, alpha, _ = _forward(pieces, words, p)
-    return np.log(alpha[np.arange(len(words)), lengths] + 1e-300)
+    """Log probability of each word (start marker included), however long, in each language, over all of its segmentations."""
+    long = np.array([len(w) > _CHUNK for w in words], bool)
+    out = np.empty((len(words), p.shape[1]))
+    short = [w for w, cut in zip(words, long) if not cut]
+    if short:
+        lengths, alpha, _ = _forward(pieces, short, p)
+        out[~long] = np.log(alpha[np.arange(len(short)), lengths] + 1e-300)
+    if long.any():
+        out[long] = _long_scores(pieces, [w for w, cut in zip(words, long) if cut], p)
+    return out
+
+
+def _long_scores(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
+    """Log probabilities of long words, all of them _CHUNK characters at a time. What segmentations reach beyond the chunk, by
+    the length of a piece at most, is carried into the next one."""
+    reach, live = pieces.longest, np.arange(len(words))  # words that are not at their end
+    lengths = np.array([len(w) for w in words])
+    carry, logs = np.zeros((len(words), reach, p.shape[1])), np.zeros((len(words), p.shape[1]))
+    carry[:, 0] = 1
+    out = np.empty((len(words), p.shape[1]))
+    begin = 0
+    while len(live):
+        alpha = np.zeros((len(live), _CHUNK + reach, p.shape[1]))
+        alpha[:, :reach] = carry
+        at = 0
+        for start, length, rows, ids in pieces.found([words[i][begin : begin + _CHUNK + reach - 1] for i in live])[1]:
+            if start >= _CHUNK:
+                break
+            while at < start:
+                alpha[:, at + 1] += alpha[:, at] * _STRANGE_P
+                at += 1
+            alpha[rows, start + length] += alpha[rows, start] * p[ids]
+        while at < _CHUNK:
+            alpha[:, at + 1] += alpha[:, at] * _STRANGE_P
+            at += 1
+        left = lengths[live] - begin
+        ends, goes_on = np.flatnonzero(left <= _CHUNK), left > _CHUNK
+        out[live[ends]] = logs[ends] + np.log(alpha[ends, left[ends]] + 1e-300)
+        carry = alpha[goes_on, _CHUNK:]
+        scale = carry.max(axis=1) + 1e-300
+        carry, logs, live = carry / scale[:, None], logs[goes_on] + np.log(scale), live[goes_on]
+        begin += _CHUNK
+    return out
 
 
 def expected_counts(pieces: Pieces, words: list[str], number: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -166,12 +207,10 @@ class Model:
 
     def _learn(self, words: list[str]) -> None:
         pieces = pieces_of(self.path)
-        chunks = [marked_chunks(w) for w in words]
-        flat = [c for cs in chunks for c in cs]
-        rows = np.concatenate([word_scores(pieces, flat[i : i + 4096], self.p) for i in range(0, len(flat), 4096)])
-        bounds = np.cumsum([0, *map(len, chunks)])[:-1]
+        marked = [_START + w for w in words]
+        rows = [word_scores(pieces, marked[i : i + 4096], self.p) for i in range(0, len(marked), 4096)]
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.scores = np.concatenate([self.scores, np.add.reduceat(rows, bounds)])
+        self.scores = np.concatenate([self.scores, *rows])
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, its posterior probability) of each text; of equally likely languages the first."""
@@ -200,17 +239,17 @@ def train(
 ) -> Model:
     """A model from rows with text and non-null lang.
 
-    per_language bounds the training sample: of a language with more rows, those whose text hashes into the needed share are
-    taken (about per_language of them). rounds: steps of expectation maximisation. Null texts teach nothing.
+    per_language bounds the training sample: of a language with more rows, those whose id and text hash into the needed share are
+    taken (about per_language of them, also where many rows have the same text). rounds: steps of expectation maximisation. Null texts teach nothing.
     """
-    rows = docs.filter("lang is not null and text is not null").select("lang", "text")
+    rows = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     pieces = pieces_of(vocabulary)
     if not languages:
         return Model([], np.zeros((len(pieces.names), 0)), vocabulary)
     share = F.element_at(F.create_map(*(x for l in languages for x in (F.lit(l), F.lit(min(1.0, per_language / counts[l]))))), F.col("lang"))
-    place = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
