@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import neighbours, packing, quality, queries, secret_scan
+from tidemark.llm import language_id, neighbours, packing, quality, queries, secret_scan
 from tidemark.llm.shared import prepared
 
 
@@ -193,3 +193,71 @@ def test_very_long_words_and_texts_are_packed_whole():
     plain = Tokenizer.from_file(queries.WORD_VOCABULARY)
     for text in ("é" * 30_000, "x" * 50_000, "Ab, " * 100_000):
         assert packing.WordTokenizer(queries.WORD_VOCABULARY).ids([text]) == [np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_the_step_follows_the_gradient_of_the_non_negative_risk():
+    random = np.random.default_rng(9)
+    seen = set()
+    for _ in range(60):
+        p, u = random.standard_normal((9, 4)) + 1, random.standard_normal((13, 4))
+        w, prior = 2 * random.standard_normal(5), random.uniform(0.1, 0.95)
+
+        def plain(w):
+            g = [sum(a * b for a, b in zip(row, w)) + w[-1] for row in p]
+            h = [sum(a * b for a, b in zip(row, w)) + w[-1] for row in u]
+            good = prior * np.mean([np.log(1 + np.exp(-x)) for x in g])
+            bad = np.mean([np.log(1 + np.exp(x)) for x in h]) - prior * np.mean([np.log(1 + np.exp(x)) for x in g])
+            return good, bad
+
+        good, bad, gradient = quality.risk_step(w, p, u, prior)
+        assert np.allclose((good, bad), plain(w))
+        follow = (lambda w: sum(plain(w))) if bad >= 0 else (lambda w: -plain(w)[1])
+        steps = np.eye(5) * 1e-6
+        assert np.allclose(gradient, [(follow(w + d) - follow(w - d)) / 2e-6 for d in steps], atol=1e-6)
+        seen.add(bad >= 0)
+    assert seen == {True, False}
+
+
+def test_rows_of_one_id_are_one_training_row(spark):
+    good, bad = "A calm and well written sentence about rivers. ", "BUY!!! $$$ 1234 ||| CLICK @@@ "
+    rows = [(i, good if i % 2 == 0 else bad) for i in range(200)] + [(0, good * (1 + i % 7)) for i in range(3000)] + [(1, bad)] * 3000
+    docs = prepared(spark).createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 40, 2)] + [(0, None), (2, 0), (None, 1)], "doc_id long, quality long")
+    taken = []
+    real = quality.fit
+    quality.fit = lambda p, u, *a, **k: taken.append((len(p), len(u))) or real(p, u, *a, **k)
+    try:
+        model = quality.train(docs, labels)
+    finally:
+        quality.fit = real
+    assert set(taken) == {(20, 180)}
+    scores = {r.doc_id: r.score for r in quality.score(docs.filter("doc_id in (100, 101)"), model).collect()}
+    assert scores[100] > scores[101]
+
+
+def test_long_words_are_scored_over_all_their_segmentations():
+    pieces = language_id.pieces_of(queries.PIECE_VOCABULARY)
+    random = np.random.default_rng(10)
+    p = random.dirichlet(np.full(len(pieces.names), 0.3), 3).T
+    known = {name: i for i, name in enumerate(pieces.names)}
+    words = ["▁" + "".join(random.choice(list("abcdeinrstß漢"), n)) for n in (3, 39, 40, 41, 80, 81, 200, 79)]
+    got = language_id.word_scores(pieces, words, p)
+    for word, row in zip(words, got):
+        for k in range(3):
+            alpha = [0.0] + [float("-inf")] * len(word)  # logs, so nothing underflows
+            for end in range(1, len(word) + 1):
+                ways = [alpha[end - 1] + np.log(language_id._STRANGE_P)]
+                for start in range(max(0, end - pieces.longest), end):
+                    i = known.get(word[start:end])
+                    if i is not None and p[i, k] > 0:
+                        ways.append(alpha[start] + np.log(p[i, k]))
+                alpha[end] = float(np.logaddexp.reduce(ways))
+            assert row[k] == pytest.approx(alpha[-1], rel=1e-9)
+
+
+def test_copies_of_one_text_do_not_decide_whether_a_language_is_learned(spark):
+    rows = [(i, "en", "the river runs along the old town") for i in range(300)] + [(1000 + i, "de", f"der fluss {i} geht durch die alte stadt") for i in range(300)]
+    docs = prepared(spark).createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language_id.train(docs, queries.PIECE_VOCABULARY, rounds=2, per_language=30)
+    found = {r.doc_id: r.lang_pred for r in language_id.identify(docs.filter("doc_id in (0, 1000)"), model).collect()}
+    assert found == {0: "en", 1000: "de"}

@@ -84,6 +84,20 @@ def prior_from_scores(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(min(u / p for u, p in tails if p > 0), 0.01, 0.99))
 
 
+def risk_step(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """Risks of weights w (the last is the bias) on positives p and unlabelled u: prior * E_p[log(1 + exp(-g))], and that on bad
+    text, E_u[log(1 + exp(g))] - prior * E_p[log(1 + exp(g))]; and the gradient to follow: of their sum, or, where the second is
+    negative, of that risk with the opposite sign."""
+    gp, gu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+    good_risk = prior * np.logaddexp(0, -gp).mean()
+    bad_risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    sign = 1.0 if bad_risk >= 0 else -1.0
+    dp, du = -sign * prior * _sigmoid(gp) / len(p), sign * _sigmoid(gu) / len(u)
+    if sign > 0:
+        dp = dp - prior * (1 - _sigmoid(gp)) / len(p)
+    return good_risk, bad_risk, np.append(dp @ p + du @ u, dp.sum() + du.sum())
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, rate: float = 0.02, decay: float = 1e-4) -> Model:
     """Adam steps on batches of both kinds of rows. The same rows in the same order give the same model."""
     every = np.concatenate([positive, unlabelled])
@@ -99,16 +113,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
             p, u = xp[p_rows], xu[u_rows]
             if not len(p) or not len(u):
                 continue
-            gp, gu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-            # derivatives of log(1 + exp(-g)) and log(1 + exp(g)), as means over the rows
-            good = -(1 - _sigmoid(gp)) / len(p)
-            bad_p, bad_u = _sigmoid(gp) / len(p), _sigmoid(gu) / len(u)
-            bad_risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            sign = 1.0 if bad_risk >= 0 else -1.0
-            dp, du = -sign * prior * bad_p, sign * bad_u
-            if sign > 0:
-                dp = dp + prior * good
-            grad = np.append(dp @ p + du @ u, dp.sum() + du.sum())
+            _, _, grad = risk_step(w, p, u, prior)
             grad[:-1] += decay * w[:-1]
             t += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -121,7 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, prior: float
     """A model from documents and labels (doc_id, quality).
 
     sample bounds the training rows: half of it the positives, documents labelled 1, and half of it unlabelled text, documents
-    without a label. Of more on one side, those whose id hashes into this side's share are taken. Without a given prior it is
+    without a label. Of more on one side, those whose id hashes into this side's share are taken; of several rows of one id only
+    one is, that with the least features, so that the bound is one of rows. Without a given prior it is
     the share of 1 among all labelled documents if there are labels of both kinds; else it comes from the scores of a first
     model (prior 0.5). Of several labels of one document the largest counts. Without positives or unlabelled text every score
     is the prior (0.5); if there are some but none was sampled, a ValueError says so.
@@ -141,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, prior: float
             flat = [features(t.as_py() or "").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, pa.binary())], names=["doc_id", "features"])
 
-    found = rows.mapInArrow(run, "doc_id long, features binary").join(chosen, "doc_id").toArrow()
+    one = rows.mapInArrow(run, "doc_id long, features binary").groupBy("doc_id").agg(F.min("features").alias("features"))
+    found = one.join(chosen, "doc_id").toArrow()
     found = found.sort_by([("doc_id", "ascending"), ("features", "ascending")])
     width = len(NAMED) + PAIRS
     x = np.frombuffer(b"".join(found["features"].to_pylist()), np.float32).reshape(len(found), width).astype(np.float64)
