@@ -8,9 +8,20 @@ user) rather than the way the Spark code computes the same numbers.
 
 from __future__ import annotations
 
-from tidemark.functions.cohorts import slug
 from tidemark.model import Rules
-from tidemark.operators.views import VIEWS
+
+#: View, the metric it shows, the dashboards it feeds, and its use there.
+DASHBOARDS = (
+    ("v_mrr_trend", "mrr_arr", "D1 / D4", "MRR and ARR over time"),
+    ("v_funnel_summary", "funnel_stages", "D1 / D2", "five-stage funnel"),
+    ("v_revenue_by_channel", "revenue_by_channel", "D1 / D4", "revenue share per channel"),
+    ("v_revenue_by_plan", "revenue_by_plan", "D1 / D4", "revenue share per plan"),
+    ("v_activation_analysis", "activation_analysis", "D2", "activation per channel and plan"),
+    ("v_paid_conversion", "paid_conversion_analysis", "D2 / D4", "paid share per channel, device and company size"),
+    ("cohort_retention_tableau", "cohort_retention", "D3", "cohort heat map"),
+    ("retention_tableau", "retention_long", "D3", "retention curves per channel and tier"),
+    ("v_renewal_analysis", "renewal_analysis", "D4", "renewal and mean number of payments"),
+)
 
 # ---- building blocks ------------------------------------------------------------
 
@@ -191,7 +202,7 @@ def _growth(q, rules: Rules) -> dict[str, str]:
                 f"FROM activity {recent} GROUP BY 1")
 
     def wide(dim, values):
-        cells = ", ".join(f"{_hits(f'{dim} = {chr(39)}{v}{chr(39)}')} AS {slug(v)}" for v in values)
+        cells = ", ".join(f"{_hits(f'{dim} = {chr(39)}{v}{chr(39)}')} AS {'_'.join(v.split()).lower()}" for v in values)
         return q(f"SELECT {month('register_date')} AS month, {cells}, count(*) AS total "
                  "FROM users GROUP BY 1")
 
@@ -531,25 +542,14 @@ def _views(q, known: dict[str, str], rules: Rules) -> dict[str, str]:
     def sub(name: str) -> str:
         return f"({known[name]})"
 
-    source = {
-        "v_mrr_trend": "mrr_arr",
-        "v_funnel_summary": "funnel_stages",
-        "v_revenue_by_channel": "revenue_by_channel",
-        "v_revenue_by_plan": "revenue_by_plan",
-        "v_activation_analysis": "activation_analysis",
-        "v_paid_conversion": "paid_conversion_analysis",
-        "cohort_retention_tableau": "cohort_retention",
-        "retention_tableau": "retention_long",
-        "v_renewal_analysis": "renewal_analysis",
-    }
     counts = "\nUNION ALL ".join(
-        f"SELECT '{view}' AS view_name, count(*) AS row_count FROM {sub(source[view])}"
-        for view in VIEWS
+        f"SELECT '{view}' AS view_name, count(*) AS row_count FROM {sub(metric)}"
+        for view, metric, _, _ in DASHBOARDS
     )
     manifest = "\nUNION ALL ".join(
-        f"""SELECT '{name}' AS view_name, '{view.dashboard}' AS dashboard, count(*) AS rows,
-  '{view.primary_use}' AS primary_use FROM {sub(source[name])}"""
-        for name, view in VIEWS.items()
+        f"""SELECT '{view}' AS view_name, '{dashboard}' AS dashboard, count(*) AS rows,
+  '{use}' AS primary_use FROM {sub(metric)}"""
+        for view, metric, dashboard, use in DASHBOARDS
     )
     sizes = ("1-10", "11-50", "51-200", "201-1000", "1000+")
     order = " ".join(f"WHEN '{size}' THEN {i + 1}" for i, size in enumerate(sizes))
