@@ -31,7 +31,9 @@ from tidemark.llm.shingles import mix, shingle_sets
 #: Pivots that a region takes one after the other before the rest is compared through their windows.
 LEVELS = 3
 #: Rows that one task looks through for regions.
-REGION_ROWS = 1_000_000
+REGION_ROWS = 250_000
+#: Rows that a worker spreads out at a time: prefixes and counts take many times their stored bytes then.
+AT_ONCE = 512
 #: Shingles are counted in so many groups of hashes; bytes of a hash that name a region.
 GROUPS, NAME_BYTES = 128, 5
 #: Groups in which the sets of pairs that are left are counted once more, before whole sets meet.
@@ -42,6 +44,13 @@ def _utf8(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
+    pa.default_memory_pool().release_unused()
+
+
 def common_shingles(docs: DataFrame, one_in: int = 16, least: int = 8, most: int = 200_000) -> np.ndarray:
     """Hashes of shingles that are common, rising: those in `least` or more of one in `one_in` documents, the `most` commonest.
 
@@ -110,7 +119,7 @@ def _region_rows(classes: DataFrame, cold: bool) -> DataFrame:
     """(s, rep, n, pos): a class in each region of its window, of common (not cold) or other pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             n_cold = batch.column(2).to_numpy()
             flat = [_from_names(p) for p in batch.column(3).to_pylist()]
             flat = [f[:c] if cold else f[c:] for f, c in zip(flat, n_cold)]
@@ -169,9 +178,7 @@ def _near_by_counts(pairs: DataFrame, classes: DataFrame, percent: int, groups:
     second = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _small(batches):
             ca, cb = (
                 np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, groups).astype(np.int16) for i in (4, 5)
             )
