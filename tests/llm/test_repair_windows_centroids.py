@@ -4,11 +4,13 @@ import hashlib
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +176,20 @@ def test_windows_of_no_or_different_texts(spark):
     assert {r.n_removed for r in got} == {0} and Counter(map(tuple, got)) == plain_windows(rows, 35)
 
 
+def test_words_of_runs_of_many_sizes_take_little_memory():
+    texts = [prose(i, 150).encode() for i in range(3000)]
+    tracemalloc.start()
+    for some in (3000, 1500, 700, 300, 100):
+        batch = pa.RecordBatch.from_pydict({"key": texts[:some], "text": texts[:some], "known": [None] * some})
+        for _, run, known in word_windows._together(batch):
+            words_ = word_windows.Words(run)
+            word_windows.Level(35).places(words_, known, 18)
+            del words_
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 2_000_000 and most < 48 << 20
+
+
 def test_level_lengths_double():
     assert word_windows.level_lengths(35) == [18, 35] and word_windows.level_lengths(100, 10) == [13, 25, 50, 100]
     assert word_windows.level_lengths(5) == [5] and word_windows.level_lengths(1) == [1]

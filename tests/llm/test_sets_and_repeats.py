@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
 from tests.llm.data import messy_docs, no_docs, prose, rows_of, SCHEMA, shingle_set
-from tidemark.llm import fingerprints, jaccard_join, repeats
+from tidemark.llm import fingerprints, jaccard_join, repeats, shared, shingles
 from tidemark.llm.components import connected_components
 from tidemark.llm.suffix_sort import neighbour_prefixes, window_order
 
@@ -58,6 +59,20 @@ def test_components_with_common_shingles_last(spark, monkeypatch):
     assert {tuple(r) for r in got} == plain_components(rows)
 
 
+def test_shingles_of_many_texts_take_little_memory(spark):
+    texts = [prose(i, 150).encode() for i in range(3000)]
+    tracemalloc.start()
+    for _ in shingles.shingle_sets(texts):
+        pass
+    for _ in shingles.shingle_sets([b" ".join(texts[:900])]):
+        pass
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 96 << 20 and held < 12 << 20
+    shared.prepared(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
 def test_components_of_messy_rows(spark):
     docs, rows = messy_docs(spark)
     got = jaccard_join.similar_components(docs)

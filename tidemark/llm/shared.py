@@ -48,7 +48,7 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 #: Bytes of rows that a Python worker gets at a time.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: Lets Spark delete the shuffle files of a query when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 
 SHINGLE = 5
-#: Texts are hashed together until they have so many bytes.
-TOGETHER = 1 << 20
+#: Texts are hashed together until they have so many bytes. Numbers of 64 bits beside each take many times that memory.
+TOGETHER = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -19,7 +19,7 @@ _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 _PLACE = _random.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHORT = _random.integers(1, 1 << 63, SHINGLE, dtype=np.uint64)
 _B = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_kept: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -31,13 +31,17 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_B, pow(_B, -1, 1 << 64))):
-            row = np.full(max(n, TOGETHER + (1 << 18)), np.uint64(base))
+    """Powers of an odd number and of its inverse modulo 2**64. Only tables for usual runs are kept, not those of a very long text."""
+    if not _kept or len(_kept[0]) < n:
+        tables = []
+        for base in (_B, pow(_B, -1, 1 << 64)):
+            row = np.full(max(n, 2 * TOGETHER), np.uint64(base))
             row[0] = 1
-            _powers[k] = np.multiply.accumulate(row)
-    return _powers
+            tables.append(np.multiply.accumulate(row))
+        if n > 2 * TOGETHER:
+            return tables
+        _kept[:] = tables
+    return _kept
 
 
 def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
