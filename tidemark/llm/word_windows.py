@@ -31,8 +31,8 @@ from tidemark.llm.shingles import mix
 
 #: Windows of fewer words are no level of their own: too many are repeated by chance.
 LEAST_WORDS = 16
-#: Texts are hashed together until they have so many bytes.
-TOGETHER = 1 << 20
+#: Texts are hashed together until they have so many bytes. Numbers of 64 bits beside each take many times that memory.
+TOGETHER = 1 << 18
 #: Repeated guards go to a broadcast bit map up to so many, and to a join beyond.
 MOST_IN_FILTER = 1 << 24
 
@@ -51,17 +51,20 @@ def level_lengths(length: int, least: int = LEAST_WORDS) -> list[int]:
     return out
 
 
-@lru_cache(maxsize=16)
 def _table(base: int, size: int) -> np.ndarray:
     out = np.full(size, np.uint64(base))
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+_kept_table = lru_cache(maxsize=4)(_table)
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number and of its inverse modulo 2**64."""
-    size = 1 << max(4, n).bit_length()
-    return _table(base, size)[:n], _table(pow(base, -1, 1 << 64), size)[:n]
+    """The first n powers of an odd number and of its inverse modulo 2**64. Only one table of each is kept, none of a very long text."""
+    usual = 2 * TOGETHER
+    table, size = (_kept_table, usual) if n <= usual else (_table, n)
+    return table(base, size)[:n], table(pow(base, -1, 1 << 64), size)[:n]
 
 
 class Words:
