@@ -133,6 +133,18 @@ def test_window_order(letters, depth):
     assert list(prefixes[1:]) == [same(a, b) for a, b in zip(windows, windows[1:])]
 
 
+def test_only_shared_windows_are_sorted_by_place(monkeypatch):
+    data = [prose(i, 60).encode() for i in range(40)]
+    data += [data[3][20:180], data[5][:140] + data[7][:130]]
+    keys, lows = np.arange(len(data)), np.zeros(len(data), np.int64)
+    lengths, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda by: lengths.append(len(by[0])) or lexsort(by))
+    got = [tuple(map(int, r)) for r in zip(*repeats._later_windows(keys, lows, data, [None] * len(data)))]
+    assert got == [(40, 0, 160), (41, 0, 140), (41, 140, 270)]
+    assert max(lengths) == 2 * (61 + 41 + 31)
+    assert not len(repeats._later_windows(keys[:9], lows[:9], data[:9], [None] * 9)[0])
+
+
 def test_fingerprints(spark):
     docs, rows = messy_docs(spark)
     got = fingerprints.fingerprint_documents(docs).toPandas()

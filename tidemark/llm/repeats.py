@@ -29,7 +29,7 @@ from tidemark.llm.suffix_sort import neighbour_prefixes, window_order
 
 WINDOW, GRAM = 100, 32
 #: Bytes of documents hashed together, bytes of segments sorted together, and segments that one bucket may hold.
-TOGETHER, SORTED, BUCKET = 1 << 20, 2 << 20, 20_000
+TOGETHER, SORTED, BUCKET = 1 << 18, 2 << 20, 20_000
 NO_ID = (1 << 63) - 1
 
 _random = np.random.default_rng(7)
@@ -236,17 +236,21 @@ def _later_windows(keys: np.ndarray, lows: np.ndarray, data: list[bytes], mine:
     counts = lengths - WINDOW + 1
     segment = np.repeat(np.arange(len(data)), counts)
     inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    own = np.concatenate([np.frombuffer(m, np.uint8) if m else np.ones(n, np.uint8) for m, n in zip(mine, counts)]) == 1
-    segment, inside = segment[own], inside[own]
+    if any(mine):
+        own = np.concatenate([np.frombuffer(m, np.uint8) if m else np.ones(n, np.uint8) for m, n in zip(mine, counts)]) == 1
+        segment, inside = segment[own], inside[own]
     starts = bounds[segment] + inside
     order = window_order(text, starts, WINDOW)
     same = neighbour_prefixes(text, order, WINDOW) == WINDOW
-    group = np.cumsum(~same)
-    back = np.searchsorted(starts, order)
+    shared = same | np.append(same[1:], False)  # by another window; no other can have an earlier place
+    group = np.cumsum(~same)[shared]
+    number = np.zeros(len(text), np.int64)
+    number[starts] = np.arange(len(starts))
+    back = number[order[shared]]
     key, at = keys[segment[back]], lows[segment[back]] + inside[back]
     by_place = np.lexsort((at, key, group))
     g, k, a = group[by_place], key[by_place], at[by_place]
-    new = np.append(True, g[1:] != g[:-1])
+    new = np.append(True, g[1:] != g[:-1])[: len(g)]
     head = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
     later = (k != k[head]) | (a != a[head])
     k, a = k[later], a[later]

@@ -29,9 +29,8 @@ def window_order(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray
     base = smaller | (text == 0)  # where chains of larger suffixes end
     at = np.where(base, np.arange(len(text)), len(text) - 1)
     end = np.minimum.accumulate(at[::-1])[::-1]
-    change = np.zeros(len(text) + 1, np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, end[starts] + 1, -1)
+    change = -np.bincount(end[starts] + 1, minlength=len(text) + 1)
+    change[starts] += 1  # starts are different places
     needed = np.cumsum(change[:-1]) > 0
 
     direct = np.flatnonzero(needed & smaller)
