@@ -7,6 +7,7 @@ import io
 import lzma
 import tarfile
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -261,3 +262,18 @@ def test_copies_of_one_text_do_not_decide_whether_a_language_is_learned(spark):
     model = language_id.train(docs, queries.PIECE_VOCABULARY, rounds=2, per_language=30)
     found = {r.doc_id: r.lang_pred for r in language_id.identify(docs.filter("doc_id in (0, 1000)"), model).collect()}
     assert found == {0: "en", 1000: "de"}
+
+
+def test_training_rows_are_held_once_on_the_driver(spark):
+    n = 6000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', id, id % 7, id % 11) AS text")
+    labels = spark.range(0, n, 2).selectExpr("id AS doc_id", "cast(id % 4 = 0 AS int) AS quality")
+    quality.train(docs.limit(50), labels.limit(50))  # imports
+    rows = n * 3 // 4 * (len(quality.NAMED) + quality.PAIRS) * 4
+    tracemalloc.start()
+    try:
+        quality.train(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 5 * rows  # once as read, once standardised, and parts in double precision

@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,11 +99,30 @@ def risk_step(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tupl
     return good_risk, bad_risk, np.append(dp @ p + du @ u, dp.sum() + du.sum())
 
 
+def _parts(x: np.ndarray, rows: int = 1024) -> Iterator[np.ndarray]:
+    """x in parts of double precision: the driver never holds it whole in that width."""
+    return (x[i : i + rows].astype(np.float64) for i in range(0, len(x), rows))
+
+
+def _moments(sides: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of each column over all rows of both sides."""
+    n = sum(map(len, sides))
+    mean = sum(part.sum(axis=0) for x in sides for part in _parts(x)) / n
+    return mean, np.sqrt(sum(((part - mean) ** 2).sum(axis=0) for x in sides for part in _parts(x)) / n)
+
+
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    out = np.empty(x.shape, np.float32)
+    for i, part in enumerate(_parts(x)):
+        out[i * 1024 : i * 1024 + len(part)] = (part - mean) / scale
+    return out
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, rate: float = 0.02, decay: float = 1e-4) -> Model:
     """Adam steps on batches of both kinds of rows. The same rows in the same order give the same model."""
-    every = np.concatenate([positive, unlabelled])
-    mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-3
-    xp, xu = ((x - mean) / scale for x in (positive, unlabelled))
+    mean, scale = _moments([positive, unlabelled])
+    scale += 1e-3
+    xp, xu = (_standard(x, mean, scale) for x in (positive, unlabelled))
     random = np.random.default_rng(7)
     w = np.zeros(xp.shape[1] + 1)
     m, v, t = np.zeros_like(w), np.zeros_like(w), 0
@@ -110,7 +130,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     for epoch in range(epochs):
         parts = zip(np.array_split(random.permutation(len(xp)), batches), np.array_split(random.permutation(len(xu)), batches))
         for p_rows, u_rows in parts:
-            p, u = xp[p_rows], xu[u_rows]
+            p, u = xp[p_rows].astype(np.float64), xu[u_rows].astype(np.float64)
             if not len(p) or not len(u):
                 continue
             _, _, grad = risk_step(w, p, u, prior)
@@ -149,11 +169,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, prior: float
 
     one = rows.mapInArrow(run, "doc_id long, features binary").groupBy("doc_id").agg(F.min("features").alias("features"))
     found = one.join(chosen, "doc_id").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("features", "ascending")])
+    order = pc.sort_indices(found, [("doc_id", "ascending"), ("features", "ascending")]).to_numpy()
     width = len(NAMED) + PAIRS
-    x = np.frombuffer(b"".join(found["features"].to_pylist()), np.float32).reshape(len(found), width).astype(np.float64)
-    quality = found["quality"].cast(pa.float64()).to_pandas().to_numpy()
-    positive, unlabelled = x[quality == 1], x[np.isnan(quality)]
+    quality = found["quality"].cast(pa.float64()).to_pandas().to_numpy()[order]
+
+    def side(places: np.ndarray) -> np.ndarray:
+        x = np.empty((len(places), width), np.float32)
+        for row, i in zip(x, places.tolist()):
+            row[:] = np.frombuffer(found["features"][i].as_buffer(), np.float32)
+        return x
+
+    positive, unlabelled = side(order[quality == 1]), side(order[np.isnan(quality)])
+    del found  # the driver's memory is scarce
+    pa.default_memory_pool().release_unused()
     if n_good and not len(positive) or n_open and not len(unlabelled):
         raise ValueError(f"none sampled of {n_good} documents labelled 1 or of {n_open} without a label")
     if not n_good or not n_open:
@@ -163,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, prior: float
         prior = float(np.clip(n_good / n_labelled, 0.01, 0.99))
     elif prior is None:
         first = fit(positive, unlabelled, 0.5, epochs=20)
-        prior = prior_from_scores(first.scores(positive), first.scores(unlabelled))
+        prior = prior_from_scores(*(np.concatenate([first.scores(part) for part in _parts(x)]) for x in (positive, unlabelled)))
     return fit(positive, unlabelled, prior)
 
 
