@@ -1,17 +1,18 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a neighbour graph, queries walk it greedily.
 
 Equal vectors are one node. The graph starts from nodes that lie close in a few random orders (sorted by the signs of random
-projections, all pairs of a few hundred consecutive ones). Each round then joins every node's neighbours, in both directions,
-with each other: neighbours of neighbours that beat a node's worst neighbour take its place. Rounds go on until they change
-little. A sample of the queries is also compared with all vectors, and the walk is widened until it finds RECALL of what they
-should find; once it is as wide as the table it is the exact search. Vectors travel as 8-bit codes; what the search finds is
-ranked by exact products of the vectors themselves.
+projections, all pairs of some thousand consecutive ones). Each round then joins every node's neighbours with each other, and with
+DEGREE of those nodes that have it as a neighbour, drawn anew in each round: neighbours of neighbours that beat a node's worst
+neighbour take its place. Rounds go on until they change little. A walk has one row per query, and goes to rows that hold a node's
+neighbours with their codes, so only better nodes come back. A sample of the queries is also compared with all vectors, and the
+walk is widened until it finds RECALL of what they should find; once it is as wide as the table it is the exact search. Vectors
+travel as 8-bit codes; what the search finds is ranked by exact products of the vectors themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 from math import ceil, log2
 
 import numpy as np
@@ -19,17 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import dropped, stored
 
-ORDERS, CHUNK = 4, 512
+ORDERS, CHUNK = 8, 2048
 #: Neighbours of a node in the graph, and the share of new ones at which the rounds end.
 DEGREE, FEW_NEW = 32, 0.01
-#: A hub's members are dealt, anew in each round, to so many tasks that each has about HUB; these are all joined with each other.
-HUB = 1024
 #: Offers that a task holds to merge them, before it hands them on.
 MERGED = 2_000_000
 #: Candidates that a query keeps at first, and nodes that it visits in a step then.
-KEPT, VISITED = 100, 8
+KEPT, VISITED = 100, 32
 #: Queries whose true neighbours are looked up, and the share of these that the walk has to find.
 MEASURED, RECALL = 200, 0.95
 
@@ -56,9 +55,16 @@ def _codes(rows: DataFrame) -> DataFrame:
     return rows.select("v", "x").mapInArrow(run, "v long, code binary")
 
 
-def _matrix(codes: pa.Array | list[bytes]) -> np.ndarray:
-    flat = np.frombuffer(b"".join(codes.to_pylist() if isinstance(codes, pa.Array) else codes), np.uint8)
-    rows = flat.reshape(len(codes), -1)
+def _flat(codes: pa.Array) -> np.ndarray:
+    """The bytes of codes, a row each."""
+    offsets = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1]
+    return np.frombuffer(codes.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(codes), -1)
+
+
+def _matrix(codes: pa.Array | np.ndarray | list[bytes]) -> np.ndarray:
+    if isinstance(codes, list):
+        codes = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    rows = _flat(codes) if isinstance(codes, pa.Array) else codes
     scale = np.ascontiguousarray(rows[:, :4]).view(np.float32)
     return rows[:, 4:].view(np.int8).astype(np.float32) * scale
 
@@ -67,10 +73,10 @@ def _edges(v, u, s) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(u, pa.int64()), pa.array(s, pa.float32())], names=["v", "u", "s"])
 
 
-def _best(edges: DataFrame, degree: int) -> DataFrame:
-    """The best `degree` different edges of each node."""
+def _best(edges: DataFrame, degree: int, partitions: int) -> DataFrame:
+    """The best `degree` different edges (v, u, s, fresh) of each node; an edge that is there as an old one is not fresh."""
     line = Window.partitionBy("v").orderBy(F.desc("s"), "u")
-    edges = edges.groupBy("v", "u").agg(F.max("s").alias("s"))
+    edges = edges.repartition(partitions, "v").groupBy("v", "u").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
     return edges.withColumn("place", F.row_number().over(line)).filter(F.col("place") <= degree).drop("place")
 
 
@@ -121,7 +127,7 @@ def _first_edges(nodes: DataFrame, n: int, partitions: int) -> DataFrame:
         dealt = leaves.repartitionByRange(max(1, min(partitions, n // CHUNK)), "leaf", "v").sortWithinPartitions("leaf", "v").select("v", "code")
         edges = dealt.mapInArrow(run_of(seed), "v long, u long, s float")
         out = edges if out is None else out.unionByName(edges)
-    return _best(out, DEGREE)
+    return _best(out.withColumn("fresh", F.lit(True)), DEGREE, partitions)
 
 
 def _merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -141,72 +147,75 @@ def _merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 
 def _joined_neighbours(graph: DataFrame, nodes: DataFrame, partitions: int, turn: int = 0) -> DataFrame:
-    """Offers (v, u, s) among the neighbours of each node that beat v's worst edge. turn decides how a hub's members are dealt."""
+    """Offers (v, u, s) among the neighbours of each node that beat v's worst edge.
+
+    With a node's neighbours go DEGREE of the nodes that have it as a neighbour, fresh ones first, others drawn by turn.
+    """
     worst = graph.groupBy("v").agg(F.min("s").alias("worst"), F.count("*").alias("n"))
     worst = worst.select("v", F.when(F.col("n") < DEGREE, F.lit(float("-inf"))).otherwise(F.col("worst")).alias("worst"))
     members = nodes.join(worst, "v", "left").select(
-        F.col("v").alias("member"), "code", F.coalesce("worst", F.lit(float("-inf"))).alias("worst")
+        F.col("v").alias("member"), "code", F.coalesce("worst", F.lit(float("-inf"))).cast("float").alias("worst")
     )
+    drawn = Window.partitionBy("u").orderBy(F.desc("fresh"), F.xxhash64("v", F.lit(turn)), "v")
+    back = graph.withColumn("place", F.row_number().over(drawn)).filter(F.col("place") <= DEGREE + 1)
+    back = back.withColumn("more", F.max("place").over(Window.partitionBy("u")) > DEGREE).filter(F.col("place") <= DEGREE)
+    # where nodes are drawn, two old ones need not have met
     both = graph.select(F.col("v").alias("centre"), F.col("u").alias("member"), "fresh").unionByName(
-        graph.select(F.col("u").alias("centre"), F.col("v").alias("member"), "fresh")
-    ).groupBy("centre", "member").agg(F.max("fresh").alias("fresh"))
-    sizes = both.groupBy("centre").agg(F.count("*").alias("n")).filter(F.col("n") > HUB // 2)
-    sizes = sizes.select("centre", F.ceil(F.col("n") / HUB).alias("parts"))
-    # of a centre that is, or may have been, dealt to parts two old neighbours need not have met
-    both = both.join(sizes, "centre", "left").select(
-        "centre", "member", (F.col("fresh") | F.col("parts").isNotNull()).alias("fresh"),
-        F.pmod(F.xxhash64("member", F.lit(turn)), F.coalesce("parts", F.lit(1))).alias("part"),
+        back.select(F.col("u").alias("centre"), F.col("v").alias("member"), (F.col("fresh") | F.col("more")).alias("fresh"))
     )
-    rows = both.join(members, "member").select("centre", "part", "member", "fresh", "worst", "code")
+    rows = both.join(members.hint("shuffle_hash"), "member").select("centre", "member", "fresh", "worst", "code")
+
+    def offers(member, fresh, worst, codes):
+        line = np.lexsort((~fresh, member))
+        line = line[np.append(True, member[line][1:] != member[line][:-1])]
+        member, fresh, worst, x = member[line], fresh[line], worst[line], _matrix(codes[line])
+        s = x @ x.T
+        if not fresh.all():
+            s[~(fresh[:, None] | fresh[None, :])] = -np.inf  # two old neighbours met before
+        np.fill_diagonal(s, -np.inf)
+        row, col = np.nonzero(s > worst[:, None])
+        return member[row], member[col], s[row, col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-
-        def offers():
-            member = np.array([h[0] for h in held])
-            fresh = np.array([h[1] for h in held])
-            worst = np.array([h[2] for h in held], np.float32)
-            x = _matrix([h[3] for h in held])
-            s = x @ x.T
-            s[~(fresh[:, None] | fresh[None, :])] = -np.inf  # two old neighbours met before
-            np.fill_diagonal(s, -np.inf)
-            k = min(DEGREE, len(member) - 1)
-            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            score = np.take_along_axis(s, best, 1)
-            row, col = np.nonzero((score > worst[:, None]) & np.isfinite(score))
-            return member[row], member[best[row, col]], score[row, col]
-
-        found, size, merged = [], 0, 0
-        for batch in batches:
-            for centre, part, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if (centre, part) != group:
-                    if len(held) > 1 and any(h[1] for h in held):
-                        found.append(offers())
-                        size += len(found[-1][0])
-                    group, held = (centre, part), []
-                held.append(row)
+        held, found, size, merged = None, [], 0, 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)] + [_flat(batch.column(4))]
+                held = new if held is None else [np.concatenate(pair) for pair in zip(held, new)]
+            elif held is None:
+                return
+            ends = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
+            if batch is None:
+                ends = np.append(ends, len(held[0]))
+            start = 0
+            for end in ends:
+                if end - start > 1 and held[2][start:end].any():
+                    found.append(offers(*(column[start:end] for column in held[1:])))
+                    size += len(found[-1][0])
+                start = end
                 if size > merged + MERGED // 2:
                     found = [_merged(found)]
                     size = merged = len(found[0][0])
                     if size > MERGED:
                         yield _edges(*found[0])
                         found, size, merged = [], 0, 0
-        if len(held) > 1 and any(h[1] for h in held):
-            found.append(offers())
+            held = [column[start:].copy() for column in held]
         if found:
             yield _edges(*_merged(found))
 
-    dealt = rows.repartition(partitions, "centre", "part").sortWithinPartitions("centre", "part")
+    dealt = rows.repartition(partitions, "centre").sortWithinPartitions("centre")
     return dealt.mapInArrow(run, "v long, u long, s float")
 
 
 def neighbour_graph(nodes: DataFrame, n: int, partitions: int) -> DataFrame:
     """(v, u, s): about the DEGREE nearest nodes of each of the n nodes (v, code)."""
-    graph = stored(_first_edges(nodes, n, partitions).withColumn("fresh", F.lit(True)))
+    graph = stored(_first_edges(nodes, n, partitions))
     for turn in count():
-        old = graph.select("v", "u", F.lit(True).alias("old"))
-        now = graph.select("v", "u", "s").unionByName(_joined_neighbours(graph, nodes, partitions, turn))
-        graph = stored(_best(now, DEGREE).join(old, ["v", "u"], "left").select("v", "u", "s", F.col("old").isNull().alias("fresh")))
+        new = _joined_neighbours(graph, nodes, partitions, turn).withColumn("fresh", F.lit(True))
+        old, graph = graph, stored(_best(graph.withColumn("fresh", F.lit(False)).unionByName(new), DEGREE, partitions))
+        dropped(old)
         if graph.filter("fresh").count() <= FEW_NEW * n * DEGREE:  # edges only get better, so this comes
             return graph.select("v", "u", "s")
 
@@ -225,29 +234,64 @@ def _scored(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, starts: DataFrame, graph: DataFrame, nodes: DataFrame, kept: int = KEPT) -> DataFrame:
-    """(q, v, s): the `kept` best nodes that a greedy walk from the starts (q, v) finds for each query (q, code).
+    """(q, v, s): the `kept` best nodes that a greedy walk from the starts (q, v, s) finds for each query (q, code).
 
     Each step visits the best nodes of a query that it has not visited, and looks at their neighbours; a query is done when its
     `kept` best are all visited. Ways back along edges, and nodes visited in a step, become more with `kept`.
     """
     back = Window.partitionBy("u").orderBy(F.desc("s"), "v")
     reverse = graph.withColumn("place", F.row_number().over(back)).filter(F.col("place") <= DEGREE * max(1, kept // KEPT))
-    ways = stored(
-        graph.select("v", F.col("u").alias("to")).unionByName(reverse.select(F.col("u").alias("v"), F.col("v").alias("to"))).distinct()
-    )
-    best = Window.partitionBy("q").orderBy(F.desc("s"), "v")
-    ahead = Window.partitionBy("q", "done").orderBy(F.desc("s"), "v")
-    pool = stored(_scored(starts, queries, nodes).withColumn("done", F.lit(False)))
-    while pool.filter("not done").limit(1).count():
-        ranked = pool.withColumn("turn", ~F.col("done") & (F.row_number().over(ahead) <= VISITED * max(1, kept // KEPT)))
-        going = ranked.filter("turn").select("q", "v")
-        met = going.join(ways, "v").select("q", F.col("to").alias("v")).distinct()
-        met = met.join(pool.select("q", "v"), ["q", "v"], "left_anti")
-        now = ranked.select("q", "v", "s", (F.col("done") | F.col("turn")).alias("done")).unionByName(
-            _scored(met, queries, nodes).withColumn("done", F.lit(False))
-        )
-        pool = stored(now.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= kept).drop("place"))
-    return pool.select("q", "v", "s")
+    edges = graph.select("v", F.col("u").alias("to")).unionByName(reverse.select(F.col("u").alias("v"), F.col("v").alias("to"))).distinct()
+    ends = nodes.select(F.col("v").alias("to"), F.col("code").alias("codes"))
+    ways = stored(edges.join(ends.hint("shuffle_hash"), "to").groupBy("v").agg(F.collect_list("to").alias("to"), F.collect_list("codes").alias("codes")))
+    visited = VISITED * max(1, kept // KEPT)
+
+    def better(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                q, code, worst, to, codes = batch.columns
+                n = to.value_lengths().to_numpy()
+                s = np.einsum("ij,ij->i", _matrix(codes.flatten()), np.repeat(_matrix(code), n, axis=0))
+                good = s > np.repeat(worst.to_numpy(), n)
+                columns = np.repeat(q.to_numpy(), n)[good], to.flatten().to_numpy()[good], s[good]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "v", "s"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            columns = [batch.column(i) for i in range(2, 7)]
+            for i in range(batch.num_rows):
+                ids, s, done, v, t = (c[i].values.to_numpy(zero_copy_only=False) if c[i].is_valid else np.empty(0) for c in columns)
+                ids, s = np.append(ids, v.astype(np.int64)), np.append(s, t.astype(np.float32))
+                done = np.append(done, np.zeros(len(v), bool)).astype(bool)
+                line = np.lexsort((~done, ids))  # of equal ids that which is visited
+                line = line[np.append(True, ids[line][1:] != ids[line][:-1])]
+                line = line[np.lexsort((ids[line], -s[line]))][:kept]
+                ids, s, done = ids[line], s[line], done[line]
+                ahead = np.flatnonzero(~done)[:visited]
+                going = ids[ahead]
+                done[ahead] = True
+                out.append((ids, s, done, going, s[-1] if len(s) >= kept else np.float32(-np.inf)))
+            if out:
+                kinds = pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.float32()
+                arrays = [pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["q", "code", "ids", "s", "done", "going", "worst"])
+
+    kind = "q long, code binary, ids array<long>, s array<float>, done array<boolean>, going array<long>, worst float"
+
+    def stepped(pool: DataFrame, met: DataFrame) -> DataFrame:
+        met = met.groupBy("q").agg(F.collect_list("v").alias("to"), F.collect_list(F.col("s").cast("float")).alias("t"))
+        return stored(pool.select("q", "code", "ids", "s", "done").join(met, "q", "left").mapInArrow(merged, kind))
+
+    empty = (F.array().cast(f"array<{t}>").alias(c) for c, t in (("ids", "long"), ("s", "float"), ("done", "boolean")))
+    pool = stepped(queries.select("q", "code", *empty), starts)
+    while pool.filter("size(going) > 0").limit(1).count():
+        visits = pool.select("q", "code", "worst", F.explode("going").alias("v"))
+        met = visits.join(ways, "v").select("q", "code", "worst", "to", "codes").mapInArrow(better, "q long, v long, s float")
+        old, pool = pool, stepped(pool, met)
+        dropped(old)
+    dropped(ways)
+    return pool.select("q", F.explode(F.arrays_zip(F.col("ids").alias("v"), "s")).alias("end")).select("q", "end.v", "end.s")
 
 
 def true_nearest(sample: list[tuple[int, list[float]]], classes: DataFrame, k: int) -> DataFrame:
@@ -273,12 +317,14 @@ def searched(queries: DataFrame, graph: DataFrame, nodes: DataFrame, n: int, tru
     kept, asking = KEPT, queries.select("q")
     if kept >= n:
         return _scored(asking.crossJoin(nodes.select("v")), queries, nodes)
-    found, due = search(queries, asking.select("q", F.col("q").alias("v")), graph, nodes, kept), truth.count()
+    own = _scored(asking.select("q", F.col("q").alias("v")), queries, nodes)
+    starts = own.unionByName(graph.select(F.col("v").alias("q"), F.col("u").alias("v"), F.col("s").cast("float").alias("s")).join(asking, "q"))
+    found, due = search(queries, starts, graph, nodes, kept), truth.count()
     while truth.join(found, ["q", "v"], "left_semi").count() < RECALL * due:
         kept *= 2
         if kept >= n:
             return _scored(asking.crossJoin(nodes.select("v")), queries, nodes)
-        found = search(queries, found.select("q", "v"), graph, nodes, kept)
+        found = search(queries, found, graph, nodes, kept)
     return found
 
 
@@ -306,7 +352,7 @@ def nearest(vectors: DataFrame, one_in: int = 20, k: int = 20, n_partitions: int
     codes = stored(asking.join(nodes.withColumnRenamed("v", "q"), "q"))
     some = codes.orderBy(F.xxhash64("q"), "q").select("q").limit(MEASURED)
     sample = [tuple(r) for r in some.join(classes.withColumnRenamed("v", "q"), "q").select("q", "x").collect()]
-    truth = stored(true_nearest(sample, classes, k + 1)) if sample else asking.select("q", F.col("q").alias("v")).limit(0)
+    truth = stored(true_nearest(sample, classes, k + 1).filter("q <> v")) if sample else asking.select("q", F.col("q").alias("v")).limit(0)
     found = searched(codes, graph, nodes, n, truth)
 
     x, y = classes.select(F.col("v").alias("q"), F.col("x").alias("qx")), classes.select("v", "x")
