@@ -31,6 +31,22 @@ def test_all_members_of_a_centre_meet(spark):
     assert all((i, i + 150) in met and (i + 150, i) in met for i in range(1, 151))
 
 
+def test_a_round_offers_no_edge_that_a_node_has(spark):
+    random = np.random.default_rng(8)
+    x = np.ones(16) + 0.01 * random.standard_normal((200, 16))  # near copies, as a hub of their own
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "v long, x array<double>")
+    nodes = neighbours._codes(rows)
+    s = neighbours._matrix([r.code for r in nodes.orderBy("v").collect()])
+    s = s @ s.T
+    np.fill_diagonal(s, -np.inf)
+    edges = [(i, int(u), float(s[i, u]), True) for i in range(200) for u in np.argsort(-s[i])[: neighbours.DEGREE]]
+    graph = spark.createDataFrame(edges, "v long, u long, s float, fresh boolean")
+    assert neighbours._joined_neighbours(graph, nodes, 4).count() < 20  # each has its best; products may differ in the last bit
+    centre = graph.filter("u <> 0").unionByName(spark.createDataFrame([(v, 0, -1.0, True) for v in range(1, 200)], graph.schema))
+    got = neighbours._joined_neighbours(centre, nodes, 4).groupBy("u").count().collect()
+    assert got  # what was taken away is offered again
+
+
 def test_a_walk_that_finds_too_little_is_widened(spark):
     x = np.random.default_rng(6).standard_normal((150, 8))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "v long, x array<double>")

@@ -147,14 +147,20 @@ def _merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 
 def _joined_neighbours(graph: DataFrame, nodes: DataFrame, partitions: int, turn: int = 0) -> DataFrame:
-    """Offers (v, u, s) among the neighbours of each node that beat v's worst edge.
+    """Offers (v, u, s) among the neighbours of each node that beat v's worst edge, without edges that v has.
 
     With a node's neighbours go DEGREE of the nodes that have it as a neighbour, fresh ones first, others drawn by turn.
+    A node brings hashes of its edges, else a group of near copies would offer all its pairs again; turn salts them, so that two ids
+    that are taken for one are so in one round only.
     """
-    worst = graph.groupBy("v").agg(F.min("s").alias("worst"), F.count("*").alias("n"))
-    worst = worst.select("v", F.when(F.col("n") < DEGREE, F.lit(float("-inf"))).otherwise(F.col("worst")).alias("worst"))
+    mark = F.hash("u", F.lit(turn))
+    worst = graph.groupBy("v").agg(F.min("s").alias("worst"), F.count("*").alias("n"), F.collect_list(mark).alias("known"))
+    worst = worst.select(
+        "v", F.when(F.col("n") < DEGREE, F.lit(float("-inf"))).otherwise(F.col("worst")).alias("worst"), F.slice("known", 1, DEGREE).alias("known")
+    )
     members = nodes.join(worst, "v", "left").select(
-        F.col("v").alias("member"), "code", F.coalesce("worst", F.lit(float("-inf"))).cast("float").alias("worst")
+        F.col("v").alias("member"), "code", F.coalesce("worst", F.lit(float("-inf"))).cast("float").alias("worst"),
+        F.hash("v", F.lit(turn)).alias("mark"), F.coalesce("known", F.array().cast("array<int>")).alias("known"),
     )
     drawn = Window.partitionBy("u").orderBy(F.desc("fresh"), F.xxhash64("v", F.lit(turn)), "v")
     back = graph.withColumn("place", F.row_number().over(drawn)).filter(F.col("place") <= DEGREE + 1)
@@ -163,26 +169,34 @@ def _joined_neighbours(graph: DataFrame, nodes: DataFrame, partitions: int, turn
     both = graph.select(F.col("v").alias("centre"), F.col("u").alias("member"), "fresh").unionByName(
         back.select(F.col("u").alias("centre"), F.col("v").alias("member"), (F.col("fresh") | F.col("more")).alias("fresh"))
     )
-    rows = both.join(members.hint("shuffle_hash"), "member").select("centre", "member", "fresh", "worst", "code")
+    rows = both.join(members.hint("shuffle_hash"), "member").select("centre", "member", "fresh", "worst", "mark", "code", "known")
 
-    def offers(member, fresh, worst, codes):
+    def offers(member, fresh, worst, mark, codes, known):
         line = np.lexsort((~fresh, member))
         line = line[np.append(True, member[line][1:] != member[line][:-1])]
-        member, fresh, worst, x = member[line], fresh[line], worst[line], _matrix(codes[line])
+        member, fresh, worst, mark, x, known = member[line], fresh[line], worst[line], mark[line], _matrix(codes[line]), known[line]
         s = x @ x.T
         if not fresh.all():
             s[~(fresh[:, None] | fresh[None, :])] = -np.inf  # two old neighbours met before
         np.fill_diagonal(s, -np.inf)
         row, col = np.nonzero(s > worst[:, None])
+        new = ~(known[row] == mark[col][:, None]).any(axis=1)
+        row, col = row[new], col[new]
         return member[row], member[col], s[row, col]
 
+    def padded(lists: pa.ListArray) -> np.ndarray:
+        n = lists.value_lengths().to_numpy()
+        out = np.zeros((len(n), DEGREE), np.int32)
+        out[np.arange(DEGREE) < n[:, None]] = lists.flatten().to_numpy()
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, found, size, merged = None, [], 0, 0
         for batch in chain(batches, [None]):
             if batch is not None:
                 if not batch.num_rows:
                     continue
-                new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)] + [_flat(batch.column(4))]
+                new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)] + [_flat(batch.column(5)), padded(batch.column(6))]
                 held = new if held is None else [np.concatenate(pair) for pair in zip(held, new)]
             elif held is None:
                 return
@@ -313,18 +327,24 @@ def true_nearest(sample: list[tuple[int, list[float]]], classes: DataFrame, k: i
 
 
 def searched(queries: DataFrame, graph: DataFrame, nodes: DataFrame, n: int, truth: DataFrame) -> DataFrame:
-    """(q, v, s) for queries (q, code): walks of twice the width each until they find RECALL of truth, or all n nodes."""
+    """(q, v, s) for queries (q, code): walks of twice the width each until they find RECALL of truth, or all n nodes.
+
+    The width is sought with the queries of truth alone; then all walk so wide.
+    """
     kept, asking = KEPT, queries.select("q")
+    every = _scored(asking.crossJoin(nodes.select("v")), queries, nodes)
     if kept >= n:
-        return _scored(asking.crossJoin(nodes.select("v")), queries, nodes)
+        return every
     own = _scored(asking.select("q", F.col("q").alias("v")), queries, nodes)
     starts = own.unionByName(graph.select(F.col("v").alias("q"), F.col("u").alias("v"), F.col("s").cast("float").alias("s")).join(asking, "q"))
-    found, due = search(queries, starts, graph, nodes, kept), truth.count()
-    while truth.join(found, ["q", "v"], "left_semi").count() < RECALL * due:
-        kept *= 2
-        if kept >= n:
-            return _scored(asking.crossJoin(nodes.select("v")), queries, nodes)
-        found = search(queries, found, graph, nodes, kept)
+    due, measured = truth.count(), truth.select("q").distinct()
+    for walking in (queries.join(measured, "q", "left_semi"), queries):
+        found = search(walking, starts.join(walking.select("q"), "q", "left_semi"), graph, nodes, kept)
+        while truth.join(found, ["q", "v"], "left_semi").count() < RECALL * due:
+            kept *= 2
+            if kept >= n:
+                return every
+            found = search(walking, found, graph, nodes, kept)
     return found
 
 
