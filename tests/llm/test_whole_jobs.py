@@ -47,6 +47,22 @@ def test_a_round_offers_no_edge_that_a_node_has(spark):
     assert got  # what was taken away is offered again
 
 
+def test_first_edges_are_as_good_in_many_partitions(spark, monkeypatch):
+    random = np.random.default_rng(9)
+    x = random.standard_normal((900, 16))
+    x[:400] = np.ones(16) + 0.01 * random.standard_normal((400, 16))  # near copies: more than a chunk in one leaf
+    nodes = neighbours._codes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "v long, x array<double>"))
+    monkeypatch.setattr(neighbours, "CHUNK", 128)
+    few = {(r.v, r.u) for r in neighbours._first_edges(nodes, 900, 4).collect()}
+    for name in ("repartition", "repartitionByRange"):
+        deal = getattr(type(nodes), name)
+        monkeypatch.setattr(type(nodes), name, lambda self, n, *columns, deal=deal: deal(self, max(60, n), *columns))
+    assert {(r.v, r.u) for r in neighbours._first_edges(nodes, 900, 60).collect()} == few
+    assert len(few) == 900 * neighbours.DEGREE
+    sizes = [r["count"] for r in neighbours._chunks(nodes, 900).groupBy("chunk").count().collect()]
+    assert len(sizes) == neighbours.ORDERS * 7 and sum(sizes) == neighbours.ORDERS * 900 and max(sizes) < 2 * 128
+
+
 def test_a_walk_that_finds_too_little_is_widened(spark):
     x = np.random.default_rng(6).standard_normal((150, 8))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "v long, x array<double>")

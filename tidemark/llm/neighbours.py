@@ -11,7 +11,7 @@ travel as 8-bit codes; what the search finds is ranked by exact products of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, count
 from math import ceil, log2
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import dropped, stored
+from tidemark.llm.shared import dropped, small_side, stored
 
 ORDERS, CHUNK = 8, 2048
 #: Neighbours of a node in the graph, and the share of new ones at which the rounds end.
@@ -80,54 +80,70 @@ def _best(edges: DataFrame, degree: int, partitions: int) -> DataFrame:
     return edges.withColumn("place", F.row_number().over(line)).filter(F.col("place") <= degree).drop("place")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], arrays: Callable[[pa.RecordBatch], list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """The arrays of each run of rows that are equal in the first one."""
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            new = arrays(batch)
+            held = new if held is None else [np.concatenate(pair) for pair in zip(held, new)]
+        elif held is None:
+            return
+        ends = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
+        if batch is None:
+            ends = np.append(ends, len(held[0]))
+        start = 0
+        for end in ends:
+            yield [column[start:end] for column in held]
+            start = end
+        held = [column[start:].copy() for column in held]
+
+
+def _chunks(nodes: DataFrame, n: int) -> DataFrame:
+    """(chunk, v, code): each node once for each order, in chunks of CHUNK nodes or somewhat more that follow each other there.
+
+    Nodes of a leaf are put in the leaf's places by a hash. So chunks depend on no number of partitions, and no leaf is sorted in one task.
+    """
+    bits, chunks = max(1, min(24, round(log2(max(2, n / 64))))), max(1, n // CHUNK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(1))
+            planes = [np.random.default_rng(seed).standard_normal((x.shape[1], bits)) for seed in range(ORDERS)]
+            leaves = np.stack([((x @ p) > 0) @ (1 << np.arange(bits)) for p in planes], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(leaves), pa.list_(pa.int64()))], names=["v", "code", "leaves"])
+
+    rows = nodes.select("v", "code").mapInArrow(run, "v long, code binary, leaves array<long>")
+    rows = rows.select("v", "code", F.posexplode("leaves").alias("seed", "leaf"))
+    before = Window.partitionBy("seed").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("seed", "leaf").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    drawn = F.pmod(F.xxhash64("v", "seed"), F.lit(1 << 32)) / float(1 << 32)
+    place = F.col("before") + drawn * F.col("size")
+    rows = rows.join(small_side(sizes, ORDERS << bits), ["seed", "leaf"])
+    return rows.select((F.col("seed") * chunks + F.floor(place / n * chunks)).alias("chunk"), "v", "code")
+
+
 def _first_edges(nodes: DataFrame, n: int, partitions: int) -> DataFrame:
     """Neighbours within chunks of some random orders."""
-    bits = max(1, min(24, round(log2(max(2, n / 64)))))
 
-    def run_of(seed: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, codes = [], []
-
-            def joined():
-                x, v = _matrix(codes), np.array(ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, v, codes in _groups(batches, lambda b: [b.column(0).to_numpy(), b.column(1).to_numpy(), _flat(b.column(2))]):
+            if len(v) > 1:
+                x = _matrix(codes)
                 s = x @ x.T
                 np.fill_diagonal(s, -np.inf)
                 k = min(DEGREE, len(v) - 1)
                 best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                return _edges(np.repeat(v, k), v[best].ravel(), np.take_along_axis(s, best, 1).ravel())
-
-            for batch in batches:
-                ids += batch.column(0).to_pylist()
-                codes += batch.column(1).to_pylist()
-                while len(ids) >= 2 * CHUNK:
-                    rest = ids[CHUNK:], codes[CHUNK:]
-                    ids, codes = ids[:CHUNK], codes[:CHUNK]
-                    yield joined()
-                    ids, codes = rest
-            if len(ids) > 1:
-                yield joined()
-
-        return run
-
-    def leaf_of(seed: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _matrix(batch.column(1))
-                planes = np.random.default_rng(seed).standard_normal((x.shape[1], bits))
-                leaf = ((x @ planes) > 0) @ (1 << np.arange(bits))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int64))], names=["v", "code", "leaf"])
-
-        return run
-
-    out = None
-    for seed in range(ORDERS):
-        leaves = nodes.mapInArrow(leaf_of(seed), "v long, code binary, leaf long")
-        dealt = leaves.repartitionByRange(max(1, min(partitions, n // CHUNK)), "leaf", "v").sortWithinPartitions("leaf", "v").select("v", "code")
-        edges = dealt.mapInArrow(run_of(seed), "v long, u long, s float")
-        out = edges if out is None else out.unionByName(edges)
-    return _best(out.withColumn("fresh", F.lit(True)), DEGREE, partitions)
+                yield _edges(np.repeat(v, k), v[best].ravel(), np.take_along_axis(s, best, 1).ravel())
+
+    dealt = _chunks(nodes, n).repartition(ORDERS * max(1, min(partitions, n // CHUNK)), "chunk").sortWithinPartitions("chunk", "v")
+    edges = dealt.mapInArrow(run, "v long, u long, s float")
+    return _best(edges.withColumn("fresh", F.lit(True)), DEGREE, partitions)
 
 
 def _merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -190,32 +206,21 @@ def _joined_neighbours(graph: DataFrame, nodes: DataFrame, partitions: int, turn
         out[np.arange(DEGREE) < n[:, None]] = lists.flatten().to_numpy()
         return out
 
+    def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)] + [_flat(batch.column(5)), padded(batch.column(6))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, found, size, merged = None, [], 0, 0
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                if not batch.num_rows:
-                    continue
-                new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)] + [_flat(batch.column(5)), padded(batch.column(6))]
-                held = new if held is None else [np.concatenate(pair) for pair in zip(held, new)]
-            elif held is None:
-                return
-            ends = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
-            if batch is None:
-                ends = np.append(ends, len(held[0]))
-            start = 0
-            for end in ends:
-                if end - start > 1 and held[2][start:end].any():
-                    found.append(offers(*(column[start:end] for column in held[1:])))
-                    size += len(found[-1][0])
-                start = end
-                if size > merged + MERGED // 2:
-                    found = [_merged(found)]
-                    size = merged = len(found[0][0])
-                    if size > MERGED:
-                        yield _edges(*found[0])
-                        found, size, merged = [], 0, 0
-            held = [column[start:].copy() for column in held]
+        found, size, merged = [], 0, 0
+        for group in _groups(batches, arrays):
+            if len(group[0]) > 1 and group[2].any():
+                found.append(offers(*group[1:]))
+                size += len(found[-1][0])
+            if size > merged + MERGED // 2:
+                found = [_merged(found)]
+                size = merged = len(found[0][0])
+                if size > MERGED:
+                    yield _edges(*found[0])
+                    found, size, merged = [], 0, 0
         if found:
             yield _edges(*_merged(found))
 
@@ -247,17 +252,22 @@ def _scored(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
     return rows.select("q", "v", "cx", "cy").mapInArrow(run, "q long, v long, s float")
 
 
-def search(queries: DataFrame, starts: DataFrame, graph: DataFrame, nodes: DataFrame, kept: int = KEPT) -> DataFrame:
-    """(q, v, s): the `kept` best nodes that a greedy walk from the starts (q, v, s) finds for each query (q, code).
-
-    Each step visits the best nodes of a query that it has not visited, and looks at their neighbours; a query is done when its
-    `kept` best are all visited. Ways back along edges, and nodes visited in a step, become more with `kept`.
-    """
+def _ways(graph: DataFrame, nodes: DataFrame, kept: int) -> DataFrame:
+    """(v, to, codes): the ends of each node's edges, and of the ways back along edges, which become more with `kept`."""
     back = Window.partitionBy("u").orderBy(F.desc("s"), "v")
     reverse = graph.withColumn("place", F.row_number().over(back)).filter(F.col("place") <= DEGREE * max(1, kept // KEPT))
     edges = graph.select("v", F.col("u").alias("to")).unionByName(reverse.select(F.col("u").alias("v"), F.col("v").alias("to"))).distinct()
     ends = nodes.select(F.col("v").alias("to"), F.col("code").alias("codes"))
-    ways = stored(edges.join(ends.hint("shuffle_hash"), "to").groupBy("v").agg(F.collect_list("to").alias("to"), F.collect_list("codes").alias("codes")))
+    ends = edges.join(ends.hint("shuffle_hash"), "to")
+    return stored(ends.groupBy("v").agg(F.collect_list("to").alias("to"), F.collect_list("codes").alias("codes")))
+
+
+def search(queries: DataFrame, starts: DataFrame, ways: DataFrame, kept: int = KEPT) -> DataFrame:
+    """(q, v, s): the `kept` best nodes that a greedy walk from the starts (q, v, s) finds for each query (q, code).
+
+    Each step visits the best nodes of a query that it has not visited, and looks at their neighbours; a query is done when its
+    `kept` best are all visited. Nodes visited in a step become more with `kept`.
+    """
     visited = VISITED * max(1, kept // KEPT)
 
     def better(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +314,6 @@ def search(queries: DataFrame, starts: DataFrame, graph: DataFrame, nodes: DataF
         met = visits.join(ways, "v").select("q", "code", "worst", "to", "codes").mapInArrow(better, "q long, v long, s float")
         old, pool = pool, stepped(pool, met)
         dropped(old)
-    dropped(ways)
     return pool.select("q", F.explode(F.arrays_zip(F.col("ids").alias("v"), "s")).alias("end")).select("q", "end.v", "end.s")
 
 
@@ -338,13 +347,17 @@ def searched(queries: DataFrame, graph: DataFrame, nodes: DataFrame, n: int, tru
     own = _scored(asking.select("q", F.col("q").alias("v")), queries, nodes)
     starts = own.unionByName(graph.select(F.col("v").alias("q"), F.col("u").alias("v"), F.col("s").cast("float").alias("s")).join(asking, "q"))
     due, measured = truth.count(), truth.select("q").distinct()
+    ways = _ways(graph, nodes, kept)
     for walking in (queries.join(measured, "q", "left_semi"), queries):
-        found = search(walking, starts.join(walking.select("q"), "q", "left_semi"), graph, nodes, kept)
+        found = search(walking, starts.join(walking.select("q"), "q", "left_semi"), ways, kept)
         while truth.join(found, ["q", "v"], "left_semi").count() < RECALL * due:
             kept *= 2
+            dropped(ways)
             if kept >= n:
                 return every
-            found = search(walking, found, graph, nodes, kept)
+            ways = _ways(graph, nodes, kept)
+            found = search(walking, found, ways, kept)
+    dropped(ways)
     return found
 
 
