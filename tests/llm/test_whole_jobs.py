@@ -63,6 +63,19 @@ def test_first_edges_are_as_good_in_many_partitions(spark, monkeypatch):
     assert len(sizes) == neighbours.ORDERS * 7 and sum(sizes) == neighbours.ORDERS * 900 and max(sizes) < 2 * 128
 
 
+def test_first_edges_within_a_chunk_are_the_best(spark, monkeypatch):
+    x = np.random.default_rng(4).standard_normal((450, 16))
+    nodes = neighbours._codes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "v long, x array<double>"))
+    monkeypatch.setattr(neighbours, "ROWS", 100)  # the last rows of a chunk are fewer
+    s = neighbours._matrix([r.code for r in nodes.orderBy("v").collect()])
+    s = s @ s.T
+    np.fill_diagonal(s, -np.inf)
+    got = {}
+    for r in neighbours._first_edges(nodes, 450, 3).collect():
+        got.setdefault(r.v, set()).add(r.u)
+    assert got == {i: set(np.argsort(-s[i])[: neighbours.DEGREE].tolist()) for i in range(450)}
+
+
 def test_a_walk_that_finds_too_little_is_widened(spark):
     x = np.random.default_rng(6).standard_normal((150, 8))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "v long, x array<double>")
@@ -75,6 +88,48 @@ def test_a_walk_that_finds_too_little_is_widened(spark):
     assert truth.join(found, ["q", "v"], "left_anti").count() == 0
 
 
+def test_each_query_walks_once_at_the_width_that_is_found(spark, monkeypatch):
+    x = np.random.default_rng(7).standard_normal((400, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    walked, walk = [], neighbours.search
+
+    def search(queries, starts, ways, kept=neighbours.KEPT):
+        walked.append((kept, sorted(r.q for r in queries.collect())))
+        assert {r.q for r in starts.collect()} == set(walked[-1][1])
+        return walk(queries, starts, ways, kept)
+
+    monkeypatch.setattr(neighbours, "search", search)
+    monkeypatch.setattr(neighbours, "MEASURED", 5)
+    near = neighbours.nearest(table)
+    assert len({kept for kept, _ in walked}) * 5 == sum(len(q) for _, q in walked[:-1])
+    assert sorted(walked[-2][1] + walked[-1][1]) == list(range(0, 400, 20)) and walked[-2][0] == walked[-1][0]
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("WindowGroupLimit [q#") == 2  # of a query's nodes only the nearest meet their members
+    got = {}
+    for r in near.collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    for q, found in got.items():
+        order = sorted((i for i in range(400) if i != q), key=lambda i: (-float(x[i] @ x[q]), i))[:20]
+        assert len(set(order) & set(found.values())) >= 18 and list(found) and len(found) == 20
+
+
+def test_a_step_of_a_walk_is_counted_as_it_is_written(spark, monkeypatch):
+    x = np.random.default_rng(6).standard_normal((40, 8))
+    nodes = neighbours._codes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "v long, x array<double>"))
+    table, n = neighbours._counted(nodes, F.col("v") % 4 == 0)
+    assert n == 10 and table.count() == 40
+    table, n = neighbours._counted(nodes.filter("v < 0"), F.col("v") % 4 == 0)
+    assert n == 0 and table.count() == 0
+    ways = nodes.select(F.col("v"), F.array("v").alias("to"), F.array("code").alias("codes"))
+    queries = nodes.withColumnRenamed("v", "q")
+    starts = neighbours._starts(queries, spark.createDataFrame([], "v long, u long, s float"))
+    with monkeypatch.context() as patched:
+        patched.setattr(type(nodes), "count", None)  # a job of its own in each step
+        found = neighbours.search(queries, starts, ways)
+    assert sorted((r.q, r.v) for r in found.collect()) == [(i, i) for i in range(40)]
+
+
 def test_few_labels_beside_many_documents_are_all_used(spark):
     good, bad = F.lit("A calm and well written sentence about rivers. "), F.lit("BUY!!! $$$ 1234 ||| CLICK @@@ ")
     docs = prepared(spark).range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, good).otherwise(bad).alias("text"))

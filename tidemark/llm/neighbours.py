@@ -17,12 +17,13 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import dropped, small_side, stored
 
-ORDERS, CHUNK = 8, 2048
+#: Orders, nodes of a chunk, and those of its nodes whose products a task holds at a time.
+ORDERS, CHUNK, ROWS = 8, 2048, 512
 #: Neighbours of a node in the graph, and the share of new ones at which the rounds end.
 DEGREE, FEW_NEW = 32, 0.01
 #: Offers that a task holds to merge them, before it hands them on.
@@ -40,6 +41,13 @@ def usable(column: str) -> Column:
     return x.isNotNull() & ~bad & F.exists(x, lambda c: c != 0)
 
 
+def _counted(df: DataFrame, what: Column) -> tuple[DataFrame, int]:
+    """The stored rows and how many of them `what` holds for, counted as they are written."""
+    seen = Observation()
+    table = stored(df.observe(seen, F.count_if(what).alias("n")))
+    return table, seen.get["n"]
+
+
 def _codes(rows: DataFrame) -> DataFrame:
     """(v, code): a 32-bit scale and the components as 8-bit multiples of it."""
 
@@ -134,12 +142,13 @@ def _first_edges(nodes: DataFrame, n: int, partitions: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, v, codes in _groups(batches, lambda b: [b.column(0).to_numpy(), b.column(1).to_numpy(), _flat(b.column(2))]):
             if len(v) > 1:
-                x = _matrix(codes)
-                s = x @ x.T
-                np.fill_diagonal(s, -np.inf)
-                k = min(DEGREE, len(v) - 1)
-                best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                yield _edges(np.repeat(v, k), v[best].ravel(), np.take_along_axis(s, best, 1).ravel())
+                x, k = _matrix(codes), min(DEGREE, len(v) - 1)
+                for start in range(0, len(v), ROWS):
+                    own = np.arange(start, min(start + ROWS, len(v)))
+                    s = x[own] @ x.T
+                    s[own - start, own] = -np.inf
+                    best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                    yield _edges(np.repeat(v[own], k), v[best].ravel(), np.take_along_axis(s, best, 1).ravel())
 
     dealt = _chunks(nodes, n).repartition(ORDERS * max(1, min(partitions, n // CHUNK)), "chunk").sortWithinPartitions("chunk", "v")
     edges = dealt.mapInArrow(run, "v long, u long, s float")
@@ -233,9 +242,10 @@ def neighbour_graph(nodes: DataFrame, n: int, partitions: int) -> DataFrame:
     graph = stored(_first_edges(nodes, n, partitions))
     for turn in count():
         new = _joined_neighbours(graph, nodes, partitions, turn).withColumn("fresh", F.lit(True))
-        old, graph = graph, stored(_best(graph.withColumn("fresh", F.lit(False)).unionByName(new), DEGREE, partitions))
+        old = graph
+        graph, fresh = _counted(_best(graph.withColumn("fresh", F.lit(False)).unionByName(new), DEGREE, partitions), F.col("fresh"))
         dropped(old)
-        if graph.filter("fresh").count() <= FEW_NEW * n * DEGREE:  # edges only get better, so this comes
+        if fresh <= FEW_NEW * n * DEGREE:  # edges only get better, so this comes
             return graph.select("v", "u", "s")
 
 
@@ -303,16 +313,18 @@ def search(queries: DataFrame, starts: DataFrame, ways: DataFrame, kept: int = K
 
     kind = "q long, code binary, ids array<long>, s array<float>, done array<boolean>, going array<long>, worst float"
 
-    def stepped(pool: DataFrame, met: DataFrame) -> DataFrame:
+    def stepped(pool: DataFrame, met: DataFrame) -> tuple[DataFrame, int]:
         met = met.groupBy("q").agg(F.collect_list("v").alias("to"), F.collect_list(F.col("s").cast("float")).alias("t"))
-        return stored(pool.select("q", "code", "ids", "s", "done").join(met, "q", "left").mapInArrow(merged, kind))
+        after = pool.select("q", "code", "ids", "s", "done").join(met, "q", "left").mapInArrow(merged, kind)
+        return _counted(after, F.size("going") > 0)
 
     empty = (F.array().cast(f"array<{t}>").alias(c) for c, t in (("ids", "long"), ("s", "float"), ("done", "boolean")))
-    pool = stepped(queries.select("q", "code", *empty), starts)
-    while pool.filter("size(going) > 0").limit(1).count():
+    pool, walking = stepped(queries.select("q", "code", *empty), starts)
+    while walking:
         visits = pool.select("q", "code", "worst", F.explode("going").alias("v"))
-        met = visits.join(ways, "v").select("q", "code", "worst", "to", "codes").mapInArrow(better, "q long, v long, s float")
-        old, pool = pool, stepped(pool, met)
+        met = small_side(visits, walking * visited).join(ways, "v").select("q", "code", "worst", "to", "codes").mapInArrow(better, "q long, v long, s float")
+        old = pool
+        pool, walking = stepped(pool, met)
         dropped(old)
     return pool.select("q", F.explode(F.arrays_zip(F.col("ids").alias("v"), "s")).alias("end")).select("q", "end.v", "end.s")
 
@@ -335,30 +347,42 @@ def true_nearest(sample: list[tuple[int, list[float]]], classes: DataFrame, k: i
     return found.filter(F.col("place") <= k).select("q", "v")
 
 
+def _starts(queries: DataFrame, graph: DataFrame) -> DataFrame:
+    """(q, v, s): each query (q, code) itself and its neighbours in the graph."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(1))
+                s = np.einsum("ij,ij->i", x, x)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), pa.array(s, pa.float32())], names=["q", "v", "s"])
+
+    own = queries.select("q", "code").mapInArrow(run, "q long, v long, s float")
+    near = graph.select(F.col("v").alias("q"), F.col("u").alias("v"), F.col("s").cast("float").alias("s"))
+    return own.unionByName(near.join(queries.select("q"), "q"))
+
+
 def searched(queries: DataFrame, graph: DataFrame, nodes: DataFrame, n: int, truth: DataFrame) -> DataFrame:
     """(q, v, s) for queries (q, code): walks of twice the width each until they find RECALL of truth, or all n nodes.
 
-    The width is sought with the queries of truth alone; then all walk so wide.
+    The width is sought with the queries of truth alone, from their starts each time; then the others walk so wide.
     """
-    kept, asking = KEPT, queries.select("q")
-    every = _scored(asking.crossJoin(nodes.select("v")), queries, nodes)
-    if kept >= n:
-        return every
-    own = _scored(asking.select("q", F.col("q").alias("v")), queries, nodes)
-    starts = own.unionByName(graph.select(F.col("v").alias("q"), F.col("u").alias("v"), F.col("s").cast("float").alias("s")).join(asking, "q"))
-    due, measured = truth.count(), truth.select("q").distinct()
-    ways = _ways(graph, nodes, kept)
-    for walking in (queries.join(measured, "q", "left_semi"), queries):
-        found = search(walking, starts.join(walking.select("q"), "q", "left_semi"), ways, kept)
-        while truth.join(found, ["q", "v"], "left_semi").count() < RECALL * due:
-            kept *= 2
+    kept = KEPT
+    if kept < n:
+        measured = truth.select("q").distinct().withColumn("measured", F.lit(True))
+        asked = stored(queries.select("q", "code").join(measured, "q", "left"))
+        sample, others = asked.filter("measured").drop("measured"), asked.filter("measured is null").drop("measured")
+        due = truth.count()
+    while kept < n:
+        ways = _ways(graph, nodes, kept)
+        found = search(sample, _starts(sample, graph), ways, kept)
+        if truth.join(found, ["q", "v"], "left_semi").count() >= RECALL * due:
+            found = found.unionByName(search(others, _starts(others, graph), ways, kept))
             dropped(ways)
-            if kept >= n:
-                return every
-            ways = _ways(graph, nodes, kept)
-            found = search(walking, found, ways, kept)
-    dropped(ways)
-    return found
+            return found
+        dropped(ways)
+        kept *= 2
+    return _scored(queries.select("q").crossJoin(nodes.select("v")), queries, nodes)
 
 
 def nearest(vectors: DataFrame, one_in: int = 20, k: int = 20, n_partitions: int | None = None) -> DataFrame:
@@ -376,8 +400,7 @@ def nearest(vectors: DataFrame, one_in: int = 20, k: int = 20, n_partitions: int
     partitions = n_partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     classes = stored(rows.groupBy("x").agg(F.min("vec_id").alias("v")))
     members = stored(rows.join(classes, "x").select("vec_id", "v"))
-    nodes = stored(_codes(classes))
-    n = nodes.count()
+    nodes, n = _counted(_codes(classes), F.col("v").isNotNull())
     partitions = max(partitions, ceil(n / 20_000))
     graph = neighbour_graph(nodes, n, partitions)
     asked = members.filter(F.col("vec_id") % one_in == 0)
@@ -391,6 +414,8 @@ def nearest(vectors: DataFrame, one_in: int = 20, k: int = 20, n_partitions: int
     x, y = classes.select(F.col("v").alias("q"), F.col("x").alias("qx")), classes.select("v", "x")
     product = F.aggregate(F.zip_with("qx", "x", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     exact = found.join(x, "q").join(y, "v").select("q", "v", product.alias("score"))
+    line = Window.partitionBy("q").orderBy(F.desc("score"), "v")  # v is its smallest member: what follows k + 1 classes is no hit
+    exact = exact.withColumn("place", F.row_number().over(line)).filter(F.col("place") <= k + 1).drop("place")
     few = Window.partitionBy("v").orderBy("vec_id")
     few = members.withColumn("place", F.row_number().over(few)).filter(F.col("place") <= k + 1).drop("place")
     line = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
